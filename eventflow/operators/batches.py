@@ -34,17 +34,14 @@ def micro_batches(
     numbered = running(
         marked, keys, ordering, chunk, {"session": F.col("__opens"), "__row": F.lit(1).cast("bigint")}
     )
-    # The row number of a session's first row is carried along as a sum of its own:
-    # sessions are numbered, so it is one grouped minimum per session.
     return _with_position(numbered, keys).withColumn(
         "batch", F.floor((F.col("position") - 1) / size).cast("bigint")
     ).drop("__before", "__opens", "__row")
 
 
 def _with_position(df: DataFrame, keys: list[str]) -> DataFrame:
-    by = [*keys, "session"]
-    starts = df.groupBy(*by).agg(F.min("__row").alias("__first"))
-    renamed = starts.select(*[F.col(k).alias(f"__k_{k}") for k in by], "__first")
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by]
-    joined = df.join(renamed, on=on, how="inner").drop(*[f"__k_{k}" for k in by])
-    return joined.withColumn("position", F.col("__row") - F.col("__first") + 1).drop("__first")
+    """A session's rows are consecutive, so its first row number is a grouped minimum."""
+    keyed = df.withColumn("__s", F.struct(*keys, "session"))
+    starts = keyed.groupBy("__s").agg(F.min("__row").alias("__first"))
+    joined = keyed.join(starts, on="__s")
+    return joined.withColumn("position", F.col("__row") - F.col("__first") + 1).drop("__s", "__first")

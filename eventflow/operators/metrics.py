@@ -14,9 +14,10 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def _by_key(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = b.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return a.join(renamed, on=on, how="left").drop(*[f"__{k}" for k in keys])
+    """Join two results with one row per key; NULL keys count as equal."""
+    left = a.withColumn("__k", F.struct(*keys))
+    right = b.select(F.struct(*keys).alias("__k"), *[c for c in b.columns if c not in keys])
+    return left.join(right, on="__k", how="left").drop("__k")
 
 
 def latency(df: DataFrame, keys: list[str], seconds: Column, fractions: dict[str, float] | None = None) -> DataFrame:

@@ -12,31 +12,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "__chunk"
 _RANK = "__rank"
+_PART = "__part"  # struct of key columns and chunk: never NULL, so NULL keys join too
 
 
-def _attach(df: DataFrame, summary: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
-    """Equi-join on ``by``, treating NULL keys as equal."""
-    renamed = summary.select(*[F.col(k).alias(f"__s_{k}") for k in by], *carried)
-    on = [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in by]
-    return df.join(renamed, on=on, how="inner").drop(*[f"__s_{k}" for k in by])
+def _parted(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    return df.withColumn(_PART, F.struct(F.struct(F.lit(0), *keys).alias("k"), chunk.alias("c")))
+
+
+def _across():
+    """Window over the chunk summaries of a key."""
+    return Window.partitionBy(f"{_PART}.k").orderBy(f"{_PART}.c")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key: ``{output name: summed column}``."""
-    by = [*keys, _CHUNK]
-    data = df.withColumn(_CHUNK, chunk)
-    within = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = data.groupBy(*by).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    offsets = totals.select(
-        *by, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums]
-    )
+    data = _parted(df, keys, chunk)
+    within = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _across().rowsBetween(Window.unboundedPreceding, -1)
+    totals = data.groupBy(_PART).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    offsets = totals.select(_PART, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
     local = data.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()])
-    joined = _attach(local, offsets, by, [f"__o_{n}" for n in sums])
     exact = {n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"__o_{n}") for n in sums}
-    return joined.withColumns(exact).drop(_CHUNK, *[f"__o_{n}" for n in sums])
+    return local.join(offsets, on=_PART).withColumns(exact).drop(_PART, *[f"__o_{n}" for n in sums])
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, into: str = "position") -> DataFrame:
@@ -46,16 +44,13 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, i
 
 def previous(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, into: str) -> DataFrame:
     """``lag(value)`` per key; ``order`` names the columns that order a key's rows."""
-    by = [*keys, _CHUNK]
-    data = df.withColumn(_CHUNK, chunk)
-    within = Window.partitionBy(*by).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(_CHUNK)
-    last = data.groupBy(*by).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
-    carry = last.select(*by, F.lag("__last").over(across)["__v"].alias("__carry"))
+    data = _parted(df, keys, chunk)
+    within = Window.partitionBy(_PART).orderBy(*order)
+    last = data.groupBy(_PART).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
+    carry = last.select(_PART, F.lag("__last").over(_across())["__v"].alias("__carry"))
     local = data.withColumn("__n", F.row_number().over(within)).withColumn(into, F.lag(value).over(within))
-    joined = _attach(local, carry, by, ["__carry"])
     first = F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col(into))
-    return joined.withColumn(into, first).drop(_CHUNK, "__n", "__carry")
+    return local.join(carry, on=_PART).withColumn(into, first).drop(_PART, "__n", "__carry")
 
 
 def trailing(

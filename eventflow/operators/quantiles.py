@@ -43,27 +43,19 @@ def _pick(counts: DataFrame, group: list[str], order: str, wanted: Column) -> Da
     ``wanted`` is an array of ``{slot, rank}``, ranks 0-based within the group.
     """
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    done = F.sum("__n").over(w)
+    inside = lambda r: (r["rank"] >= F.col("__start")) & (r["rank"] < F.col("__end"))
     return (
-        counts.withColumn("__end", done)
+        counts.withColumn("__end", F.sum("__n").over(w))
         .withColumn("__start", F.col("__end") - F.col("__n"))
-        .withColumn("__wanted", wanted)
-        .withColumn(
-            "__hit",
-            F.explode(
-                F.filter("__wanted", lambda r: (r["rank"] >= F.col("__start")) & (r["rank"] < F.col("__end")))
-            ),
-        )
+        .withColumn("__hit", F.explode(F.filter(wanted, inside)))
         .withColumn("__slot", F.col("__hit.slot"))
         .withColumn("__rest", F.col("__hit.rank") - F.col("__start"))
-        .drop("__end", "__start", "__wanted", "__hit")
+        .drop("__end", "__start", "__hit")
     )
 
 
-def _same(left: DataFrame, right: DataFrame, by: list[str], extra: list[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in by], *extra)
-    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in by]
-    return left.join(renamed, on=on, how="inner").drop(*[f"__r_{k}" for k in by])
+def _wanted() -> Column:
+    return F.collect_list(F.struct(F.col("__slot").alias("slot"), F.col("__rest").alias("rank")))
 
 
 def _ranks(total: Column, fractions: list[float]) -> Column:
@@ -82,45 +74,39 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, fractions: di
     NULL values are left out, and so are keys that have nothing else. Linear
     interpolation between neighbouring values, like ``percentile``.
     """
-    if not keys:
-        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, fractions)
-        return whole.drop("__all")
     names, qs = list(fractions), list(fractions.values())
-    data = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    data = data.withColumn("__b", _bucket(F.col("__v")))
+    # The key as one struct: never NULL, so rows with a NULL key join like others.
+    data = df.select(F.struct(F.lit(0), *keys).alias("__k"), value.cast("double").alias("__v"))
+    data = data.where(F.col("__v").isNotNull()).withColumn("__b", _bucket(F.col("__v")))
 
-    coarse = data.groupBy(*keys, "__b").agg(
+    coarse = data.groupBy("__k", "__b").agg(
         F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
     )
-    coarse = coarse.withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
-    hits = _pick(coarse, keys, "__b", _ranks(F.col("__total"), qs))
+    coarse = coarse.withColumn("__total", F.sum("__n").over(Window.partitionBy("__k")))
+    hits = _pick(coarse, ["__k"], "__b", _ranks(F.col("__total"), qs))
 
-    by_bucket = [*keys, "__b"]
-    hot = hits.groupBy(*by_bucket, "__lo", "__hi").agg(
-        F.collect_list(F.struct(F.col("__slot").alias("slot"), F.col("__rest").alias("rank"))).alias("__want")
-    )
-    inside = _same(data, hot, by_bucket, ["__lo", "__hi"]).withColumn("__f", _finer(F.col("__v")))
-    values = inside.groupBy(*by_bucket, "__f", "__v").agg(F.count("*").alias("__n"))
-
-    by_cut = [*by_bucket, "__f"]
-    fine = _same(values.groupBy(*by_cut).agg(F.sum("__n").alias("__n")), hot, by_bucket, ["__want"])
-    cuts = _pick(fine.withColumnRenamed("__want", "__w0"), by_bucket, "__f", F.col("__w0"))
-    cuts = cuts.groupBy(*by_cut).agg(
-        F.collect_list(F.struct(F.col("__slot").alias("slot"), F.col("__rest").alias("rank"))).alias("__w1")
+    hot = hits.groupBy("__k", "__b", "__lo", "__hi").agg(_wanted().alias("__want"), F.max("__total").alias("__total"))
+    if not keys:
+        hot = F.broadcast(hot)  # at most two rows per fraction
+    inside = data.join(hot, on=["__k", "__b"]).withColumn("__f", _finer(F.col("__v")))
+    values = inside.groupBy("__k", "__b", "__f", "__v").agg(
+        F.count("*").alias("__n"), F.first("__want").alias("__want"), F.first("__total").alias("__total")
     )
-    found = _pick(_same(values, cuts, by_cut, ["__w1"]), by_cut, "__v", F.col("__w1"))
-
-    slots = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__slot") == s, F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(qs))]
+    cut = ["__k", "__b", "__f"]
+    fine = values.groupBy(*cut).agg(F.sum("__n").alias("__n"), F.first("__want").alias("__want"))
+    cuts = _pick(fine, ["__k", "__b"], "__f", F.col("__want")).groupBy(*cut).agg(_wanted().alias("__left"))
+    found = _pick(values.join(cuts, on=cut), cut, "__v", F.col("__left"))
+
+    slots = found.groupBy("__k").agg(
+        F.max("__total").alias("__total"),
+        *[F.max(F.when(F.col("__slot") == s, F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(qs))],
     )
-    sizes = coarse.groupBy(*keys).agg(F.max("__total").alias("__total"))
-    joined = _same(slots, sizes, keys, ["__total"])
     out = []
     for i, (name, q) in enumerate(zip(names, qs)):
         at = F.lit(float(q)) * (F.col("__total") - 1)
         low, high = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}")
         out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return joined.select(*keys, *out)
+    return slots.select(*[F.col("__k")[k].alias(k) for k in keys], *out)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float], one_task: int = ONE_TASK) -> DataFrame:

@@ -15,11 +15,12 @@ computed in time chunks side by side:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _NONE = np.iinfo(np.int64).min
 
@@ -41,18 +42,18 @@ def _steps(at: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     return at[end], last[end]
 
 
-def _walk(steps: pd.DataFrame, ttl: int) -> pd.DataFrame:
-    """Last passing time before each chunk; ``steps`` is ordered by chunk and start."""
-    rows, carry = [], _NONE
-    for chunk, part in steps.groupby("c", sort=True):
-        rows.append((chunk, carry))
+def _before(chunks: np.ndarray, until: np.ndarray, last: np.ndarray, ttl: int) -> np.ndarray:
+    """For each step of a key, the last passing time before the step's chunk."""
+    carry, out = _NONE, np.empty(len(chunks), dtype=np.int64)
+    edges = np.append(np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])), len(chunks))
+    for start, stop in zip(edges, edges[1:]):
+        out[start:stop] = carry
         if carry == _NONE:
-            carry = part["last"].iloc[0]
+            carry = last[start]
         else:
-            hit = np.searchsorted(part["until"].to_numpy(), carry + ttl, side="right")
-            if hit < len(part):
-                carry = part["last"].iloc[hit]
-    return pd.DataFrame(rows, columns=["c", "carry"])
+            hit = start + int(np.searchsorted(until[start:stop], carry + ttl, side="right"))
+            carry = last[hit] if hit < stop else carry
+    return out
 
 
 def _passing(at: np.ndarray, carry: int, ttl: int) -> np.ndarray:
@@ -64,44 +65,83 @@ def _passing(at: np.ndarray, carry: int, ttl: int) -> np.ndarray:
     return keep
 
 
+def _grouped(batches: Iterator[pd.DataFrame], group: str) -> Iterator[pd.DataFrame]:
+    """Batches cut so that no group is spread over two of them; rows come sorted by group."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        codes = pdf[group].to_numpy()
+        if held and held[-1][group].iloc[-1] != codes[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        tail = int(np.flatnonzero(codes == codes[-1])[0])
+        if tail > 0:
+            yield pd.concat([*held, pdf.iloc[:tail]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[tail:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _groups(pdf: pd.DataFrame, group: str) -> Iterator[slice]:
+    codes = pdf[group].to_numpy()
+    edges = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
+    return (slice(a, b) for a, b in zip(edges, edges[1:]))
+
+
+def _by_group(df: DataFrame, group: str, order: list[str], fn: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
+    """Run ``fn`` on the sorted rows of each group. Small groups share an Arrow batch,
+    which costs far less than one call of the Python worker per group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _grouped(batches, group):
+            parts = [fn(pdf.iloc[s]) for s in _groups(pdf, group)]
+            yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+
+
 def throttle(df: DataFrame, key: str, ts: str, chunk: Column, ttl_seconds: float | None, tie: str) -> DataFrame:
     """The messages that pass. ``ttl_seconds=None`` keeps a key's first message only.
 
     Of messages with the same key and time the one with the smallest ``tie``
-    is considered.
+    is considered. ``chunk`` is a time column that never decreases with ``ts``.
     """
     if ttl_seconds is None:
         return _first_only(df, key, ts, tie)
     ttl = int(ttl_seconds * 1_000_000)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = df.select(key, chunk.alias("c"), micros.alias("at")).distinct()
-    kind, when = df.schema[key].dataType, times.schema["c"].dataType
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        until, last = _steps(np.sort(pdf["at"].to_numpy()), ttl)
-        return pd.DataFrame({key: pdf[key].iloc[0], "c": pdf["c"].iloc[0], "until": until, "last": last})
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _walk(pdf.sort_values(["c", "until"]), ttl).assign(**{key: pdf[key].iloc[0]})
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["at"].to_numpy())
-        kept = at[_passing(at, int(pdf["carry"].iloc[0]), ttl)]
-        return pd.DataFrame({key: pdf[key].iloc[0], "at": kept})
-
-    def schema(**fields: T.DataType) -> T.StructType:
-        return T.StructType([T.StructField(n, t) for n, t in {key: kind, **fields}.items()])
-
-    long = T.LongType()
-    steps = times.groupBy(key, "c").applyInPandas(summarise, schema(c=when, until=long, last=long))
-    carries = steps.groupBy(key).applyInPandas(walk, schema(c=when, carry=long))
-    passed = (
-        times.join(carries, on=[key, "c"])
-        .groupBy(key, "c")
-        .applyInPandas(replay, schema(at=long))
-    )
-    candidates = _one_per_instant(df.withColumn("__at", micros), [key, "__at"], tie)
-    return candidates.join(passed.withColumnRenamed("at", "__at"), on=[key, "__at"]).select(*df.columns)
+    start = F.unix_micros(chunk.cast("timestamp"))
+    marked = df.withColumns(
+        {
+            "__k": F.sha2(F.to_json(F.struct(key)), 256),
+            "__at": F.unix_micros(F.col(ts).cast("timestamp")),
+            "__c": start,
+        }
+    ).withColumn("__g", F.concat_ws("/", "__k", F.col("__c").cast("string")))
+    times = marked.select("__k", "__g", "__c", "__at").distinct()
+
+    def summarise(pdf: pd.DataFrame) -> dict:
+        until, last = _steps(pdf["__at"].to_numpy(), ttl)
+        first = {c: np.full(len(until), pdf[c].iloc[0], dtype=pdf[c].dtype) for c in ("__k", "__g", "__c")}
+        return {**first, "until": until, "last": last}
+
+    def walk(pdf: pd.DataFrame) -> dict:
+        chunks = pdf["__c"].to_numpy()
+        carry = _before(chunks, pdf["until"].to_numpy(), pdf["last"].to_numpy(), ttl)
+        first = np.append(True, chunks[1:] != chunks[:-1])
+        return {"__g": pdf["__g"].to_numpy()[first], "carry": carry[first]}
+
+    def replay(pdf: pd.DataFrame) -> dict:
+        at = pdf["__at"].to_numpy()
+        kept = _passing(at, int(pdf["carry"].iloc[0]), ttl)
+        return {"__k": pdf["__k"].to_numpy()[kept], "__at": at[kept]}
+
+    steps = _by_group(times, "__g", ["__at"], summarise, "__k string, __g string, __c bigint, until bigint, last bigint")
+    carries = _by_group(steps, "__k", ["__c", "until"], walk, "__g string, carry bigint")
+    started = times.join(carries, on="__g")
+    passed = _by_group(started, "__g", ["__at"], replay, "__k string, __at bigint")
+    return _one_per_instant(marked.join(passed, on=["__k", "__at"]), ["__k", "__at"], tie).select(*df.columns)
 
 
 def _one_per_instant(df: DataFrame, by: list[str], tie: str) -> DataFrame:
