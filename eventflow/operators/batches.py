@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import previous, running
+from .ordered import sessions
 
 # Default batch size, and the idle time in seconds that closes a batch.
 BATCH_SIZE = 32
@@ -27,21 +27,19 @@ def micro_batches(
     ``idle_seconds`` after the row before it. ``order`` starts with ``ts``.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    pause = at - F.unix_micros(F.col("__before").cast("timestamp"))
-    opens = F.when(F.col("__before").isNull() | (pause > int(idle_seconds * 1_000_000)), 1).otherwise(0)
-    ordering = [F.col(c) for c in order]
-    marked = previous(df, keys, order, chunk, ts, "__before").withColumn("__opens", opens.cast("bigint"))
-    numbered = running(
-        marked, keys, ordering, chunk, {"session": F.col("__opens"), "__row": F.lit(1).cast("bigint")}
-    )
-    return _with_position(numbered, keys).withColumn(
-        "batch", F.floor((F.col("position") - 1) / size).cast("bigint")
-    ).drop("__before", "__opens", "__row")
-
 
-def _with_position(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A session's rows are consecutive, so its first row number is a grouped minimum."""
-    keyed = df.withColumn("__s", F.struct(*keys, "session"))
-    starts = keyed.groupBy("__s").agg(F.min("__row").alias("__first"))
-    joined = keyed.join(starts, on="__s")
-    return joined.withColumn("position", F.col("__row") - F.col("__first") + 1).drop("__s", "__first")
+    def opens(before: Column) -> Column:
+        pause = at - F.unix_micros(before.cast("timestamp"))
+        return before.isNull() | (pause > int(idle_seconds * 1_000_000))
+
+    numbered = sessions(df, keys, order, chunk, opens)
+    # A session's rows are consecutive, so its first row number is a grouped minimum.
+    keyed = numbered.withColumn("__s", F.struct(*keys, "session"))
+    starts = keyed.groupBy("__s").agg(F.min("row").alias("__first"))
+    position = F.col("row") - F.col("__first") + 1
+    return (
+        keyed.join(starts, on="__s")
+        .withColumn("position", position)
+        .withColumn("batch", F.floor((F.col("position") - 1) / size).cast("bigint"))
+        .drop("__s", "__first", "row")
+    )

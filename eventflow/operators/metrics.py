@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import summary
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -13,21 +13,13 @@ def seconds_between(start: Column, end: Column) -> Column:
     return micros / F.lit(1_000_000.0)
 
 
-def _by_key(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Join two results with one row per key; NULL keys count as equal."""
-    left = a.withColumn("__k", F.struct(*keys))
-    right = b.select(F.struct(*keys).alias("__k"), *[c for c in b.columns if c not in keys])
-    return left.join(right, on="__k", how="left").drop("__k")
+QUANTILES = {"p50": 0.5, "p95": 0.95}
 
 
-def latency(df: DataFrame, keys: list[str], seconds: Column, fractions: dict[str, float] | None = None) -> DataFrame:
+def latency(df: DataFrame, keys: list[str], seconds: Column, size: int | None = None) -> DataFrame:
     """Count, mean, maximum and exact quantiles of a duration."""
-    fractions = fractions or {"p50": 0.5, "p95": 0.95}
-    data = df.select(*keys, seconds.alias("__s")).where(F.col("__s").isNotNull())
-    base = data.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("__s").alias("avg_seconds"), F.max("__s").alias("max_seconds")
-    )
-    return _by_key(base, quantiles(data, keys, F.col("__s"), fractions), keys)
+    figures = [F.count("*").alias("n"), F.avg("x").alias("avg_seconds"), F.max("x").alias("max_seconds")]
+    return summary(df, keys, seconds, figures, QUANTILES, size)
 
 
 def error_rate(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:
@@ -38,13 +30,9 @@ def error_rate(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:
     )
 
 
-def score_distribution(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float] | None = None) -> DataFrame:
-    fractions = fractions or {"p50": 0.5, "p95": 0.95}
-    data = df.select(*keys, value.cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    base = data.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_samp("__x").alias("stddev")
-    )
-    return _by_key(base, quantiles(data, keys, F.col("__x"), fractions), keys)
+def score_distribution(df: DataFrame, keys: list[str], value: Column, size: int | None = None) -> DataFrame:
+    figures = [F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev")]
+    return summary(df, keys, value, figures, QUANTILES, size)
 
 
 def throughput(df: DataFrame, ts: str, every_seconds: int) -> DataFrame:

@@ -109,11 +109,28 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, fractions: di
     return slots.select(*[F.col("__k")[k].alias(k) for k in keys], *out)
 
 
+def summary(
+    df: DataFrame, keys: list[str], value: Column, aggregates: list[Column], fractions: dict[str, float], size: int | None = None, one_task: int = ONE_TASK
+) -> DataFrame:
+    """``aggregates`` (over a column ``x``) and exact quantiles of ``value`` per key.
+
+    Provably small inputs take the built-in aggregate, all others the spread
+    form. ``size`` is an upper bound of the input's bytes, if the caller knows a
+    better one than Spark's estimate.
+    """
+    data = df.select(*keys, value.cast("double").alias("x")).where(F.col("x").isNotNull())
+    if (plan_size(data) if size is None else size) <= one_task:
+        whole = F.percentile("x", F.array(*[F.lit(float(q)) for q in fractions.values()])).alias("__q")
+        picked = [F.col("__q")[i].alias(name) for i, name in enumerate(fractions)]
+        return data.groupBy(*keys).agg(*aggregates, whole).select("*", *picked).drop("__q")
+    exact = exact_quantiles(data, keys, F.col("x"), fractions)
+    if not aggregates:
+        return exact
+    base = data.groupBy(*keys).agg(*aggregates).withColumn("__k", F.struct(F.lit(0), *keys))
+    right = exact.select(F.struct(F.lit(0), *keys).alias("__k"), *fractions)
+    return base.join(right, on="__k", how="left").drop("__k")
+
+
 def quantiles(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float], one_task: int = ONE_TASK) -> DataFrame:
-    """Exact quantiles: the built-in aggregate for provably small inputs, else the spread form."""
-    data = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if plan_size(data) > one_task:
-        return exact_quantiles(data, keys, F.col("__v"), fractions)
-    whole = F.percentile("__v", F.array(*[F.lit(float(q)) for q in fractions.values()])).alias("__q")
-    picked = [F.col("__q")[i].alias(name) for i, name in enumerate(fractions)]
-    return data.groupBy(*keys).agg(whole).select(*keys, *picked)
+    """Exact quantiles per key."""
+    return summary(df, keys, value, [], fractions, one_task=one_task)

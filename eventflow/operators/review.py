@@ -59,30 +59,17 @@ def counts(decisions: DataFrame) -> DataFrame:
     )
 
 
-def _in_time(requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    limits = requests.select("review_id", deadline(F.col("created_at"), F.col("timeout_seconds")).alias("__until"))
-    return decisions.join(limits, on="review_id").where(F.col("decided_at") <= F.col("__until"))
-
-
-def _order(decisions: DataFrame, tie: list[str]) -> Column:
+def _order(tie: list[str]) -> Column:
     return F.struct("decided_at", *tie, "decision")
 
 
-def closing_decisions(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str], chunk: Column | None = None) -> DataFrame:
-    """The decision that closes each review: ``review_id, outcome, closing``.
-
-    Decisions count in the order of time, then the ``tie`` columns, which must
-    tell a review's decisions apart. After each one, enough approvals close the
-    review as approved, else any rejection closes it as rejected. So it is
-    closed by the n-th approval or the first rejection, whichever is earlier,
-    and no more than n decisions of a kind per review ever need to be looked at.
-    """
-    needed = config.required_approvals
-    timely = _in_time(requests, decisions).withColumn("__order", _order(decisions, tie))
+def _earliest_closing(decisions: DataFrame, needed: int, tie: list[str], chunk: Column | None) -> DataFrame:
+    """The decision that would close each review if there were no deadline."""
+    ordered = decisions.withColumn("__order", _order(tie))
     if needed <= 0:
-        first = timely.groupBy("review_id").agg(F.min("__order").alias("closing"))
-        return first.select("review_id", F.lit(APPROVED).alias("outcome"), "closing")
-    final = timely.where(F.col("decision").isin(APPROVED, REJECTED)).select("review_id", "decision", "decided_at", "__order")
+        first = ordered.groupBy("review_id").agg(F.min("__order").alias("closing"))
+        return first.withColumn("outcome", F.lit(APPROVED))
+    final = ordered.where(F.col("decision").isin(APPROVED, REJECTED)).select("review_id", "decision", "decided_at", "__order")
     by_kind = ["review_id", "decision"]
     if needed <= _TRIM_LIMIT:
         w = Window.partitionBy(*by_kind).orderBy("__order")
@@ -91,10 +78,25 @@ def closing_decisions(requests: DataFrame, decisions: DataFrame, config: ReviewC
         cut = F.date_trunc("DAY", "decided_at") if chunk is None else chunk
         numbered = ranked(final, by_kind, [F.col("__order")], cut, "__n")
     decisive = F.when(F.col("decision") == REJECTED, F.col("__n") == 1).otherwise(F.col("__n") == needed)
-    closing = numbered.where(decisive).groupBy("review_id").agg(
-        F.min(F.struct(F.col("__order").alias("closing"), F.col("decision").alias("outcome"))).alias("__first")
-    )
-    return closing.select("review_id", F.col("__first.outcome").alias("outcome"), F.col("__first.closing").alias("closing"))
+    earliest = F.min(F.struct(F.col("__order").alias("closing"), F.col("decision").alias("outcome"))).alias("__first")
+    return numbered.where(decisive).groupBy("review_id").agg(earliest).select("review_id", "__first.*")
+
+
+def closing_decisions(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str], chunk: Column | None = None) -> DataFrame:
+    """The decision that closes each review: ``review_id, outcome, closing``.
+
+    Decisions count in the order of time, then the ``tie`` columns, which must
+    tell a review's decisions apart. After each one, enough approvals close the
+    review as approved, else any rejection closes it as rejected. So the n-th
+    approval or the first rejection closes it, whichever is earlier: Spark trims
+    each map task to n decisions of a kind per review before anything is
+    shuffled. Decisions after the deadline are the last in order, so it is enough to test
+    the closing one against it, with one row per review on both sides.
+    """
+    earliest = _earliest_closing(decisions, config.required_approvals, tie, chunk)
+    limits = requests.select("review_id", deadline(F.col("created_at"), F.col("timeout_seconds")).alias("__until"))
+    timely = earliest.join(limits, on="review_id").where(F.col("closing.decided_at") <= F.col("__until"))
+    return timely.select("review_id", "outcome", "closing")
 
 
 def resolve(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str], as_of: Column | None = None) -> DataFrame:
@@ -116,7 +118,7 @@ def orphans(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie
     closing = closing_decisions(requests, decisions, config, tie)
     until = deadline(F.col("created_at"), F.col("timeout_seconds"))
     known = requests.select("review_id", until.alias("__until")).join(closing, on="review_id", how="left")
-    joined = decisions.withColumn("__order", _order(decisions, tie)).join(known, on="review_id", how="left")
+    joined = decisions.withColumn("__order", _order(tie)).join(known, on="review_id", how="left")
     late = (F.col("decided_at") > F.col("__until")) | (F.col("__order") > F.col("closing"))
     missed = F.col("__until").isNull() | F.coalesce(late, F.lit(False))
     return joined.where(missed).select(*decisions.columns)

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventflow.sources.context import plan_size
+
 from .batches import BATCH_SIZE
-from .quantiles import ONE_TASK, quantiles
+from .quantiles import ONE_TASK, summary
 
 Predict = Callable[[np.ndarray], np.ndarray]
 
@@ -112,9 +114,10 @@ def flagged(value: Column, threshold: float) -> Column:
 
 def robust_zscore(df: DataFrame, keys: list[str], value: str, into: str = "z", one_task: int = ONE_TASK) -> DataFrame:
     """Distance from the key's median in units of its median absolute deviation."""
-    x = F.col(value).cast("double")
-    centre = quantiles(df, keys, x, {"__med": 0.5}, one_task)
-    spread = quantiles(df.join(centre, on=keys), keys, F.abs(x - F.col("__med")), {"__mad": 0.5}, one_task)
+    x, size = F.col(value).cast("double"), plan_size(df.select(*keys, value))
+    centre = summary(df, keys, x, [], {"__med": 0.5}, size, one_task)
+    distance = F.abs(x - F.col("__med"))
+    spread = summary(df.join(centre, on=keys), keys, distance, [], {"__mad": 0.5}, size, one_task)
     joined = df.join(centre, on=keys, how="left").join(spread, on=keys, how="left")
     return joined.withColumn(into, F.try_divide(F.abs(x - F.col("__med")), F.col("__mad"))).drop("__med", "__mad")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventflow.operators import checks, metrics
 from eventflow.operators.ordered import previous
 from eventflow.plans.registry import Tables, query
+from eventflow.sources.context import plan_size
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -131,7 +132,8 @@ def metric_latency(t: Tables):
     day = F.date_trunc("DAY", "ts").cast("timestamp_ntz")
     events = previous(t.events.select("user_id", "ts"), ["user_id"], ["ts"], F.date_trunc("DAY", "ts"), "ts", "before")
     seconds = metrics.seconds_between(F.col("before"), F.col("ts"))
-    rows = metrics.latency(events.withColumn("day", day), ["day"], seconds)
+    # The gaps come one per event, so the table itself bounds their size.
+    rows = metrics.latency(events.withColumn("day", day), ["day"], seconds, size=plan_size(t.events))
     names = ["avg_seconds", "max_seconds", "p50", "p95"]
     return rows.select("day", "n", *[F.round(c, 3).alias(c) for c in names])
 

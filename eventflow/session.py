@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Runtime settings only: safe to apply to a session somebody else created.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,10 +18,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Keyed state with timers needs this store; it also keeps state off the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; partition counts stay as the cluster set them."""
@@ -36,7 +38,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
