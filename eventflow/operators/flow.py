@@ -18,9 +18,16 @@ def chain(df: DataFrame, *steps: Step) -> DataFrame:
     return reduce(lambda acc, step: acc.transform(step), steps, df)
 
 
-def guarded(df: DataFrame, when: str, step: Step) -> DataFrame:
-    """Run ``step`` on rows that meet ``when``; the others pass by unchanged."""
+def guarded(df: DataFrame, when: str, step: Step | dict[str, Column]) -> DataFrame:
+    """Run ``step`` on rows that meet ``when``; the others pass by unchanged.
+
+    A step given as columns is applied in the same pass; a function reads its
+    rows and the bypassed ones separately. A new column is NULL where bypassed.
+    """
     test = holds(when)
+    if isinstance(step, dict):
+        kept = {c: F.col(c) if c in df.columns else F.lit(None) for c in step}
+        return df.withColumns({c: F.when(test, value).otherwise(kept[c]) for c, value in step.items()})
     return step(df.where(test)).unionByName(df.where(~test), allowMissingColumns=True)
 
 
@@ -48,9 +55,15 @@ def merge_back(primary: DataFrame, secondary: DataFrame, on: list[str], columns:
     return joined.withColumns(merged).drop(*[f"__{c}" for c in columns])
 
 
-def with_fallback(df: DataFrame, failed: Column, alternative: Step) -> DataFrame:
-    """Rows of a failed step go through an alternative; both results come out together."""
+def with_fallback(df: DataFrame, failed: Column, alternative: Step | dict[str, Column]) -> DataFrame:
+    """Failed rows go through an alternative; ``handled_by`` tells which one it was.
+
+    An alternative given as columns costs no second pass over the data.
+    """
     bad = F.coalesce(failed, F.lit(False))
+    if isinstance(alternative, dict):
+        replaced = {c: F.when(bad, value).otherwise(F.col(c)) for c, value in alternative.items()}
+        return df.withColumns({**replaced, "handled_by": F.when(bad, "fallback").otherwise("primary")})
     good = df.where(~bad).withColumn("handled_by", F.lit("primary"))
     other = alternative(df.where(bad)).withColumn("handled_by", F.lit("fallback"))
     return good.unionByName(other, allowMissingColumns=True)
@@ -76,7 +89,7 @@ def subworkflow(
 
 
 def collect_errors(steps: dict[str, DataFrame], key: str, error: str = "error") -> DataFrame:
-    """Errors of several agents as one table: ``agent``, key, message."""
+    """Errors of agents with results of their own as one table: ``agent``, key, ``error``."""
     parts = [
         df.where(F.col(error).isNotNull()).select(F.lit(agent).alias("agent"), F.col(key), F.col(error).alias("error"))
         for agent, df in steps.items()
@@ -84,6 +97,15 @@ def collect_errors(steps: dict[str, DataFrame], key: str, error: str = "error")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def errors_of(df: DataFrame, key: str, errors: dict[str, Column]) -> DataFrame:
+    """The same where the agents' errors are columns of one table: a single pass."""
+    found = [
+        F.when(error.isNotNull(), F.struct(F.lit(agent).alias("agent"), error.alias("error")))
+        for agent, error in errors.items()
+    ]
+    return df.select(key, F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.agent", key, "e.error")
+
+
 def step_status(start: Column, end: Column, timeout_seconds: float) -> Column:
     """``timed_out`` where a step took longer than allowed (or never ended), else ``ok``."""
     took = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))

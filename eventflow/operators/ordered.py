@@ -39,8 +39,13 @@ def _running(data: DataFrame, order: list[Column], sums: dict[str, Column]) -> D
 
 def _previous(data: DataFrame, order: list[str], value: str, into: str) -> DataFrame:
     within = Window.partitionBy(_PART).orderBy(*order)
-    last = data.groupBy(_PART).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
-    carry = last.select(_PART, F.lag("__last").over(_across())["__v"].alias("__carry"))
+    if value == order[0]:  # a plain maximum, which hash aggregation can do
+        last = data.groupBy(_PART).agg(F.max(value).alias("__last"))
+        carried = F.lag("__last").over(_across())
+    else:
+        last = data.groupBy(_PART).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
+        carried = F.lag("__last").over(_across())["__v"]
+    carry = last.select(_PART, carried.alias("__carry"))
     local = data.withColumn("__n", F.row_number().over(within)).withColumn(into, F.lag(value).over(within))
     first = F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col(into))
     return local.join(carry, on=_PART).withColumn(into, first).drop("__n", "__carry")

@@ -15,7 +15,7 @@ from eventflow.sources.topics import envelope
 BODY = T.StructType([T.StructField("k", T.LongType())])
 
 
-def messages(events: DataFrame) -> DataFrame:
+def messages(events: DataFrame, *keep: str) -> DataFrame:
     kind = F.col("event_type")
     return envelope(
         events,
@@ -25,6 +25,7 @@ def messages(events: DataFrame) -> DataFrame:
         ts=F.col("ts"),
         reply_to=F.when(kind == "purchase", F.concat(F.lit("replies."), F.col("user_id").cast("string"))),
         headers=F.create_map(F.lit("type"), kind, F.lit("user"), F.col("user_id").cast("string")),
+        keep=keep,
     )
 
 

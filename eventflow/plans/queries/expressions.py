@@ -29,7 +29,7 @@ FROM orders
 def guard_filter(t: Tables):
     orders = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
     when = "o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice > 100000"
-    done = guarded(orders, when, lambda df: df.withColumn("handling", F.lit("expedite")))
+    done = guarded(orders, when, {"handling": F.lit("expedite")})
     return done.select("o_orderkey", "handling")
 
 

@@ -72,10 +72,9 @@ FROM m
 def fallback_agent(t: Tables):
     decoded = json_text.decode(messages(t.events), BODY).withColumn("k", F.col("body.k"))
 
-    def salvage(df):
-        return df.withColumn("k", F.regexp_extract("payload", "[0-9]+", 0).cast("bigint"))
-
-    return flow.with_fallback(decoded, F.col("decode_error").isNotNull(), salvage).select("message_id", "k", "handled_by")
+    salvaged = F.regexp_extract("payload", "[0-9]+", 0).cast("bigint")
+    done = flow.with_fallback(decoded, F.col("decode_error").isNotNull(), {"k": salvaged})
+    return done.select("message_id", "k", "handled_by")
 
 
 @query("""
@@ -122,12 +121,10 @@ UNION ALL
 SELECT 'validator', message_id, 'Missing required field: reply_to' FROM m WHERE reply_to IS NULL
 """)
 def error_union(t: Tables):
-    sent = messages(t.events)
-    decoder = json_text.decode(sent, BODY).select("message_id", F.col("decode_error").alias("error"))
-    checked = validate.validate(sent, Rules({"reply_to": FieldRule(required=True)}))
-    problem = F.when(~validate.is_valid(), validate.messages())
-    validator = checked.select("message_id", problem.alias("error"))
-    return flow.collect_errors({"decoder": decoder, "validator": validator}, "message_id")
+    decoded = json_text.decode(messages(t.events), BODY)
+    checked = validate.validate(decoded, Rules({"reply_to": FieldRule(required=True)}))
+    invalid = F.when(~validate.is_valid(), validate.messages())
+    return flow.errors_of(checked, "message_id", {"decoder": F.col("decode_error"), "validator": invalid})
 
 
 @query("""

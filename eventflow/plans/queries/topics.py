@@ -182,10 +182,9 @@ FROM events WHERE event_type = 'purchase'
 """)
 def decision_reply(t: Tables):
     rules = [Rule("large", "review", ({"op": "gt", "field": "value", "value": 100},))]
-    decided = decide(t.events, rules, default="accept")
-    replies = messages(t.events).select("message_id", "reply_to")
-    keyed = decided.select(F.col("event_id").cast("string").alias("message_id"), "decision")
-    return topics.reply_fan_out(replies.join(keyed, on="message_id"), None).select("message_id", "topic", "decision")
+    sent = messages(t.events, "value")
+    decided = decide(sent, rules, default="accept")
+    return topics.reply_fan_out(decided, None).select("message_id", "topic", "decision")
 
 
 _URIS_SQL = """

@@ -68,8 +68,9 @@ def envelope(
     ts: Column,
     reply_to: Column | None = None,
     headers: Column | None = None,
+    keep: list[str] = (),
 ) -> DataFrame:
-    """Wrap rows as messages."""
+    """Wrap rows as messages; ``keep`` names columns to carry along beside the payload."""
     text_map = "map<string,string>"
     return df.select(
         message_id.cast("string").alias("message_id"),
@@ -78,6 +79,7 @@ def envelope(
         (F.lit(None) if headers is None else headers).cast(text_map).alias("headers"),
         (F.lit(None) if reply_to is None else reply_to).cast("string").alias("reply_to"),
         ts.alias("ts"),
+        *keep,
     )
 
 
