@@ -9,51 +9,32 @@ combined per key, and its result is joined back.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANK = "__rank"
-_PART = "__part"  # struct of key columns and chunk: never NULL, so NULL keys join too
+PART = "__part"  # struct of key columns and chunk: never NULL, so NULL keys join too
 
 
-def _parted(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    return df.withColumn(_PART, F.struct(F.struct(F.lit(0), *keys).alias("k"), chunk.alias("c")))
+def parted(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    return df.withColumn(PART, F.struct(F.struct(F.lit(0), *keys).alias("k"), chunk.alias("c")))
 
 
-def _across():
+def across():
     """Window over the chunk summaries of a key."""
-    return Window.partitionBy(f"{_PART}.k").orderBy(f"{_PART}.c")
-
-
-def _running(data: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    within = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = _across().rowsBetween(Window.unboundedPreceding, -1)
-    totals = data.groupBy(_PART).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    offsets = totals.select(_PART, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    local = data.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()])
-    exact = {n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"__o_{n}") for n in sums}
-    return local.join(offsets, on=_PART).withColumns(exact).drop(*[f"__o_{n}" for n in sums])
-
-
-def _previous(data: DataFrame, order: list[str], value: str, into: str) -> DataFrame:
-    within = Window.partitionBy(_PART).orderBy(*order)
-    if value == order[0]:  # a plain maximum, which hash aggregation can do
-        last = data.groupBy(_PART).agg(F.max(value).alias("__last"))
-        carried = F.lag("__last").over(_across())
-    else:
-        last = data.groupBy(_PART).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
-        carried = F.lag("__last").over(_across())["__v"]
-    carry = last.select(_PART, carried.alias("__carry"))
-    local = data.withColumn("__n", F.row_number().over(within)).withColumn(into, F.lag(value).over(within))
-    first = F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col(into))
-    return local.join(carry, on=_PART).withColumn(into, first).drop("__n", "__carry")
+    return Window.partitionBy(f"{PART}.k").orderBy(f"{PART}.c")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key: ``{output name: summed column}``."""
-    return _running(_parted(df, keys, chunk), order, sums).drop(_PART)
+    data = parted(df, keys, chunk)
+    within = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = across().rowsBetween(Window.unboundedPreceding, -1)
+    totals = data.groupBy(PART).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    offsets = totals.select(PART, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    local = data.select("*", *[F.sum(c).over(within).alias(n) for n, c in sums.items()])
+    exact = {n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"__o_{n}") for n in sums}
+    return local.join(offsets, on=PART).withColumns(exact).drop(PART, *[f"__o_{n}" for n in sums])
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, into: str = "position") -> DataFrame:
@@ -63,20 +44,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, i
 
 def previous(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, into: str) -> DataFrame:
     """``lag(value)`` per key; ``order`` names the columns that order a key's rows."""
-    return _previous(_parted(df, keys, chunk), order, value, into).drop(_PART)
-
-
-def sessions(df: DataFrame, keys: list[str], order: list[str], chunk: Column, opens: Callable[[Column], Column]) -> DataFrame:
-    """Add ``session`` and ``row`` (both from 1 per key).
-
-    ``opens`` tells from the previous row's first order column, NULL for a key's
-    first row, whether a row opens a session. Both steps share one partitioning.
-    """
-    marked = _previous(_parted(df, keys, chunk), order, order[0], "__before")
-    flag = F.when(opens(F.col("__before")), 1).otherwise(0).cast("bigint")
-    marked = marked.withColumn("__opens", flag)
-    sums = {"session": F.col("__opens"), "row": F.lit(1).cast("bigint")}
-    return _running(marked, [F.col(c) for c in order], sums).drop(_PART, "__before", "__opens")
+    data = parted(df, keys, chunk)
+    within = Window.partitionBy(PART).orderBy(*order)
+    if value == order[0]:  # a plain maximum, which hash aggregation can do
+        last = data.groupBy(PART).agg(F.max(value).alias("__last"))
+        carried = F.lag("__last").over(across())
+    else:
+        last = data.groupBy(PART).agg(F.max(F.struct(*order, F.col(value).alias("__v"))).alias("__last"))
+        carried = F.lag("__last").over(across())["__v"]
+    carry = last.select(PART, carried.alias("__carry"))
+    local = data.withColumn("__n", F.row_number().over(within)).withColumn(into, F.lag(value).over(within))
+    first = F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col(into))
+    return local.join(carry, on=PART).withColumn(into, first).drop(PART, "__n", "__carry")
 
 
 def trailing(

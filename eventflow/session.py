@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import eventflow
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Runtime settings only: safe to apply to a session somebody else created.
@@ -24,7 +27,12 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; partition counts stay as the cluster set them."""
+    """Apply the runtime settings; partition counts stay as the cluster set them.
+
+    The package's Python functions travel inside the tasks, so executors need not
+    have it installed.
+    """
+    cloudpickle.register_pickle_by_value(eventflow)
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
     return spark
