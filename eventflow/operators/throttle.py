@@ -25,47 +25,87 @@ from pyspark.sql import functions as F
 _NONE = np.iinfo(np.int64).min
 
 
-def _last_from(at: np.ndarray, ttl: int) -> np.ndarray:
-    """For each position, the last passing time if the chain starts there."""
-    following = np.searchsorted(at, at + ttl, side="right")
-    last = at.copy()
-    for i in range(len(at) - 1, -1, -1):
-        if following[i] < len(at):
-            last[i] = last[following[i]]
-    return last
-
-
-def _steps(at: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
-    """The latest start of each step of that map, and where the step ends up."""
-    last = _last_from(at, ttl)
-    end = np.append(last[1:] != last[:-1], True)
-    return at[end], last[end]
-
-
-def _before(chunks: np.ndarray, until: np.ndarray, last: np.ndarray, ttl: int) -> np.ndarray:
-    """For each step of a key, the last passing time before the step's chunk."""
-    carry, out = _NONE, np.empty(len(chunks), dtype=np.int64)
-    edges = np.append(np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])), len(chunks))
-    for start, stop in zip(edges, edges[1:]):
-        out[start:stop] = carry
-        if carry == _NONE:
-            carry = last[start]
-        else:
-            hit = start + int(np.searchsorted(until[start:stop], carry + ttl, side="right"))
-            carry = last[hit] if hit < stop else carry
-    return out
-
-
-def _passing(at: np.ndarray, carry: int, ttl: int) -> np.ndarray:
-    keep = np.zeros(len(at), dtype=bool)
-    i = 0 if carry == _NONE else int(np.searchsorted(at, carry + ttl, side="right"))
-    while i < len(at):
-        keep[i] = True
-        i = int(np.searchsorted(at, at[i] + ttl, side="right"))
-    return keep
-
-
-def _grouped(batches: Iterator[pd.DataFrame], group: str) -> Iterator[pd.DataFrame]:
+class _Runs:
+    """Ascending times in consecutive groups, searched for all groups at once.
+
+    Times are replaced by their rank and laid out on one axis, each group in a
+    lane of its own, so a single binary search over the axis serves every row.
+    """
+
+    def __init__(self, at: np.ndarray, group: np.ndarray):
+        opens = np.append(True, group[1:] != group[:-1])
+        self.at, self.start = at, np.flatnonzero(opens)
+        self.end = np.append(self.start[1:], len(at))
+        self.of = np.cumsum(opens) - 1
+        self.times = np.unique(at)
+        self.lane = len(self.times) + 1
+        self.axis = np.searchsorted(self.times, at) + self.of * self.lane
+
+    def first_after(self, when: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Index of the first row of ``group`` later than ``when``; the group's end if none is."""
+        rank = np.searchsorted(self.times, when, side="right")
+        return np.searchsorted(self.axis, rank + group * self.lane)
+
+    def following(self, ttl: int) -> np.ndarray:
+        """For each row, the next one that passes if this one does."""
+        return self.first_after(self.at + ttl, self.of)
+
+
+def _last_passing(runs: _Runs, ttl: int) -> np.ndarray:
+    """For each row, the last passing time of its group if the chain starts there."""
+    ahead, rows = runs.following(ttl), np.arange(len(runs.at))
+    jump = np.where(ahead < runs.end[runs.of], ahead, rows)
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            return runs.at[jump]
+        jump = further
+
+
+def _summarise(pdf: pd.DataFrame, ttl: int) -> dict:
+    """The steps of that map: the latest start of each, and where it ends up."""
+    runs = _Runs(pdf["at"].to_numpy(), pdf["g"].to_numpy())
+    last = _last_passing(runs, ttl)
+    ends = np.append((last[1:] != last[:-1]) | (runs.of[1:] != runs.of[:-1]), True)
+    return {"g": pdf["g"].to_numpy()[ends], "until": runs.at[ends], "last": last[ends]}
+
+
+def _walk(pdf: pd.DataFrame, ttl: int) -> dict:
+    """The last passing time before each chunk of each key (rows: steps by key, chunk, start)."""
+    keys, chunks, last = (pdf[c].to_numpy() for c in ("k", "c", "last"))
+    new_key = np.append(True, keys[1:] != keys[:-1])
+    chunk_no = np.cumsum(new_key | np.append(True, chunks[1:] != chunks[:-1])) - 1
+    runs = _Runs(pdf["until"].to_numpy(), chunk_no)
+    key_of = (np.cumsum(new_key) - 1)[runs.start]
+    first = np.searchsorted(key_of, key_of)  # a key's first chunk
+    carry, state = np.empty(len(runs.start), np.int64), np.full(key_of[-1] + 1, _NONE)
+    turn = np.arange(len(first)) - first
+    order = np.argsort(turn, kind="stable")
+    for part in np.split(order, np.cumsum(np.bincount(turn))[:-1]):
+        carry[part] = known = state[key_of[part]]
+        fresh = known == _NONE
+        hit = np.where(fresh, runs.start[part], runs.first_after(np.where(fresh, 0, known) + ttl, part))
+        found = hit < runs.end[part]
+        state[key_of[part][found]] = last[hit[found]]
+    return {"k": keys[runs.start], "c": chunks[runs.start], "carry": carry}
+
+
+def _replay(pdf: pd.DataFrame, ttl: int) -> dict:
+    """The rows that pass, starting from each group's ``carry``."""
+    runs = _Runs(pdf["at"].to_numpy(), pdf["g"].to_numpy())
+    carry, groups = pdf["carry"].to_numpy()[runs.start], np.arange(len(runs.start))
+    fresh = carry == _NONE
+    entry = np.where(fresh, runs.start, runs.first_after(np.where(fresh, 0, carry) + ttl, groups))
+    ahead, keep = runs.following(ttl), np.zeros(len(runs.at), dtype=bool)
+    front = entry[entry < runs.end]
+    while len(front):
+        keep[front] = True
+        after = ahead[front]
+        front = after[after < runs.end[runs.of[front]]]
+    return {"g": pdf["g"].to_numpy()[keep], "at": runs.at[keep]}
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], group: str) -> Iterator[pd.DataFrame]:
     """Batches cut so that no group is spread over two of them; rows come sorted by group."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -84,20 +124,12 @@ def _grouped(batches: Iterator[pd.DataFrame], group: str) -> Iterator[pd.DataFra
         yield pd.concat(held, ignore_index=True)
 
 
-def _groups(pdf: pd.DataFrame, group: str) -> Iterator[slice]:
-    codes = pdf[group].to_numpy()
-    edges = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
-    return (slice(a, b) for a, b in zip(edges, edges[1:]))
-
-
-def _by_group(df: DataFrame, group: str, order: list[str], fn: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
-    """Run ``fn`` on the sorted rows of each group. Small groups share an Arrow batch,
-    which costs far less than one call of the Python worker per group."""
+def _by_group(df: DataFrame, group: str, order: list[str], fn: Callable[[pd.DataFrame, int], dict], ttl: int, schema: str) -> DataFrame:
+    """Run ``fn`` on sorted rows, many whole groups per call."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _grouped(batches, group):
-            parts = [fn(pdf.iloc[s]) for s in _groups(pdf, group)]
-            yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+        for pdf in _whole_groups(batches, group):
+            yield pd.DataFrame(fn(pdf, ttl))
 
     return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
 
@@ -111,37 +143,18 @@ def throttle(df: DataFrame, key: str, ts: str, chunk: Column, ttl_seconds: float
     if ttl_seconds is None:
         return _first_only(df, key, ts, tie)
     ttl = int(ttl_seconds * 1_000_000)
-    start = F.unix_micros(chunk.cast("timestamp"))
-    marked = df.withColumns(
-        {
-            "__k": F.sha2(F.to_json(F.struct(key)), 256),
-            "__at": F.unix_micros(F.col(ts).cast("timestamp")),
-            "__c": start,
-        }
-    ).withColumn("__g", F.concat_ws("/", "__k", F.col("__c").cast("string")))
-    times = marked.select("__k", "__g", "__c", "__at").distinct()
-
-    def summarise(pdf: pd.DataFrame) -> dict:
-        until, last = _steps(pdf["__at"].to_numpy(), ttl)
-        first = {c: np.full(len(until), pdf[c].iloc[0], dtype=pdf[c].dtype) for c in ("__k", "__g", "__c")}
-        return {**first, "until": until, "last": last}
-
-    def walk(pdf: pd.DataFrame) -> dict:
-        chunks = pdf["__c"].to_numpy()
-        carry = _before(chunks, pdf["until"].to_numpy(), pdf["last"].to_numpy(), ttl)
-        first = np.append(True, chunks[1:] != chunks[:-1])
-        return {"__g": pdf["__g"].to_numpy()[first], "carry": carry[first]}
-
-    def replay(pdf: pd.DataFrame) -> dict:
-        at = pdf["__at"].to_numpy()
-        kept = _passing(at, int(pdf["carry"].iloc[0]), ttl)
-        return {"__k": pdf["__k"].to_numpy()[kept], "__at": at[kept]}
-
-    steps = _by_group(times, "__g", ["__at"], summarise, "__k string, __g string, __c bigint, until bigint, last bigint")
-    carries = _by_group(steps, "__k", ["__c", "until"], walk, "__g string, carry bigint")
-    started = times.join(carries, on="__g")
-    passed = _by_group(started, "__g", ["__at"], replay, "__k string, __at bigint")
-    return _one_per_instant(marked.join(passed, on=["__k", "__at"]), ["__k", "__at"], tie).select(*df.columns)
+    digest = F.md5(F.to_json(F.struct(key)))
+    label = F.concat_ws("/", digest, F.unix_micros(chunk.cast("timestamp")).cast("string"))
+    marked = df.withColumns({"g": label, "at": F.unix_micros(F.col(ts).cast("timestamp"))})
+    times = marked.select("g", "at").distinct()
+
+    steps = _by_group(times, "g", ["at"], _summarise, ttl, "g string, until bigint, last bigint")
+    parts = F.split("g", "/")
+    by_key = steps.select(parts[0].alias("k"), parts[1].cast("bigint").alias("c"), "until", "last")
+    carries = _by_group(by_key, "k", ["c", "until"], _walk, ttl, "k string, c bigint, carry bigint")
+    carries = carries.select(F.concat_ws("/", "k", F.col("c").cast("string")).alias("g"), "carry")
+    passed = _by_group(times.join(carries, on="g"), "g", ["at"], _replay, ttl, "g string, at bigint")
+    return _one_per_instant(marked.join(passed, on=["g", "at"]), ["g", "at"], tie).select(*df.columns)
 
 
 def _one_per_instant(df: DataFrame, by: list[str], tie: str) -> DataFrame:

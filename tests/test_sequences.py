@@ -210,10 +210,10 @@ def test_timeout_actions(spark):
 def test_group_runs_do_not_mix_batches():
     import pandas as pd
 
-    from eventflow.operators.throttle import _grouped
+    from eventflow.operators.throttle import _whole_groups
 
     frames = [pd.DataFrame({"g": list(g), "v": range(len(g))}) for g in ("aab", "bb", "", "bcc", "d")]
-    runs = [list(p.g) for p in _grouped(iter(frames), "g")]
+    runs = [list(p.g) for p in _whole_groups(iter(frames), "g")]
     assert [x for run in runs for x in run] == list("aabbbbccd")
     seen = defaultdict(int)
     for run in runs:
