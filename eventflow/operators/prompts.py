@@ -12,11 +12,14 @@ from pyspark.sql import types as T
 
 from .ordered import trailing
 
-# History length, role labels, separator, supported providers.
+# History length, role labels, separator, supported providers, error texts.
 HISTORY = 10
 ROLE_LABELS = {"user": "User: ", "assistant": "Assistant: ", "system": "System: "}
 BETWEEN = "\n\n"
 PROVIDERS = ("openai", "anthropic", "local")
+MISSING_PROMPT = "Missing or invalid 'prompt' field in message"
+UNSUPPORTED = "Unsupported LLM provider: "
+BAD_RESPONSE = "Invalid response format from "
 
 
 @dataclass(frozen=True)
@@ -115,7 +118,7 @@ def unsupported(provider: Column) -> Column:
     """Error text for an unknown provider, else NULL."""
     known = F.coalesce(F.lower(provider).isin(*PROVIDERS), F.lit(False))
     shown = F.coalesce(provider, F.lit("none"))
-    return F.when(~known, F.concat(F.lit("Unsupported LLM provider: "), shown))
+    return F.when(~known, F.concat(F.lit(UNSUPPORTED), shown))
 
 
 def parse_response(provider: Column, model: Column, body: Column) -> Column:
@@ -140,7 +143,7 @@ def parse_response(provider: Column, model: Column, body: Column) -> Column:
         F.when(theirs, number("$.usage.input_tokens")).otherwise(number("$.usage.prompt_tokens")).alias("prompt_tokens"),
         F.when(theirs, number("$.usage.output_tokens")).otherwise(number("$.usage.completion_tokens")).alias("completion_tokens"),
         F.when(~theirs, number("$.usage.total_tokens")).alias("total_tokens"),
-        F.when(text.isNull(), F.concat(F.lit("Invalid response format from "), name)).alias("error"),
+        F.when(text.isNull(), F.concat(F.lit(BAD_RESPONSE), name)).alias("error"),
     )
 
 
@@ -177,7 +180,7 @@ def generate(df: DataFrame, prompt: str, load: Callable[[], Generate], batch_siz
                 got, bad = _generate(client, asked, max_retries) if asked else ([], [])
                 replies = iter(zip(got, bad))
                 for p in part:
-                    answer, error = next(replies) if p is not None else (None, "Missing or invalid 'prompt' field in message")
+                    answer, error = next(replies) if p is not None else (None, MISSING_PROMPT)
                     answers.append(answer)
                     errors.append(error)
             yield pdf.assign(response=answers, error=errors)

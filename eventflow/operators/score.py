@@ -16,6 +16,9 @@ from eventflow.sources.context import plan_size
 from .batches import BATCH_SIZE
 from .quantiles import ONE_TASK, summary
 
+# Fixed value: how a failed batch is reported.
+FAILED = "Batch processing error: "
+
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
@@ -64,7 +67,7 @@ def _score_rows(predict: Predict, rows: np.ndarray, retries: int) -> tuple[list,
             errors.append(None)
         except Exception as problem:
             values.append(None)
-            errors.append(f"Batch processing error: {problem}")
+            errors.append(f"{FAILED}{problem}")
     return values, errors
 
 

@@ -9,11 +9,14 @@ from eventflow.operators import flow, validate
 from eventflow.operators.normalize import features
 from eventflow.operators.throttle import throttle
 from eventflow.operators.validate import FieldRule, Rules
+from eventflow.plans.cases import case_workflow
 from eventflow.plans.fraud import fraud_detection
 from eventflow.plans.registry import Tables, query
+from eventflow.plans.sentiment import sentiment
 from eventflow.sources.context import lookup
 
 from .common import BODY, MESSAGES_SQL, messages
+from .prompts import load_echo
 
 _FLAGSHIP_SQL = """
 SELECT event_id, value, CAST(hour(ts) AS BIGINT) AS tx_hour, value > 100 AS is_high_value,
@@ -32,6 +35,34 @@ def fraud_flow(t: Tables):
     return fraud_detection(t.events)
 
 
+@query(r"""
+WITH c AS (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[^\p{L}\p{N}\s]', '', 'g') AS text FROM documents),
+     w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM c),
+     s AS (SELECT doc_id, coalesce(round(len(list_distinct(words)) / nullif(len(words), 0), 6), 0.0) AS score FROM w)
+SELECT doc_id, score, CASE WHEN score > 0.8 THEN 'alerts.high_sentiment' ELSE 'analysis.results' END AS topic FROM s
+""")
+def sentiment_flow(t: Tables):
+    return sentiment(t.documents.select("doc_id", "text")).select("doc_id", "score", "topic")
+
+
+@query("""
+WITH m AS (SELECT lang, median(n_chars) AS med FROM documents GROUP BY 1),
+     a AS (SELECT d.lang, median(abs(d.n_chars - m.med)) AS mad FROM documents d JOIN m ON m.lang = d.lang GROUP BY 1),
+     z AS (SELECT d.doc_id, d.lang, d.n_chars, l.toxic = 1 AS toxic, abs(d.n_chars - m.med) / a.mad > 3.0 AS outlier
+           FROM documents d JOIN labels l ON l.doc_id = d.doc_id JOIN m ON m.lang = d.lang JOIN a ON a.lang = d.lang),
+     u AS (SELECT *, CASE WHEN outlier AND toxic THEN 'critical' WHEN outlier OR toxic THEN 'high' ELSE 'low' END AS urgency FROM z),
+     p AS (SELECT *, 'Analyze case ' || doc_id || ' in ' || lang || '.' || chr(10) || 'Urgency: ' || urgency ||
+                  CASE WHEN outlier THEN chr(10) || 'Note: unusual length' ELSE '' END AS prompt FROM u)
+SELECT doc_id, urgency, length(prompt) || ':' || md5(prompt) AS analysis,
+       CASE WHEN n_chars > 20000 THEN 'alerts.invalid_output' WHEN urgency = 'critical' THEN 'alerts.critical'
+            WHEN urgency = 'high' THEN 'alerts.warning' ELSE 'updates' END AS topic
+FROM p
+""")
+def case_flow(t: Tables):
+    docs = t.documents.select("doc_id", "lang", "n_chars")
+    return case_workflow(load_echo).run(source=docs, labels=t.labels)["routed"].select("doc_id", "urgency", "analysis", "topic")
+
+
 @query("""
 SELECT doc_id, l.quality, l.toxic, d.lang FROM documents d JOIN labels l USING (doc_id)
 """)

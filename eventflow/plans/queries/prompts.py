@@ -101,7 +101,7 @@ def llm_input(t: Tables):
         "turn",
         F.col("body.prompt").alias("prompt"),
         F.col("body.options").isNotNull().alias("has_options"),
-        F.when(missing, "Missing or invalid 'prompt' field in message").alias("error"),
+        F.when(missing, p.MISSING_PROMPT).alias("error"),
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -100,6 +100,16 @@ def reviews(df: DataFrame, config: ReviewConfig, ts: str = "ts", tie: list[str]
     return changes.withColumn("at", F.timestamp_micros("at_us")).drop("at_us")
 
 
+def open_reviews(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The reviews a stream currently waits for, read from its state."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "review").load()
+    return state.where("value.open").select(
+        F.col("key.review_id").alias("review_id"),
+        F.timestamp_micros("value.deadline").alias("deadline"),
+        F.col("value.approvals").alias("approvals"),
+    )
+
+
 class Memory(StatefulProcessor):
     """The latest turns of one conversation."""
 

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry_points
 
 # Queries whose point is user-supplied Python.
-PYTHON = {"python_rule", "ml_score", "ml_format", "ml_threshold", "ml_error_split", "llm_generate", "llm_error_split", "ttl_throttle"}
+PYTHON = {"python_rule", "ml_score", "ml_format", "ml_threshold", "ml_error_split", "llm_generate", "llm_error_split", "ttl_throttle", "case_flow"}
 NARROW = ["fraud_flow", "decide", "decide_priority", "validation_errors", "error_route", "route_multicast", "text_clean", "features",
           "json_decode", "route_actions", "llm_request", "ml_linear", "pubsub_fanout", "reply_fanout", "cond_tree", "decision_reply", "guard_filter", "fallback_agent", "error_union"]
 

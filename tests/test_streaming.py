@@ -131,6 +131,19 @@ def test_review_lifecycle(spark, data, tmp_path):
     assert got.where("status = 'pending'").count() == created.count()
 
 
+def test_open_reviews_can_be_looked_up(spark, tmp_path):
+    rows = [(1, "request", None, None, 0), (2, "request", None, None, 0), (1, "decision", 7, "approved", 5), (2, "decision", 7, "approved", 6), (2, "decision", 8, "approved", 7)]
+    feed = spark.createDataFrame(
+        [(*r[:4], START + timedelta(seconds=r[4])) for r in rows], "review_id long, kind string, reviewer long, decision string, ts timestamp"
+    )
+    stream = windows.event_time(in_files(feed, str(tmp_path / "in"), "ts", 1), "ts", "1 day")
+    config = ReviewConfig(required_approvals=2, timeout_seconds=3600)
+    changes = run(state.reviews(stream, config), tmp_path, "open")
+    assert {(r.review_id, r.status) for r in changes.collect()} == {(1, "pending"), (2, "pending"), (2, "approved")}
+    waiting = state.open_reviews(spark, str(tmp_path / "cp-open")).collect()
+    assert [(r.review_id, r.approvals, r.deadline) for r in waiting] == [(1, 1, START + timedelta(hours=1))]
+
+
 def test_bounded_wait(spark, tmp_path):
     ticks = spark.readStream.format("rate").load()
     query = ticks.writeStream.format("noop").option("checkpointLocation", str(tmp_path)).start()
