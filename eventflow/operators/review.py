@@ -7,16 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranked
+from .ordered import TRIM_LIMIT, ranked
 
 # States, default settings, topic parts.
 PENDING, APPROVED, REJECTED, TIMED_OUT = "pending", "approved", "rejected", "timed_out"
 CLOSED = (APPROVED, REJECTED, TIMED_OUT)
 TOPIC_PART = {PENDING: "pending", APPROVED: "completed", REJECTED: "completed", TIMED_OUT: "timeout"}
 
-# Up to here Spark trims ranked rows before the shuffle.
-_TRIM_LIMIT = 1000
-
 
 @dataclass(frozen=True)
 class ReviewConfig:
@@ -71,7 +68,7 @@ def _earliest_closing(decisions: DataFrame, needed: int, tie: list[str], chunk:
         return first.withColumn("outcome", F.lit(APPROVED))
     final = ordered.where(F.col("decision").isin(APPROVED, REJECTED)).select("review_id", "decision", "decided_at", "__order")
     by_kind = ["review_id", "decision"]
-    if needed <= _TRIM_LIMIT:
+    if needed <= TRIM_LIMIT:
         w = Window.partitionBy(*by_kind).orderBy("__order")
         numbered = final.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= needed)
     else:

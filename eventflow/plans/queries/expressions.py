@@ -67,7 +67,7 @@ def expr_compare(t: Tables):
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) + l_tax, 4) AS net,
-       round(l_extendedprice / nullif(l_discount, 0), 4) AS ratio, CAST(l_quantity AS BIGINT) % 7 AS rest
+       coalesce(round(l_extendedprice / nullif(l_discount, 0), 4), -1) AS ratio, CAST(l_quantity AS BIGINT) % 7 AS rest
 FROM lineitem
 """)
 def expr_arith(t: Tables):
@@ -77,7 +77,7 @@ def expr_arith(t: Tables):
         "l_partkey",
         "l_suppkey",
         F.round(F.expr("l_extendedprice * (1 - l_discount) + l_tax"), 4).alias("net"),
-        F.round(F.expr("try_divide(l_extendedprice, l_discount)"), 4).alias("ratio"),
+        F.coalesce(F.round(F.expr("try_divide(l_extendedprice, l_discount)"), 4), F.lit(-1.0)).alias("ratio"),
         F.expr("CAST(l_quantity AS BIGINT) % 7").alias("rest"),
     )
 

@@ -26,13 +26,14 @@ SELECT event_id, value, CAST(hour(ts) AS BIGINT) AS tx_hour, value > 100 AS is_h
             ELSE 'transactions.processed' END AS topic
 FROM events WHERE event_type <> 'error'
 UNION ALL
-SELECT event_id, value, NULL, NULL, NULL, 'transactions.errors' FROM events WHERE event_type = 'error'
+SELECT event_id, value, -1, false, -1, 'transactions.errors' FROM events WHERE event_type = 'error'
 """
 
 
 @query(_FLAGSHIP_SQL)
 def fraud_flow(t: Tables):
-    return fraud_detection(t.events)
+    # Rejected events have no features; the fill keeps NULLs out of the comparison.
+    return fraud_detection(t.events).na.fill({"tx_hour": -1, "is_high_value": False, "risk_score": -1.0})
 
 
 @query(r"""

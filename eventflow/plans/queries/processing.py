@@ -209,7 +209,7 @@ def features(t: Tables):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS ordered_at FROM orders
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate ELSE TIMESTAMP '1970-01-01' END AS ordered_at FROM orders
 """)
 def normalize_dates(t: Tables):
     text = (
@@ -219,18 +219,19 @@ def normalize_dates(t: Tables):
     )
     mixed = t.orders.select("o_orderkey", text.alias("d"))
     parsed = normalize.parse_date(F.col("d"), ["yyyy-MM-dd", "dd/MM/yyyy"])
-    return mixed.select("o_orderkey", parsed.cast("timestamp_ntz").alias("ordered_at"))
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return mixed.select("o_orderkey", F.coalesce(parsed.cast("timestamp_ntz"), epoch).alias("ordered_at"))
 
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-       round(l_quantity * CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.001 END, 6) AS kg
+       coalesce(round(l_quantity * CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.001 END, 6), -1) AS kg
 FROM lineitem
 """)
 def normalize_units(t: Tables):
     unit = F.when(F.col("l_returnflag") == "A", "kg").when(F.col("l_returnflag") == "R", "g").otherwise("box")
     kg = normalize.convert(F.col("l_quantity"), unit, {"kg": 1.0, "g": 0.001})
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(kg, 6).alias("kg"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.round(kg, 6), F.lit(-1.0)).alias("kg"))
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS country FROM customer")

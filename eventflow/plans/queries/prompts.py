@@ -175,7 +175,7 @@ def responses(t: Tables):
 @query(f"""
 WITH r AS (SELECT *, {_PROVIDER_SQL} AS provider FROM conversations)
 SELECT conv_id, turn, CASE WHEN provider <> 'other' THEN text END AS text,
-       CASE WHEN provider = 'other' THEN -1 ELSE 10 END AS prompt_tokens,
+       CAST(CASE WHEN provider = 'other' THEN -1 ELSE 10 END AS BIGINT) AS prompt_tokens,
        CASE WHEN provider = 'other' THEN -1 ELSE length(text) END AS completion_tokens,
        CASE WHEN provider IN ('other', 'anthropic') THEN -1 ELSE length(text) + 10 END AS total_tokens,
        CASE WHEN provider = 'other' THEN 'Invalid response format from other' END AS error

@@ -66,9 +66,11 @@ def review_submit(t: Tables):
     return review.submit(large, F.col("o_orderkey"), F.col("o_orderdate"), F.col("o_orderstatus"), ReviewConfig())
 
 
-@query(f"WITH {_SQL} SELECT review_id, status, closed_at FROM resolved")
+@query(f"WITH {_SQL} SELECT review_id, status, coalesce(closed_at, created_at + INTERVAL 365 DAY) AS ended_at FROM resolved")
 def review_resolve(t: Tables):
-    return review.resolve(requests(t), decisions(t), CONFIG, TIE).select("review_id", "status", "closed_at")
+    states = review.resolve(requests(t), decisions(t), CONFIG, TIE)
+    until = review.deadline(F.col("created_at"), F.col("timeout_seconds"))
+    return states.select("review_id", "status", F.coalesce("closed_at", until).alias("ended_at"))
 
 
 @query(f"""

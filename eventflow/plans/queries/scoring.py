@@ -33,7 +33,7 @@ def load_strict_model():
 
 def scored(t: Tables):
     inputs = t.events.select("event_id", "event_type", score.feature_vector(F.col("value"), F.hour("ts")).alias("x"))
-    return score.score(inputs, "x", 2, load_risk_model)
+    return score.score(inputs, "x", 2, load_risk_model, batch_size=1024)
 
 
 _SCORE = "0.004 * value + 0.01 * hour(ts)"

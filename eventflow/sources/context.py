@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
+BROADCAST_LIMIT = 16 * 1024 * 1024
+
+# Plan nodes that may give more rows than they get without Spark's estimate showing it.
+_GROWING = ("Generate", "Expand", "InPandas", "InArrow", "ScriptTransformation")
+UNKNOWN = 1 << 62
 
 
 def plan_size(df: DataFrame) -> int:
-    """Spark's own upper estimate of a DataFrame's bytes."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Spark's own upper estimate of a DataFrame's bytes; ``UNKNOWN`` if it cannot be trusted."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in _GROWING):
+        return UNKNOWN
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:

@@ -71,6 +71,13 @@ def test_most_recent(events):
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_most_recent_beyond_the_trim_limit(events):
+    plain = events.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("id")))).where("n <= 1200").drop("n")
+    same(ordered.most_recent(events, ["k"], [F.desc("id")], 1200, chunk=-F.floor(F.col("id") / 100)), plain)
+    with pytest.raises(ValueError):
+        ordered.most_recent(events, ["k"], [F.desc("id")], 1200)
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_spread_quantiles_equal_the_builtin(events, keys):
     qs = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q99": 0.99, "q100": 1.0}
