@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventflow.functions.arrays import pick
+
 # Fixed value: letters, digits and underscores, not starting with a digit.
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
@@ -15,10 +17,17 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def distinct_items(df: DataFrame, key: str, item: str) -> DataFrame:
+    return df.select(key, item).distinct()
+
+
 def distinct_lists(df: DataFrame, key: str, item: str) -> DataFrame:
-    """Sorted distinct items per key. Duplicates go before anything is collected,
-    so a list is as long as its key has different items."""
-    return df.select(key, item).distinct().groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    """Sorted distinct items per key, for items of a small domain such as types.
+
+    Duplicates go before anything is collected. Where a key may have any number
+    of different items, take the rows of ``distinct_items`` instead.
+    """
+    return distinct_items(df, key, item).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def duplicates(*parts: DataFrame) -> DataFrame:
@@ -44,7 +53,7 @@ def lacks_any(config: Column, keys: list[str]) -> Column:
 
 def error_rows(df: DataFrame, scope: str, checks: dict[str, Column]) -> DataFrame:
     """One row per failed check: ``scope``, ``error``. Not aggregated, so of any size."""
-    failed = F.array_compact(F.array(*[F.when(bad, F.lit(text)) for text, bad in checks.items()]))
+    failed = pick([(bad, F.lit(text)) for text, bad in checks.items()], "string")
     return df.select(F.col(scope).alias("scope"), F.explode(failed).alias("error"))
 
 

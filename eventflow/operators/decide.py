@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventflow.functions.arrays import pick
 from eventflow.functions.conditions import all_of, holds
 from eventflow.sources.context import lookup
 
@@ -64,8 +65,7 @@ def decide(df: DataFrame, rules: list[Rule], default: str = DEFAULT_DECISION, in
 
 def matching_rules(rules: list[Rule], schema: T.StructType) -> Column:
     """Ids of all matching rules, best first."""
-    hits = [F.when(matches(r, schema), F.lit(r.id)) for r in by_priority(rules)]
-    return F.array_compact(F.array(*hits)).cast("array<string>")
+    return pick([(matches(r, schema), F.lit(r.id)) for r in by_priority(rules)], "string")
 
 
 def decide_by_table(
@@ -97,11 +97,8 @@ class Check:
 
 def failed_checks(checks: list[Check]) -> Column:
     """``{name, error}`` for each check that fails; a NULL result is a failure."""
-    failed = [
-        F.when(~holds(c.condition), F.struct(F.lit(c.name).alias("name"), F.lit(c.error).alias("error")))
-        for c in checks
-    ]
-    return F.array_compact(F.array(*failed))
+    failed = [(~holds(c.condition), F.struct(F.lit(c.name).alias("name"), F.lit(c.error).alias("error"))) for c in checks]
+    return pick(failed, "struct<name:string,error:string>")
 
 
 def failure_route(failed: Column, attempt: Column, retries: int, ok_topic: str, retry_topic: str, reject_topic: str) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventflow.functions.arrays import pick
 from eventflow.functions.conditions import holds
 
 Step = Callable[[DataFrame], DataFrame]
@@ -100,10 +102,19 @@ def collect_errors(steps: dict[str, DataFrame], key: str, error: str = "error")
 def errors_of(df: DataFrame, key: str, errors: dict[str, Column]) -> DataFrame:
     """The same where the agents' errors are columns of one table: a single pass."""
     found = [
-        F.when(error.isNotNull(), F.struct(F.lit(agent).alias("agent"), error.alias("error")))
+        (error.isNotNull(), F.struct(F.lit(agent).alias("agent"), error.alias("error")))
         for agent, error in errors.items()
     ]
-    return df.select(key, F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.agent", key, "e.error")
+    return df.select(key, F.explode(pick(found, "struct<agent:string,error:string>")).alias("e")).select("e.agent", key, "e.error")
+
+
+def custom(df: DataFrame, on_batch: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A user's own agent: a function from one batch of messages to its results."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (on_batch(pdf) for pdf in batches)
+
+    return df.mapInPandas(run, schema)
 
 
 def step_status(start: Column, end: Column, timeout_seconds: float) -> Column:

@@ -147,6 +147,13 @@ def parse_response(provider: Column, model: Column, body: Column) -> Column:
     )
 
 
+def output_record(response: Column, model: Column, error: Column, original: Column, at: Column) -> Column:
+    """``{response, model}`` as JSON, or ``{error, input, timestamp}`` where it failed."""
+    done = F.to_json(F.struct(response.alias("response"), model.alias("model")))
+    failed = F.to_json(F.struct(error.alias("error"), original.alias("input"), at.alias("timestamp")))
+    return F.when(error.isNull(), done).otherwise(failed)
+
+
 Generate = Callable[[list[str]], list[str]]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventflow.sources.context import plan_size
+from eventflow.sources.context import plan_size, sized
 
 from .batches import BATCH_SIZE
 from .quantiles import ONE_TASK, summary
@@ -99,11 +100,15 @@ def score_or_error(
     return df.mapInPandas(run, T.StructType([*df.schema.fields, *extra]))
 
 
+def linear_of(features: list[Column], weights: list[float], bias: float = 0.0) -> Column:
+    """``bias + sum(w * x)`` over columns, as one compiled expression."""
+    terms = [x.cast("double") * F.lit(float(w)) for x, w in zip(features, weights, strict=True)]
+    return reduce(lambda total, term: total + term, terms, F.lit(float(bias)))
+
+
 def linear(features: Column, weights: list[float], bias: float = 0.0) -> Column:
-    """``bias + sum(w * x)`` over an array column; stays on the JVM."""
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    products = F.zip_with(features, w, lambda x, y: x.cast("double") * y)
-    return F.aggregate(products, F.lit(float(bias)), lambda total, p: total + p)
+    """The same over an array column; NULL if the array is too short."""
+    return linear_of([F.get(features, F.lit(i)) for i in range(len(weights))], weights, bias)
 
 
 def logistic(z: Column) -> Column:
@@ -137,6 +142,23 @@ def latest_models(catalogue: DataFrame, tie: str) -> DataFrame:
     return catalogue.groupBy("name").agg(newest.alias("m")).select("name", "m.*")
 
 
+def resolve_models(df: DataFrame, catalogue: DataFrame, tie: str, name: str = "model", version: str = "wanted") -> DataFrame:
+    """Attach the catalogue entry each row asks for: the named version, or the newest if NULL."""
+    entries = catalogue.withColumn("__version", F.col("version")).unionByName(
+        latest_models(catalogue, tie).withColumn("__version", F.lit(""))
+    )
+    entries = entries.withColumnRenamed("name", "__name")
+    on = (F.col(name) == F.col("__name")) & (F.coalesce(F.col(version), F.lit("")) == F.col("__version"))
+    return df.join(sized(entries), on=on, how="left").drop("__name", "__version")
+
+
+def error_record(agent: str, error: Column, at: Column) -> Column:
+    """``{error, timestamp, agent}`` as JSON; NULL where there is no error."""
+    return F.when(
+        error.isNotNull(), F.to_json(F.struct(error.alias("error"), at.alias("timestamp"), F.lit(agent).alias("agent")))
+    )
+
+
 def token_overlap(left: Column, right: Column) -> Column:
     """Shared words over all words of two texts, 0 if both are empty."""
     a, b = (F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")) for c in (left, right))

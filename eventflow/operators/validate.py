@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventflow.functions.arrays import pick
 from eventflow.functions.conditions import holds
 from eventflow.functions.json_text import unknown_keys
 from eventflow.functions.paths import Field, resolve
@@ -88,34 +89,38 @@ def _variant_type(c: Column) -> Column:
     )
 
 
-def _type_error(name: str, found: Field, expected: str) -> Column | None:
+# A test that tells a bad row, and the error it then gets.
+Failure = tuple[Column, Column]
+
+
+def _type_error(name: str, found: Field, expected: str) -> Failure | None:
     """Declared types are checked once; texts and variants row by row."""
     if isinstance(found.type, T.VariantType):
         actual = _variant_type(found.column)
         fits = (actual == expected) | ((actual == "integer") & F.lit(expected == "number"))
-        return F.when(~fits, _error("invalid_type", name, name, expected, actual))
+        return found.column.isNotNull() & ~fits, _error("invalid_type", name, name, expected, actual)
     actual = _json_type(found.type)
     if actual == expected or (actual == "integer" and expected == "number"):
         return None
     if actual == "string" and expected in _CASTS:
         wrong = found.column.isNotNull() & found.column.try_cast(_CASTS[expected]).isNull()
-        return F.when(wrong, _error("invalid_type", name, name, expected, actual))
-    return F.when(found.column.isNotNull(), _error("invalid_type", name, name, expected, actual))
+        return wrong, _error("invalid_type", name, name, expected, actual)
+    return found.column.isNotNull(), _error("invalid_type", name, name, expected, actual)
 
 
-def _field_errors(name: str, rule: FieldRule, schema: T.StructType) -> list[Column]:
+def _field_errors(name: str, rule: FieldRule, schema: T.StructType) -> list[Failure]:
     found = resolve(schema, name)
     if found is None:
-        return [_error("missing_field", name, name)] if rule.required else []
+        return [(F.lit(True), _error("missing_field", name, name))] if rule.required else []
     c, errors = found.column, []
     if rule.required:
-        errors.append(F.when(c.isNull(), _error("missing_field", name, name)))
+        errors.append((c.isNull(), _error("missing_field", name, name)))
     if rule.type is not None:
         errors.append(_type_error(name, found, rule.type))
 
     def fails(ok: Column, reason: str) -> None:
         bad = c.isNotNull() & ~F.coalesce(ok, F.lit(False))
-        errors.append(F.when(bad, _error("field_validation", name, name, reason)))
+        errors.append((bad, _error("field_validation", name, name, reason)))
 
     size = F.size(c) if isinstance(found.type, T.ArrayType) else F.length(c.cast("string"))
     if rule.min_length is not None:
@@ -151,17 +156,17 @@ def _label(rule: dict) -> str:
     return body if kind == "custom" else f"{kind} rule not met"
 
 
-_ERRORS = "array<struct<kind:string,field:string,message:string>>"
+_ERROR = "struct<kind:string,field:string,message:string>"
 
 
 def validation_errors(rules: Rules, schema: T.StructType) -> Column:
     """All errors of a row as an array; empty where the row is valid."""
-    found: list[Column] = []
+    found: list[Failure] = []
     for name, rule in rules.fields.items():
         found += _field_errors(name, rule, schema)
     for rule in rules.row:
-        found.append(F.when(~row_rule(rule), _error("custom", None, _label(rule))))
-    return F.array_compact(F.array(*found)).cast(_ERRORS) if found else F.array().cast(_ERRORS)
+        found.append((~row_rule(rule), _error("custom", None, _label(rule))))
+    return pick(found, _ERROR)
 
 
 def strict_schema_errors(payload: Column, known: list[str]) -> Column:
@@ -169,7 +174,7 @@ def strict_schema_errors(payload: Column, known: list[str]) -> Column:
     extra = F.array_sort(unknown_keys(payload, known))
     return F.transform(
         extra, lambda k: _error("schema_validation", None, F.concat(F.lit("unknown field "), k))
-    ).cast(_ERRORS)
+    ).cast(f"array<{_ERROR}>")
 
 
 def validate(df: DataFrame, rules: Rules, into: str = "errors") -> DataFrame:
@@ -181,7 +186,7 @@ def is_valid(errors: str = "errors") -> Column:
 
 
 def messages(errors: str = "errors", separator: str = "; ") -> Column:
-    return F.array_join(F.transform(errors, lambda e: e["message"]), separator)
+    return F.array_join(F.col(errors).getField("message"), separator)
 
 
 def split(df: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:

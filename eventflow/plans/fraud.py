@@ -28,8 +28,8 @@ def fraud_detection(events: DataFrame) -> DataFrame:
     checked = validate.validate(needed, RULES)
     ok = validate.is_valid()
     high = F.col("value") > 100
-    vector = score.feature_vector(F.col("value"), F.hour("ts"), high.cast("int"))
-    risk = F.round(score.logistic(score.linear(vector, WEIGHTS, BIAS)), 6)
+    features = [F.col("value"), F.hour("ts"), high.cast("int")]
+    risk = F.round(score.logistic(score.linear_of(features, WEIGHTS, BIAS)), 6)
     scored = checked.select(
         "event_id",
         "value",

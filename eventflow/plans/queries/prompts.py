@@ -217,13 +217,17 @@ def llm_generate(t: Tables):
 @query("""
 SELECT conv_id, turn, CASE WHEN length(text) <= 150 THEN 'results' ELSE 'errors' END AS topic,
        CASE WHEN length(text) <= 150 THEN length(text) || ':' || md5(text) END AS response,
-       CASE WHEN length(text) > 150 THEN 'prompt too long' END AS error
+       CASE WHEN length(text) > 150 THEN 'prompt too long' END AS error,
+       CASE WHEN length(text) > 150 THEN text END AS input
 FROM conversations
 """)
 def llm_error_split(t: Tables):
     done = p.generate(t.conversations.select("conv_id", "turn", "text"), "text", load_picky, max_retries=1)
+    record = p.output_record(F.col("response"), F.lit("echo"), F.col("error"), F.col("text"), F.lit("2024-01-01T00:00:00Z"))
     topic = F.when(F.col("error").isNull(), "results").otherwise("errors")
-    return done.select("conv_id", "turn", topic.alias("topic"), "response", "error")
+    sent = done.select("conv_id", "turn", topic.alias("topic"), record.alias("payload"))
+    fields = {"response": "$.response", "error": "$.error", "input": "$.input"}
+    return sent.select("conv_id", "turn", "topic", *[F.get_json_object("payload", at).alias(n) for n, at in fields.items()])
 
 
 @query("""

@@ -86,13 +86,20 @@ def ml_format(t: Tables):
 
 @query(f"""
 SELECT event_id, CASE WHEN value <= 200 THEN round({_SCORE}, 6) ELSE -1 END AS prediction,
-       CASE WHEN value > 200 THEN 'Batch processing error: value out of range' END AS error
+       CASE WHEN value > 200 THEN 'Batch processing error: value out of range' END AS error,
+       CASE WHEN value > 200 THEN 'risk' END AS agent
 FROM events
 """)
 def ml_error_split(t: Tables):
     inputs = t.events.select("event_id", score.feature_vector(F.col("value"), F.hour("ts")).alias("x"))
     done = score.score_or_error(inputs, "x", load_strict_model, max_retries=1)
-    return done.select("event_id", F.round(F.coalesce("prediction", F.lit(-1.0)), 6).alias("prediction"), "error")
+    record = score.error_record("risk", F.col("error"), F.lit("2024-01-01T00:00:00Z"))
+    return done.select(
+        "event_id",
+        F.round(F.coalesce("prediction", F.lit(-1.0)), 6).alias("prediction"),
+        F.get_json_object(record, "$.error").alias("error"),
+        F.get_json_object(record, "$.agent").alias("agent"),
+    )
 
 
 @query(f"SELECT event_id, round({_SCORE}, 6) >= 0.5 AS flagged FROM events")

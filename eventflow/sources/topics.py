@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventflow.functions.arrays import pick
+
 ENVELOPE = T.StructType(
     [
         T.StructField("message_id", T.StringType()),
@@ -109,8 +111,10 @@ def fan_out(df: DataFrame, subscribers: list[str], into: str = "subscriber") ->
 
 def reply_fan_out(df: DataFrame, output_topic: str | None, reply_to: str = "reply_to") -> DataFrame:
     """Send each result to the output topic and to ``reply_to`` where present."""
-    targets = F.array_compact(F.array(F.lit(output_topic).cast("string"), F.col(reply_to)))
-    return df.withColumn("topic", F.explode(targets))
+    targets = [(F.col(reply_to).isNotNull(), F.col(reply_to))]
+    if output_topic is not None:
+        targets.insert(0, (F.lit(True), F.lit(output_topic)))
+    return df.withColumn("topic", F.explode(pick(targets, "string")))
 
 
 def merge(*sources: DataFrame) -> DataFrame:

@@ -24,6 +24,17 @@ def test_guard_and_fallback_as_columns(spark):
     assert {(r.id, r.v, r.handled_by) for r in out.collect()} == {(0, 0, "primary"), (2, 20, "primary"), (1, -1, "fallback")}
 
 
+def test_custom_agent(spark):
+    def greet(pdf):
+        ok = pdf["action"] == "greet"
+        message = "Hello, " + pdf["name"].fillna("stranger") + "!"
+        return pdf.assign(message=message.where(ok, None), error=(~ok).map({True: "unknown action", False: None}))
+
+    df = spark.createDataFrame([("greet", "Ann"), ("greet", None), ("dance", "Bob")], "action string, name string")
+    rows = flow.custom(df, greet, "action string, name string, message string, error string").collect()
+    assert [(r.message, r.error) for r in rows] == [("Hello, Ann!", None), ("Hello, stranger!", None), (None, "unknown action")]
+
+
 def test_errors_of_several_agents(spark):
     df = numbers(spark, 3)
     errors = {"a": F.when(F.col("v") > 0, F.lit("positive")), "b": F.when(F.col("v") == 20, F.lit("twenty"))}

@@ -74,6 +74,13 @@ def test_versions_are_numbers(spark):
     assert {r.name: r.file for r in score.latest_models(df, "file").collect()} == {"m": "f2", "n": "f3"}
 
 
+def test_models_by_name_and_version(spark):
+    catalogue = spark.createDataFrame([("m", "1.9", "f1"), ("m", "1.10", "f2")], "name string, version string, file string")
+    asked = spark.createDataFrame([(1, "m", None), (2, "m", "1.9"), (3, "m", "7"), (4, "x", None)], "id int, model string, wanted string")
+    got = {r.id: r.file for r in score.resolve_models(asked, catalogue, "file").collect()}
+    assert got == {1: "f2", 2: "f1", 3: None, 4: None}
+
+
 def test_token_overlap(spark):
     df = spark.createDataFrame([("a B c", "b c d"), ("", None)], "l string, r string")
     got = [r[0] for r in df.select(score.token_overlap(F.col("l"), F.col("r"))).collect()]
