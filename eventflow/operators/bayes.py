@@ -9,17 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventflow.sources.joins import skew_join
 
-def prior(df: DataFrame, variable: str, weight: float = 1.0) -> DataFrame:
-    """P(variable), counted from data with ``weight`` added to every count."""
-    counts = df.groupBy(variable).agg((F.count("*") + F.lit(weight)).alias("n"))
-    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy())).drop("n")
 
+def counts(df: DataFrame, variables: list[str]) -> DataFrame:
+    """How often each combination of values occurs: the one pass over the data.
 
-def conditional(df: DataFrame, variable: str, given: list[str], weight: float = 1.0) -> DataFrame:
+    All tables of a network can be derived from it; Spark then runs the grouping
+    once and reuses its shuffle.
+    """
+    return df.groupBy(*variables).agg(F.count("*").alias("n"))
+
+
+def prior(joint: DataFrame, variable: str, weight: float = 1.0) -> DataFrame:
+    """P(variable) from joint counts, with ``weight`` added to every count."""
+    return conditional(joint, variable, [], weight)
+
+
+def conditional(joint: DataFrame, variable: str, given: list[str], weight: float = 1.0) -> DataFrame:
     """P(variable | given) over the value combinations that occur."""
-    counts = df.groupBy(*given, variable).agg((F.count("*") + F.lit(weight)).alias("n"))
-    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*given))).drop("n")
+    cells = joint.groupBy(*given, variable).agg((F.sum("n") + F.lit(weight)).alias("n"))
+    return cells.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*given))).drop("n")
 
 
 def variables(factor: DataFrame) -> list[str]:
@@ -56,4 +66,4 @@ def posterior(factors: list[DataFrame], query: str, evidence: list[str]) -> Data
 
 def infer(df: DataFrame, network: DataFrame, evidence: list[str]) -> DataFrame:
     """Attach the posterior to data rows; one row per value of the query variable."""
-    return df.join(network, on=evidence, how="left")
+    return skew_join(df, network, evidence, "left")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventflow.sources.joins import skew_join
+
 from .ordered import TRIM_LIMIT, ranked
 
 # States, default settings, topic parts.
@@ -62,20 +64,19 @@ def _order(tie: list[str]) -> Column:
 
 def _earliest_closing(decisions: DataFrame, needed: int, tie: list[str], chunk: Column | None) -> DataFrame:
     """The decision that would close each review if there were no deadline."""
-    ordered = decisions.withColumn("__order", _order(tie))
     if needed <= 0:
-        first = ordered.groupBy("review_id").agg(F.min("__order").alias("closing"))
+        first = decisions.groupBy("review_id").agg(F.min(_order(tie)).alias("closing"))
         return first.withColumn("outcome", F.lit(APPROVED))
-    final = ordered.where(F.col("decision").isin(APPROVED, REJECTED)).select("review_id", "decision", "decided_at", "__order")
-    by_kind = ["review_id", "decision"]
+    final = decisions.where(F.col("decision").isin(APPROVED, REJECTED)).select("review_id", "decision", "decided_at", *tie)
+    by_kind, order = ["review_id", "decision"], [F.col(c) for c in ("decided_at", *tie)]
     if needed <= TRIM_LIMIT:
-        w = Window.partitionBy(*by_kind).orderBy("__order")
+        w = Window.partitionBy(*by_kind).orderBy(*order)
         numbered = final.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= needed)
     else:
         cut = F.date_trunc("DAY", "decided_at") if chunk is None else chunk
-        numbered = ranked(final, by_kind, [F.col("__order")], cut, "__n")
+        numbered = ranked(final, by_kind, order, cut, "__n")
     decisive = F.when(F.col("decision") == REJECTED, F.col("__n") == 1).otherwise(F.col("__n") == needed)
-    earliest = F.min(F.struct(F.col("__order").alias("closing"), F.col("decision").alias("outcome"))).alias("__first")
+    earliest = F.min(F.struct(_order(tie).alias("closing"), F.col("decision").alias("outcome"))).alias("__first")
     return numbered.where(decisive).groupBy("review_id").agg(earliest).select("review_id", "__first.*")
 
 
@@ -115,7 +116,7 @@ def orphans(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie
     closing = closing_decisions(requests, decisions, config, tie)
     until = deadline(F.col("created_at"), F.col("timeout_seconds"))
     known = requests.select("review_id", until.alias("__until")).join(closing, on="review_id", how="left")
-    joined = decisions.withColumn("__order", _order(tie)).join(known, on="review_id", how="left")
+    joined = skew_join(decisions.withColumn("__order", _order(tie)), known, ["review_id"], "left")
     late = (F.col("decided_at") > F.col("__until")) | (F.col("__order") > F.col("closing"))
     missed = F.col("__until").isNull() | F.coalesce(late, F.lit(False))
     return joined.where(missed).select(*decisions.columns)

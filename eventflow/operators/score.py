@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventflow.sources.context import plan_size, sized
+from eventflow.sources.joins import skew_join
 
 from .batches import BATCH_SIZE
 from .quantiles import ONE_TASK, summary
@@ -125,8 +126,9 @@ def robust_zscore(df: DataFrame, keys: list[str], value: str, into: str = "z", o
     x, size = F.col(value).cast("double"), plan_size(df.select(*keys, value))
     centre = summary(df, keys, x, [], {"__med": 0.5}, size, one_task)
     distance = F.abs(x - F.col("__med"))
-    spread = summary(df.join(centre, on=keys), keys, distance, [], {"__mad": 0.5}, size, one_task)
-    joined = df.join(centre, on=keys, how="left").join(spread, on=keys, how="left")
+    spread = summary(skew_join(df, centre, keys), keys, distance, [], {"__mad": 0.5}, size, one_task)
+    known = centre.join(spread, on=keys, how="left")
+    joined = skew_join(df, known, keys, "left")
     return joined.withColumn(into, F.try_divide(F.abs(x - F.col("__med")), F.col("__mad"))).drop("__med", "__mad")
 
 

@@ -157,10 +157,11 @@ SELECT f.doc_id, n.toxic AS toxic_value, round(n.post, 6) AS p FROM f LEFT JOIN
 """)
 def bayes_posterior(t: Tables):
     facts = t.documents.select("doc_id", "lang").join(t.labels, on="doc_id")
+    joint = bayes.counts(facts, ["toxic", "lang", "quality"])
     factors = [
-        bayes.prior(facts, "toxic"),
-        bayes.conditional(facts, "lang", ["toxic"]),
-        bayes.conditional(facts, "quality", ["toxic"]),
+        bayes.prior(joint, "toxic"),
+        bayes.conditional(joint, "lang", ["toxic"]),
+        bayes.conditional(joint, "quality", ["toxic"]),
     ]
     network = bayes.posterior(factors, "toxic", ["lang", "quality"]).withColumnRenamed("toxic", "toxic_value")
     judged = bayes.infer(facts.select("doc_id", "lang", "quality"), network, ["lang", "quality"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import skew_join
+
 BROADCAST_LIMIT = 16 * 1024 * 1024
 
 # Plan nodes that may give more rows than they get without Spark's estimate showing it.
@@ -31,7 +33,9 @@ def sized(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 
 def lookup(df: DataFrame, reference: DataFrame, on: list[str], limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Enrich rows by key; rows without a match keep NULLs."""
-    return df.join(sized(reference, limit), on=on, how="left")
+    if plan_size(reference) <= limit:
+        return df.join(F.broadcast(reference), on=on, how="left")
+    return skew_join(df, reference, on, "left")
 
 
 def database_lookup(df: DataFrame, table: DataFrame, where: dict[str, str]) -> DataFrame:
@@ -39,9 +43,9 @@ def database_lookup(df: DataFrame, table: DataFrame, where: dict[str, str]) -> D
 
     ``where`` maps table columns to event fields. One join, not a query per event.
     """
-    keyed = table.withColumnsRenamed({column: f"__{column}" for column in where})
-    on = [F.col(f"__{column}") == F.col(event_field) for column, event_field in where.items()]
-    return df.join(sized(keyed), on=on, how="left").drop(*[f"__{column}" for column in where])
+    names = {column: f"__{column}" for column in where}
+    asked = df.withColumns({names[column]: F.col(path) for column, path in where.items()})
+    return lookup(asked, table.withColumnsRenamed(names), list(names.values())).drop(*names.values())
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, parts: int, **options) -> DataFrame:

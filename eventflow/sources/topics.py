@@ -57,6 +57,32 @@ def read_stream(spark: SparkSession, topic: Topic, batch_size: int | None = None
     return _reader(spark.readStream, Topic(topic.path, topic.schema, topic.format, options))
 
 
+def from_kafka(df: DataFrame) -> DataFrame:
+    """The rows of a ``kafka`` source (read with ``includeHeaders``) as messages."""
+    texts = F.transform("headers", lambda h: F.struct(h["key"], h["value"].cast("string")))
+    headers = F.map_from_entries(texts)
+    return envelope(
+        df,
+        message_id=F.col("key").cast("string"),
+        subject=F.col("topic"),
+        payload=F.col("value").cast("string"),
+        ts=F.col("timestamp"),
+        reply_to=F.try_element_at(headers, F.lit("reply_to")),
+        headers=headers,
+    )
+
+
+def to_kafka(df: DataFrame) -> DataFrame:
+    """Rows with a ``topic`` in the shape a ``kafka`` sink takes."""
+    entries = F.transform(F.map_entries("headers"), lambda e: F.struct(e["key"], e["value"].cast("binary").alias("value")))
+    return df.select(
+        F.col("message_id").cast("binary").alias("key"),
+        F.col("payload").cast("binary").alias("value"),
+        "topic",
+        entries.alias("headers"),
+    )
+
+
 def write(df: DataFrame, root: str, format: str = "parquet", mode: str = "append") -> None:
     """Publish rows that carry a ``topic`` column: one folder per topic, one pass."""
     df.write.format(format).mode(mode).partitionBy("topic").save(root)

@@ -1,8 +1,12 @@
 """What the plans look like: no Python where columns suffice, pruned scans, no needless joins."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from eventflow.operators import review, score
+from eventflow.operators.review import ReviewConfig
+from eventflow.sources import context
 
 # Queries whose point is user-supplied Python.
 PYTHON = {"python_rule", "ml_score", "ml_format", "ml_threshold", "ml_error_split", "llm_generate", "llm_error_split", "ttl_throttle", "case_flow"}
@@ -34,3 +38,60 @@ def test_filters_and_columns_reach_the_scan(spark, data, name, column, unread):
     text = plan(spark, data, name)
     assert column in text.split("PushedFilters: [")[1].split("]")[0]
     assert unread not in text.split("ReadSchema: ")[1]
+
+
+@pytest.mark.parametrize("name", ["fraud_flow", "decide", "validation_errors", "ml_linear", "decision_reply", "route_multicast"])
+def test_is_compiled_as_a_whole(spark, data, name):
+    lines = [line for line in plan(spark, data, name).splitlines() if "Project" in line]
+    assert lines and all("*(" in line for line in lines)
+
+
+@pytest.fixture
+def tiny_limits(spark):
+    """Limits so small that a skewed key shows on test data."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_of_lookups_and_orphans_are_split(spark, tiny_limits):
+    """A third of the rows carry one key; adaptive execution splits it."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("id"))
+    rows = spark.range(0, 60000, 1, 8).select("id", key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    reference = spark.range(0, 60000, 1, 4).select(F.col("id").alias("k"), F.lit("x").alias("name"))
+    found = context.lookup(rows, reference, ["k"], limit=0)
+    assert "skew=true" in final_plan(found)
+    assert found.where("name IS NULL").count() == 0
+
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    given = rows.select(
+        F.col("k").alias("review_id"), F.col("id").alias("reviewer"), F.lit("approved").alias("decision"), at.alias("decided_at"), "pad"
+    )
+    opened = reference.select(F.col("k").alias("review_id"), at.alias("created_at"), F.lit(60).cast("long").alias("timeout_seconds"))
+    late = review.orphans(opened, given, ReviewConfig(required_approvals=2), ["reviewer"])
+    assert "skew=true" in final_plan(late)
+    assert late.count() == 19998
+
+    values = rows.select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("v"), "pad")
+    assert "skew=true" in final_plan(score.robust_zscore(values, ["g"], "v"))
+
+
+def test_a_network_counts_its_data_once(spark, data):
+    df = entry_points.queries()["bayes_posterior"](spark, data)
+    assert "ReusedExchange" in final_plan(df)

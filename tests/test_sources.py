@@ -18,6 +18,18 @@ def test_streams_need_a_schema(spark, tmp_path):
         topics.read_stream(spark, topics.Topic(str(tmp_path)))
 
 
+def test_kafka_rows_become_messages_and_back(spark):
+    rows = spark.sql(
+        "SELECT cast('7' AS binary) AS key, cast('{}' AS binary) AS value, 'orders' AS topic, timestamp'2024-01-01' AS timestamp,"
+        " array(named_struct('key', 'reply_to', 'value', cast('r' AS binary))) AS headers"
+    )
+    message = topics.from_kafka(rows)
+    got = message.first()
+    assert (got.message_id, got.subject, got.payload, got.reply_to, got.headers) == ("7", "orders", "{}", "r", {"reply_to": "r"})
+    back = topics.to_kafka(message.withColumnRenamed("subject", "topic")).first()
+    assert (bytes(back.key), bytes(back.value), back.topic, back.headers[0].key) == (b"7", b"{}", "orders", "reply_to")
+
+
 def test_members_cover_everything_evenly(spark):
     df = spark.range(4000).select("id", topics.member_of_group(F.col("id"), 5).alias("m"))
     counts = {r.m: r["count"] for r in df.groupBy("m").count().collect()}

@@ -6,10 +6,16 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from eventflow.operators import prompts, review
+from eventflow.functions import json_text
+from eventflow.operators import decide, prompts, review, route, validate
+from eventflow.operators.decide import Rule
 from eventflow.operators.review import ReviewConfig
+from eventflow.operators.route import Action, Route
 from eventflow.operators.throttle import throttle as batch_throttle
+from eventflow.operators.validate import FieldRule, Rules
 from eventflow.plans.fraud import fraud_detection
+from eventflow.plans.queries.common import BODY
+from eventflow.plans.sentiment import sentiment
 from eventflow.sources import topics
 from eventflow.streaming import sinks, state, windows
 
@@ -53,6 +59,41 @@ def test_flagship_flow_to_topics(spark, events, tmp_path):
     same(got.select(*expected.columns), expected)
 
 
+def stateless(events):
+    """Decode, validate, decide and route, one after another."""
+    payload = F.when(F.col("event_type") == "error", "{").otherwise(F.col("props"))
+    sent = topics.envelope(events, F.col("event_id"), F.col("event_type"), payload, F.col("ts"), keep=["value"])
+    decoded = json_text.decode(sent, BODY)
+    checked = validate.validate(decoded, Rules({"body.k": FieldRule(required=True), "value": FieldRule(custom_validator="value < 300")}))
+    rules = [Rule("big", "review", ({"op": "gt", "field": "value", "value": 50}, {"op": "lt", "field": "body.k", "value": 90}))]
+    decided = decide.decide(checked, rules, default="accept")
+    routed = validate.route_errors(decided, "ok", "errors", "payload")
+    routes = [Route("v", "purchase|view", (Action("publish", target="a"), Action("log", message="m"))), Route("e", "error", (Action("publish", target="b"),))]
+    out = route.route(routed, routes, payload="subject", stop_after_first_match=False)
+    return out.select("message_id", "topic", "payload", "decision", "action_no", "action.type", "action.target")
+
+
+def test_stateless_operators(spark, events, tmp_path):
+    stream = stateless(in_files(events, str(tmp_path / "in"), "ts"))
+    same(run(stream, tmp_path, "stateless"), stateless(events))
+
+
+def test_text_flow(spark, data, tmp_path):
+    texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    same(run(sentiment(in_files(texts, str(tmp_path / "in"), "doc_id")), tmp_path, "text"), sentiment(texts))
+
+
+def test_a_restarted_stream_goes_on_where_it_ended(spark, events, tmp_path):
+    folder, root, checkpoint = str(tmp_path / "in"), str(tmp_path / "bus"), str(tmp_path / "cp")
+    for part in ("event_id < 400", "event_id >= 400"):
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = fraud_detection(topics.read_stream(spark, topics.Topic(folder, events.schema)))
+        assert sinks.finish(sinks.publish(stream, root, "restart", checkpoint), 120)
+    got = spark.read.parquet(root)
+    assert got.count() == events.count() == got.select("event_id").distinct().count()
+    assert [r.batch for r in got.select("batch").distinct().orderBy("batch").collect()] == [0, 1]
+
+
 def test_no_duplicates(spark, events, tmp_path):
     twice = events.unionByName(events)
     stream = windows.event_time(in_files(twice, str(tmp_path / "in"), "ts"), "ts", "1 day")
