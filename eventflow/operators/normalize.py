@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SPECIAL = r"[^\p{L}\p{N}\s]"
+_BLANKS = " \t\n\x0b\f\r"
+_SPECIAL = r"[^\p{L}\p{N}\s]+"
 
 TEXT_STEPS = {
-    "trim": lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""),
+    "trim": lambda c: F.btrim(c, F.lit(_BLANKS)),
     "lowercase": F.lower,
     "uppercase": F.upper,
     "remove_special_chars": lambda c: F.regexp_replace(c, _SPECIAL, ""),

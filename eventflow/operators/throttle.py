@@ -70,39 +70,47 @@ def _summarise(pdf: pd.DataFrame, ttl: int) -> dict:
     return {"g": pdf["g"].to_numpy()[ends], "until": runs.at[ends], "last": last[ends]}
 
 
-def _walk(pdf: pd.DataFrame, ttl: int) -> dict:
-    """The last passing time before each chunk of each key (rows: steps by key, chunk, start)."""
-    keys, chunks, last = (pdf[c].to_numpy() for c in ("k", "c", "last"))
-    new_key = np.append(True, keys[1:] != keys[:-1])
-    chunk_no = np.cumsum(new_key | np.append(True, chunks[1:] != chunks[:-1])) - 1
-    runs = _Runs(pdf["until"].to_numpy(), chunk_no)
-    key_of = (np.cumsum(new_key) - 1)[runs.start]
-    first = np.searchsorted(key_of, key_of)  # a key's first chunk
-    carry, state = np.empty(len(runs.start), np.int64), np.full(key_of[-1] + 1, _NONE)
-    turn = np.arange(len(first)) - first
-    order = np.argsort(turn, kind="stable")
-    for part in np.split(order, np.cumsum(np.bincount(turn))[:-1]):
-        carry[part] = known = state[key_of[part]]
+def _walk(pdf: pd.DataFrame, ttl: int, key: str | None, carry: int) -> tuple[dict, str, int]:
+    """The last passing time before each chunk (rows: steps by key, chunk, start).
+
+    ``key`` and ``carry`` are the state the batch before ended with.
+    """
+    keys, labels, last = (pdf[c].to_numpy() for c in ("k", "g", "last"))
+    runs = _Runs(pdf["until"].to_numpy(), labels)
+    key_of = (np.cumsum(np.append(True, keys[1:] != keys[:-1])) - 1)[runs.start]
+    state = np.full(key_of[-1] + 1, _NONE)
+    state[0] = carry if keys[0] == key else _NONE
+    before = np.empty(len(runs.start), np.int64)
+    # All keys advance side by side: first the first chunk of each, then the second.
+    turn = np.arange(len(key_of)) - np.searchsorted(key_of, key_of)
+    for part in np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn))[:-1]):
+        before[part] = known = state[key_of[part]]
         fresh = known == _NONE
         hit = np.where(fresh, runs.start[part], runs.first_after(np.where(fresh, 0, known) + ttl, part))
         found = hit < runs.end[part]
         state[key_of[part][found]] = last[hit[found]]
-    return {"k": keys[runs.start], "c": chunks[runs.start], "carry": carry}
-
-
-def _replay(pdf: pd.DataFrame, ttl: int) -> dict:
-    """The rows that pass, starting from each group's ``carry``."""
-    runs = _Runs(pdf["at"].to_numpy(), pdf["g"].to_numpy())
-    carry, groups = pdf["carry"].to_numpy()[runs.start], np.arange(len(runs.start))
-    fresh = carry == _NONE
-    entry = np.where(fresh, runs.start, runs.first_after(np.where(fresh, 0, carry) + ttl, groups))
+    return {"g": labels[runs.start], "carry": before}, keys[-1], int(state[-1])
+
+
+def _replay(pdf: pd.DataFrame, ttl: int, label: str | None, carry: int) -> tuple[dict, str, int]:
+    """The rows that pass, starting from each group's ``carry``, or for a group that
+    goes on from the batch before, from the last one that passed there."""
+    labels = pdf["g"].to_numpy()
+    runs = _Runs(pdf["at"].to_numpy(), labels)
+    known, groups = pdf["carry"].to_numpy()[runs.start].copy(), np.arange(len(runs.start))
+    if labels[0] == label:
+        known[0] = carry
+    fresh = known == _NONE
+    entry = np.where(fresh, runs.start, runs.first_after(np.where(fresh, 0, known) + ttl, groups))
     ahead, keep = runs.following(ttl), np.zeros(len(runs.at), dtype=bool)
     front = entry[entry < runs.end]
     while len(front):
         keep[front] = True
         after = ahead[front]
         front = after[after < runs.end[runs.of[front]]]
-    return {"g": pdf["g"].to_numpy()[keep], "at": runs.at[keep]}
+    passed = np.flatnonzero(keep[runs.start[-1] :])
+    final = runs.at[runs.start[-1] + passed[-1]] if len(passed) else known[-1]
+    return {"g": labels[keep], "at": runs.at[keep]}, labels[-1], int(final)
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], group: str) -> Iterator[pd.DataFrame]:
@@ -124,21 +132,39 @@ def _whole_groups(batches: Iterator[pd.DataFrame], group: str) -> Iterator[pd.Da
         yield pd.concat(held, ignore_index=True)
 
 
-def _by_group(df: DataFrame, group: str, order: list[str], fn: Callable[[pd.DataFrame, int], dict], ttl: int, schema: str) -> DataFrame:
-    """Run ``fn`` on sorted rows, many whole groups per call."""
+def _summaries(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
+    for pdf in _whole_groups(batches, "g"):
+        yield pd.DataFrame(_summarise(pdf, ttl))
+
+
+def _carries(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
+    key, carry = None, _NONE
+    for pdf in _whole_groups(batches, "g"):
+        rows, key, carry = _walk(pdf, ttl, key, carry)
+        yield pd.DataFrame(rows)
+
+
+def _replays(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
+    label, carry = None, _NONE
+    for pdf in batches:
+        if not pdf.empty:
+            rows, label, carry = _replay(pdf, ttl, label, carry)
+            yield pd.DataFrame(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches, group):
-            yield pd.DataFrame(fn(pdf, ttl))
 
-    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+def _in_order(df: DataFrame, by: str, order: list[str], step: Callable, ttl: int, schema: str) -> DataFrame:
+    """Run ``step`` over the rows of each ``by``, sorted; many small groups share a batch."""
+    sorted_rows = df.repartition(by).sortWithinPartitions(by, *order)
+    return sorted_rows.mapInPandas(lambda batches: step(batches, ttl), schema)
 
 
 def throttle(df: DataFrame, key: str, ts: str, chunk: Column, ttl_seconds: float | None, tie: str) -> DataFrame:
     """The messages that pass. ``ttl_seconds=None`` keeps a key's first message only.
 
     Of messages with the same key and time the one with the smallest ``tie``
-    is considered. ``chunk`` is a time column that never decreases with ``ts``.
+    is considered. ``chunk`` is a time column that never decreases with ``ts``;
+    the result is the same for any, but it should span several times the ttl,
+    so that summaries are short, and hold what fits a task's memory of one key.
     """
     if ttl_seconds is None:
         return _first_only(df, key, ts, tie)
@@ -148,12 +174,11 @@ def throttle(df: DataFrame, key: str, ts: str, chunk: Column, ttl_seconds: float
     marked = df.withColumns({"g": label, "at": F.unix_micros(F.col(ts).cast("timestamp"))})
     times = marked.select("g", "at").distinct()
 
-    steps = _by_group(times, "g", ["at"], _summarise, ttl, "g string, until bigint, last bigint")
+    steps = _in_order(times, "g", ["at"], _summaries, ttl, "g string, until bigint, last bigint")
     parts = F.split("g", "/")
-    by_key = steps.select(parts[0].alias("k"), parts[1].cast("bigint").alias("c"), "until", "last")
-    carries = _by_group(by_key, "k", ["c", "until"], _walk, ttl, "k string, c bigint, carry bigint")
-    carries = carries.select(F.concat_ws("/", "k", F.col("c").cast("string")).alias("g"), "carry")
-    passed = _by_group(times.join(carries, on="g"), "g", ["at"], _replay, ttl, "g string, at bigint")
+    by_key = steps.select(parts[0].alias("k"), parts[1].cast("bigint").alias("c"), "g", "until", "last")
+    carries = _in_order(by_key, "k", ["c", "until"], _carries, ttl, "g string, carry bigint")
+    passed = _in_order(times.join(carries, on="g"), "g", ["at"], _replays, ttl, "g string, at bigint")
     return _one_per_instant(marked.join(passed, on=["g", "at"]), ["g", "at"], tie).select(*df.columns)
 
 

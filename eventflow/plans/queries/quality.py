@@ -130,7 +130,7 @@ FROM g WHERE us IS NOT NULL GROUP BY 1
 """)
 def metric_latency(t: Tables):
     day = F.date_trunc("DAY", "ts").cast("timestamp_ntz")
-    events = previous(t.events.select("user_id", "ts"), ["user_id"], ["ts"], F.date_trunc("DAY", "ts"), "ts", "before")
+    events = previous(t.events.select("user_id", "ts"), ["user_id"], ["ts"], F.date_trunc("HOUR", "ts"), "ts", "before")
     seconds = metrics.seconds_between(F.col("before"), F.col("ts"))
     # The gaps come one per event, so the table itself bounds their size.
     rows = metrics.latency(events.withColumn("day", day), ["day"], seconds, size=plan_size(t.events))

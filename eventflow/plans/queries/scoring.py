@@ -54,7 +54,7 @@ SELECT event_id, user_id, session, position, (position - 1) // 3 AS batch FROM p
 def micro_batches(t: Tables):
     events = t.events.select("event_id", "user_id", "ts")
     batched = in_batches(
-        events, ["user_id"], "ts", ["ts", "event_id"], F.date_trunc("DAY", "ts"), size=3, idle_seconds=6 * 3600
+        events, ["user_id"], "ts", ["ts", "event_id"], F.date_trunc("HOUR", "ts"), size=3, idle_seconds=6 * 3600
     )
     return batched.select("event_id", "user_id", "session", "position", "batch")
 

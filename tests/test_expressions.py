@@ -1,6 +1,10 @@
 """Conditions, paths, templates, JSON."""
 
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,3 +115,54 @@ def test_utf8(spark):
 def test_unknown_keys(spark):
     df = spark.createDataFrame([('{"a":1,"z":2}',), ('{"a":1}',), ("[1]",)], "j string")
     assert [r[0] for r in df.select(json_text.unknown_keys(F.col("j"), ["a"])).collect()] == [["z"], [], []]
+
+
+def _expected(cond, row):
+    """The two-valued reading of a condition over a dict."""
+    op = cond["op"]
+    if op in ("and", "or"):
+        parts = [_expected(c, row) for c in cond["conditions"]]
+        return all(parts) if op == "and" else any(parts)
+    if op == "not":
+        return not _expected(cond["condition"], row)
+    value = row.get(cond["field"])
+    if op == "regex":
+        return isinstance(value, str) and re.search(cond["pattern"], value) is not None
+    wanted = cond["value"]
+    numeric = isinstance(value, (int, float)) and isinstance(wanted, (int, float))
+    if op in ("gt", "lt"):
+        return numeric and (value > wanted if op == "gt" else value < wanted)
+    equal = value is not None and (numeric or type(value) is type(wanted)) and value == wanted
+    return equal if op == "eq" else not equal
+
+
+_leaves = st.one_of(
+    st.fixed_dictionaries(
+        {
+            "op": st.sampled_from(["eq", "ne", "gt", "lt"]),
+            "field": st.sampled_from(["s", "n", "d", "gone"]),
+            "value": st.sampled_from(["a", "b", "1", 0, 1, 2, 0.5, 1.5, -3]),
+        }
+    ),
+    st.fixed_dictionaries(
+        {"op": st.just("regex"), "field": st.sampled_from(["s", "n", "gone"]), "pattern": st.sampled_from(["a", "^b", "[ab]$", ""])}
+    ),
+)
+_trees = st.recursive(
+    _leaves,
+    lambda inner: st.one_of(
+        st.builds(lambda op, cs: {"op": op, "conditions": cs}, st.sampled_from(["and", "or"]), st.lists(inner, max_size=3)),
+        st.builds(lambda c: {"op": "not", "condition": c}, inner),
+    ),
+    max_leaves=6,
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(trees=st.lists(_trees, min_size=10, max_size=10))
+def test_any_condition_tree(spark, trees):
+    rows = [(s, n, d) for s in ("a", "ab", None) for n in (0, 1, None) for d in (0.5, 2.0, None)]
+    df = spark.createDataFrame(rows, "s string, n bigint, d double")
+    got = df.select("s", "n", "d", F.array(*[condition(t, df.schema) for t in trees]).alias("r")).collect()
+    for row in got:
+        assert row.r == [_expected(t, {"s": row.s, "n": row.n, "d": row.d}) for t in trees]

@@ -117,6 +117,16 @@ def test_throttle(events, ttl, chunk):
     assert {r.id for r in got} == expected and len(got) == len(expected)
 
 
+def test_throttle_keeps_its_place_across_batches(spark, events):
+    """Arrow batches of 7 rows cut every group into pieces."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for ttl, chunk in [(600, "DAY"), (20_000, "HOUR")]:
+            test_throttle(events, ttl, chunk)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_throttle_of_an_even_beat(spark):
     """A steady beat never falls into step: the worst case for the summaries."""
     rows = [(i, "k", START + timedelta(seconds=i)) for i in range(500)]
