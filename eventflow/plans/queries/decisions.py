@@ -73,9 +73,9 @@ def decide_all_matches(t: Tables):
 
 @query("""
 WITH rules AS (
-  SELECT p_brand AS brand, p_size AS priority, p_partkey AS ord, p_retailprice * 20 AS bound,
-         CASE WHEN p_type = 'ECONOMY' THEN 'discount' ELSE 'list' END AS decision
-  FROM part WHERE p_size >= 48),
+  SELECT p_brand AS brand, p_size AS priority, min(p_partkey) AS ord, max(p_retailprice) * 20 AS bound,
+         CASE WHEN max(p_type) = 'STANDARD' THEN 'list' ELSE 'discount' END AS decision
+  FROM part GROUP BY p_brand, p_size),
 items AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, p_brand AS brand
           FROM lineitem JOIN part ON p_partkey = l_partkey),
 hits AS (
@@ -89,12 +89,11 @@ FROM items i LEFT JOIN (SELECT * FROM hits WHERE n = 1) h
  AND h.l_suppkey = i.l_suppkey AND h.l_extendedprice = i.l_extendedprice
 """)
 def rules_table_join(t: Tables):
-    rules = t.part.where("p_size >= 48").select(
-        F.col("p_brand").alias("brand"),
-        F.col("p_size").alias("priority"),
-        F.col("p_partkey").alias("ord"),
-        (F.col("p_retailprice") * 20).alias("bound"),
-        F.when(F.col("p_type") == "ECONOMY", "discount").otherwise("list").alias("decision"),
+    # One rule per brand and size, drawn from all parts.
+    rules = t.part.groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("priority")).agg(
+        F.min("p_partkey").alias("ord"),
+        (F.max("p_retailprice") * 20).alias("bound"),
+        F.when(F.max("p_type") == "STANDARD", "list").otherwise("discount").alias("decision"),
     )
     brands = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")

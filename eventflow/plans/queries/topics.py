@@ -83,10 +83,10 @@ def multi_source_union(t: Tables):
     return topics.merge(customers, suppliers)
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars >= 500")
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
 def file_scan(t: Tables):
     files = resources.get(t.spark, f"{t.folder}/documents.parquet", format="parquet")
-    return files.where("n_chars >= 500").select("doc_id", "lang", "source", "n_chars")
+    return files.select("doc_id", "lang", "source", "n_chars")
 
 
 @query("""
