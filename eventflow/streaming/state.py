@@ -145,10 +145,11 @@ def memory(df: DataFrame, key: str, order: str, size: int = HISTORY) -> DataFram
 class Throttle(StatefulProcessor):
     """When a message of this key last passed."""
 
-    def __init__(self, ttl_us: int | None, columns: list[str], order: list[str]):
-        self.ttl_us, self.columns, self.order = ttl_us, columns, order
+    def __init__(self, ttl_us: int | None, columns: list[str], order: list[str], expire: bool):
+        self.ttl_us, self.columns, self.order, self.expire = ttl_us, columns, order, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.passed = handle.getValueState("passed", _struct(at=_LONG))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -160,20 +161,40 @@ class Throttle(StatefulProcessor):
             last = int(at) if fresh else last
             keep.append(fresh)
         self.passed.update((last,))
+        if self.expire and any(keep):
+            self.handle.registerTimer((last + self.ttl_us) // 1000 + 1)
         yield pdf.loc[keep, self.columns]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the time-to-live: whatever comes next passes anyway."""
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if self.passed.exists() and (self.passed.get()[0] + self.ttl_us) // 1000 + 1 <= due:
+            self.passed.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def throttle(df: DataFrame, key: str, ttl_seconds: float | None, ts: str = "ts", tie: list[str] = ()) -> DataFrame:
-    """At most one message per key and time-to-live, in a stream."""
+def throttle(
+    df: DataFrame, key: str, ttl_seconds: float | None, ts: str = "ts", tie: list[str] = (), expire: bool = False
+) -> DataFrame:
+    """At most one message per key and time-to-live, in a stream.
+
+    With ``expire`` a key's state is dropped once the watermark, which ``ts``
+    must then carry, shows that it can no longer hold anything back.
+    """
     ttl = None if ttl_seconds is None else int(ttl_seconds * 1_000_000)
-    processor = Throttle(ttl, df.columns, ["at_us", *tie])
+    if expire and ttl is None:
+        raise ValueError("without a time-to-live nothing ever expires")
+    processor = Throttle(ttl, df.columns, ["at_us", *tie], expire)
     return (
         df.withColumn("at_us", F.unix_micros(ts))
         .groupBy(key)
         .transformWithStateInPandas(
-            statefulProcessor=processor, outputStructType=df.schema, outputMode="Append", timeMode="None"
+            statefulProcessor=processor,
+            outputStructType=df.schema,
+            outputMode="Append",
+            timeMode="EventTime" if expire else "None",
         )
     )

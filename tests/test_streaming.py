@@ -136,6 +136,17 @@ def test_throttle(spark, events, tmp_path, ttl):
     same(got.select("event_id"), expected.select("event_id"))
 
 
+def test_throttle_forgets_keys_that_no_longer_matter(spark, events, tmp_path):
+    narrow = events.select("event_id", "user_id", "ts")
+    stream = windows.event_time(in_files(narrow, str(tmp_path / "in"), "ts"), "ts", "0 seconds")
+    got = run(state.throttle(stream, "user_id", 3600.0, tie=["event_id"], expire=True), tmp_path, "expire")
+    expected = batch_throttle(narrow, "user_id", "ts", F.date_trunc("DAY", "ts"), 3600.0, tie="event_id")
+    same(got.select("event_id"), expected.select("event_id"))
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "cp-expire")).option("stateVarName", "passed").load()
+    last = events.agg(F.max("ts")).first()[0]
+    assert kept.count() == expected.where(F.col("ts") >= F.lit(last - timedelta(hours=1))).select("user_id").distinct().count()
+
+
 def test_memory(spark, data, tmp_path):
     turns = spark.read.parquet(f"{data}/conversations.parquet").withColumnRenamed("text", "content")
     stream = in_files(turns, str(tmp_path / "in"), "turn")
