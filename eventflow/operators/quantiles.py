@@ -27,14 +27,23 @@ def _bucket(v: Column) -> Column:
     exponent = F.floor(F.log2(size))
     mantissa = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * _STEPS)
     magnitude = exponent * _STEPS + mantissa + F.lit(2000 * _STEPS)
-    return F.when(v > 0, magnitude).when(v < 0, -magnitude).otherwise(F.lit(0)).cast("bigint")
+    last, infinite = F.lit(1 << 40), F.lit(float("inf"))
+    return (
+        F.when(F.isnan(v), last + 1)
+        .when(v == infinite, last)
+        .when(v == -infinite, -last)
+        .when(v > 0, magnitude)
+        .when(v < 0, -magnitude)
+        .otherwise(F.lit(0))
+        .cast("bigint")
+    )
 
 
 def _finer(v: Column) -> Column:
     """Position of ``v`` within its bucket's own range, in ``_FINE`` cuts."""
     span = F.col("__hi") - F.col("__lo")
     cut = F.floor((v - F.col("__lo")) / span * (_FINE - 1))
-    return F.when(span > 0, cut).otherwise(F.lit(0)).cast("bigint")
+    return F.when(F.col("__lo") < F.col("__hi"), cut).otherwise(F.lit(0)).cast("bigint")
 
 
 def _pick(counts: DataFrame, group: list[str], order: str, wanted: Column) -> DataFrame:
@@ -68,11 +77,23 @@ def _ranks(total: Column, fractions: list[float]) -> Column:
     return F.array(*slots)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float]) -> DataFrame:
+def _settled(df: DataFrame, limit: int) -> DataFrame:
+    """A table of at most ``limit`` rows fetched and marked for broadcast; a larger one as it is."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float], few: int = 10_000) -> DataFrame:
     """One row per key with a column for each entry of ``fractions``.
 
     NULL values are left out, and so are keys that have nothing else. Linear
     interpolation between neighbouring values, like ``percentile``.
+
+    The wanted buckets are counted right away. If there are no more than
+    ``few``, they are broadcast and the data is filtered where it is read;
+    otherwise it is joined with them by a shuffle.
     """
     names, qs = list(fractions), list(fractions.values())
     # The key as one struct: never NULL, so rows with a NULL key join like others.
@@ -86,8 +107,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, fractions: di
     hits = _pick(coarse, ["__k"], "__b", _ranks(F.col("__total"), qs))
 
     hot = hits.groupBy("__k", "__b", "__lo", "__hi").agg(_wanted().alias("__want"), F.max("__total").alias("__total"))
-    if not keys:
-        hot = F.broadcast(hot)  # at most two rows per fraction
+    hot = _settled(hot, few)
     inside = data.join(hot, on=["__k", "__b"]).withColumn("__f", _finer(F.col("__v")))
     values = inside.groupBy("__k", "__b", "__f", "__v").agg(
         F.count("*").alias("__n"), F.first("__want").alias("__want"), F.first("__total").alias("__total")
@@ -105,7 +125,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, fractions: di
     for i, (name, q) in enumerate(zip(names, qs)):
         at = F.lit(float(q)) * (F.col("__total") - 1)
         low, high = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
+        between = low + (high - low) * (at - F.floor(at))
+        out.append(F.when(low == high, low).otherwise(between).alias(name))
     return slots.select(*[F.col("__k")[k].alias(k) for k in keys], *out)
 
 

@@ -78,10 +78,12 @@ def test_most_recent_beyond_the_trim_limit(events):
         ordered.most_recent(events, ["k"], [F.desc("id")], 1200)
 
 
-@pytest.mark.parametrize("keys", [["k"], []])
-def test_spread_quantiles_equal_the_builtin(events, keys):
+@pytest.mark.parametrize("few", [0, 10_000])
+@pytest.mark.parametrize("keys", [["k"], ["k", "day"], []])
+def test_spread_quantiles_equal_the_builtin(events, keys, few):
+    events = events.withColumn("day", F.date_trunc("DAY", "ts").cast("timestamp_ntz"))
     qs = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q99": 0.99, "q100": 1.0}
-    got = quantiles.exact_quantiles(events, keys, F.col("x"), qs)
+    got = quantiles.exact_quantiles(events, keys, F.col("x"), qs, few)
     plain = events.groupBy(*keys).agg(*[F.percentile("x", q).alias(n) for n, q in qs.items()])
 
     def rounded(df):
@@ -97,6 +99,13 @@ def test_quantiles_of_odd_values(spark, values):
     assert np.allclose([got.a, got.b], np.quantile(values, [0.25, 0.5]), rtol=1e-12)
 
 
+def test_quantiles_of_infinite_values(spark):
+    values = [float("-inf"), 1.0, 2.0, float("inf"), float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = quantiles.exact_quantiles(df, [], F.col("x"), {"a": 0.0, "b": 0.2, "c": 0.8, "d": 1.0}).first()
+    assert list(got)[:3] == [float("-inf"), 1.0, float("inf")] and np.isnan(got.d)
+
+
 def test_quantiles_on_random_skewed_values(spark):
     rng = np.random.default_rng(5)
     values = np.concatenate([rng.lognormal(0, 4, 4000), -rng.exponential(1, 2000), np.full(3000, 2.5)])
