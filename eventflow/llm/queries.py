@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import packing, token_counts
-from eventflow.llm.common import table, written
+from eventflow.llm import exact_dedup, packing, sharding, simhash, token_counts
+from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +33,34 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.cut(table(spark, folder, "documents"), BYTE_BPE, SEQUENCE, end_id=1)
     pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.place(written(pieces, "pieces"), SEQUENCE)
+
+
+@query
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"))
+    decided = exact_dedup.decide(documents, index, "first")
+    return decided.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+SQL["op2_exact_dedup"] = """
+    WITH hashed AS (
+        SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = min(doc_id) OVER same AS kept, text_sha256
+    FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), words=4, most=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.shards(table(spark, folder, "documents"), 16)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return dealt.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
