@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import exact_dedup, packing, sharding, simhash, token_counts
+from eventflow.llm import exact_dedup, id_files, packing, sharding, simhash, token_counts
 from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_BPE_IDS = 50_257
 SEQUENCE = 2048
 
 
@@ -64,3 +65,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     dealt = sharding.shards(table(spark, folder, "documents"), 16)
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return dealt.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+@query
+def op6_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "id-files")
+    id_files.write_ids(table(spark, folder, "documents"), BYTE_BPE, BYTE_BPE_IDS, path, end_id=0)
+    return id_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
