@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import exact_dedup, id_files, packing, sharding, simhash, token_counts
+from eventflow.llm import chat, exact_dedup, html_text, id_files, packing, sharding, simhash, token_counts
 from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,37 @@ def op6_id_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "id-files")
     id_files.write_ids(table(spark, folder, "documents"), BYTE_BPE, BYTE_BPE_IDS, path, end_id=0)
     return id_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    formatted = chat.format_chat(conversations.unionByName(spark.sql(fixed)))
+    return chat.digests(written(formatted, "chats"))
+
+
+# The formatted length follows from the template: 3 for <s>, then the marks of each turn and its text, in which
+# backslashes and control strings take one character more.
+SQL["op5_chat"] = """
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), sized AS (
+        SELECT *, len(regexp_extract_all(text, '\\\\|</?s>|<</?SYS>>|\\[/?INST\\]|\\[/?ROLE\\]|\\[TEXT\\]')) + length(text)
+               + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6
+                 ELSE 19 + length(role) + len(regexp_extract_all(role, '\\\\|</?s>|<</?SYS>>|\\[/?INST\\]|\\[/?ROLE\\]|\\[TEXT\\]')) END AS chars
+        FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id
+"""
+
+
+@query
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
