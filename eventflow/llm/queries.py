@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import chat, exact_dedup, html_text, id_files, packing, sharding, simhash, token_counts
+from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, packing, sharding, simhash, token_counts
 from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ SQL["op5_chat"] = """
 @query
 def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
