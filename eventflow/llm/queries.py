@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, packing, sharding, simhash, token_counts
+from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, packing, quality, sharding, simhash, token_counts
 from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,16 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def grades(labels: DataFrame) -> DataFrame:
+    """Graded ratings from the labels: toxic 0, poor 1, good 2."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = quality.fit(documents, grades(table(spark, folder, "labels")), levels=3)
+    return quality.rate(documents, model, least_grade=2)
