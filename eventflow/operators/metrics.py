@@ -16,10 +16,10 @@ def seconds_between(start: Column, end: Column) -> Column:
 QUANTILES = {"p50": 0.5, "p95": 0.95}
 
 
-def latency(df: DataFrame, keys: list[str], seconds: Column, size: int | None = None) -> DataFrame:
+def latency(df: DataFrame, keys: list[str], seconds: Column) -> DataFrame:
     """Count, mean, maximum and exact quantiles of a duration."""
     figures = [F.count("*").alias("n"), F.avg("x").alias("avg_seconds"), F.max("x").alias("max_seconds")]
-    return summary(df, keys, seconds, figures, QUANTILES, size)
+    return summary(df, keys, seconds, figures, QUANTILES)
 
 
 def error_rate(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:
@@ -30,9 +30,9 @@ def error_rate(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:
     )
 
 
-def score_distribution(df: DataFrame, keys: list[str], value: Column, size: int | None = None) -> DataFrame:
+def score_distribution(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     figures = [F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev")]
-    return summary(df, keys, value, figures, QUANTILES, size)
+    return summary(df, keys, value, figures, QUANTILES)
 
 
 def throughput(df: DataFrame, ts: str, every_seconds: int) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact, interpolated quantiles per key, without gathering a key's values.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-buffer. Here values are counted in narrow buckets first; only the buckets that
-hold a wanted rank are looked at again, cut finer, and finally by value. Every
-step is a grouped count that combines on the map side, so a group with a third
-of all rows, or all of them, is spread over the cluster.
+buffer. Here a bounded sketch per key brackets each wanted rank; the rows are
+then counted, those inside a bracket by value and those between brackets as
+one number, which combines on the map side. Only the values inside brackets, a
+thousandth of a key's rows or so, are put in order. One form serves all sizes.
 """
 
 from __future__ import annotations
@@ -12,146 +12,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventflow.sources.context import plan_size
-
-# Below this many bytes the whole input fits one task, whatever its keys.
-ONE_TASK = 64 * 1024 * 1024
-
-_STEPS = 1024  # buckets per power of two
-_FINE = 65536  # cuts of one bucket in the second pass
-
-
-def _bucket(v: Column) -> Column:
-    """A whole number that never decreases with ``v``: sign, exponent, leading digits."""
-    size = F.abs(v)
-    exponent = F.floor(F.log2(size))
-    mantissa = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * _STEPS)
-    magnitude = exponent * _STEPS + mantissa + F.lit(2000 * _STEPS)
-    last, infinite = F.lit(1 << 40), F.lit(float("inf"))
-    return (
-        F.when(F.isnan(v), last + 1)
-        .when(v == infinite, last)
-        .when(v == -infinite, -last)
-        .when(v > 0, magnitude)
-        .when(v < 0, -magnitude)
-        .otherwise(F.lit(0))
-        .cast("bigint")
-    )
-
-
-def _finer(v: Column) -> Column:
-    """Position of ``v`` within its bucket's own range, in ``_FINE`` cuts."""
-    span = F.col("__hi") - F.col("__lo")
-    cut = F.floor((v - F.col("__lo")) / span * (_FINE - 1))
-    return F.when(F.col("__lo") < F.col("__hi"), cut).otherwise(F.lit(0)).cast("bigint")
+from eventflow.sources.joins import skew_join
 
+#: Relative accuracy of the sketch (1 / ACCURACY of the ranks), and how much wider a bracket is.
+ACCURACY = 10_000
+SLACK = 4 / ACCURACY
 
-def _pick(counts: DataFrame, group: list[str], order: str, wanted: Column) -> DataFrame:
-    """Rows whose cumulative range holds a wanted rank, one row per (row, rank).
-
-    ``wanted`` is an array of ``{slot, rank}``, ranks 0-based within the group.
-    """
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = lambda r: (r["rank"] >= F.col("__start")) & (r["rank"] < F.col("__end"))
-    return (
-        counts.withColumn("__end", F.sum("__n").over(w))
-        .withColumn("__start", F.col("__end") - F.col("__n"))
-        .withColumn("__hit", F.explode(F.filter(wanted, inside)))
-        .withColumn("__slot", F.col("__hit.slot"))
-        .withColumn("__rest", F.col("__hit.rank") - F.col("__start"))
-        .drop("__end", "__start", "__hit")
-    )
+KEY = "__k"
 
 
-def _wanted() -> Column:
-    return F.collect_list(F.struct(F.col("__slot").alias("slot"), F.col("__rest").alias("rank")))
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the key as one struct: never NULL, so rows with a NULL key join like others."""
+    return df.withColumn(KEY, F.struct(F.lit(0).alias("_"), *keys))
 
 
-def _ranks(total: Column, fractions: list[float]) -> Column:
-    """Two ranks per fraction, below and above its position among ``total`` values."""
-    slots = []
-    for i, q in enumerate(fractions):
-        at = F.lit(float(q)) * (total - 1)
-        slots.append(F.struct(F.lit(2 * i).alias("slot"), F.floor(at).cast("bigint").alias("rank")))
-        slots.append(F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(at).cast("bigint").alias("rank")))
-    return F.array(*slots)
+def _order(v: Column) -> Column:
+    """The value for the sketch, which knows no NaN: NaN sorts last, with infinity."""
+    return F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v)
 
 
-def _settled(df: DataFrame, limit: int) -> DataFrame:
-    """A table of at most ``limit`` rows fetched and marked for broadcast; a larger one as it is."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def _attach(rows: DataFrame, per_key: DataFrame, hot: bool = False) -> DataFrame:
+    """Joins what is known per key; where there are no keys that is one row, read as a scalar.
 
+    ``hot``: the rows of a key can be many, so a hot key must be split.
+    """
+    if len(rows.schema[KEY].dataType.fields) > 1:
+        return skew_join(rows, per_key, [KEY]) if hot else rows.join(per_key, KEY)
+    names = [c for c in per_key.columns if c != KEY]
+    one = per_key.agg(F.first(F.struct(*names)).alias("one")).scalar()
+    return rows.withColumns({c: one[c] for c in names})
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float], few: int = 10_000) -> DataFrame:
-    """One row per key with a column for each entry of ``fractions``.
 
-    NULL values are left out, and so are keys that have nothing else. Linear
-    interpolation between neighbouring values, like ``percentile``.
+def summary_by_key(data: DataFrame, value: Column, aggregates: list[Column], fractions: dict[str, float]) -> DataFrame:
+    """One row per ``__k``: the aggregates (over a column ``x``) and a column for each entry of ``fractions``.
 
-    The wanted buckets are counted right away. If there are no more than
-    ``few``, they are broadcast and the data is filtered where it is read;
-    otherwise it is joined with them by a shuffle.
+    ``data`` carries ``__k`` (see ``keyed``). NULL values are left out, and so are keys that have nothing else.
     """
-    names, qs = list(fractions), list(fractions.values())
-    # The key as one struct: never NULL, so rows with a NULL key join like others.
-    data = df.select(F.struct(F.lit(0), *keys).alias("__k"), value.cast("double").alias("__v"))
-    data = data.where(F.col("__v").isNotNull()).withColumn("__b", _bucket(F.col("__v")))
-
-    coarse = data.groupBy("__k", "__b").agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+    names, qs = list(fractions), [float(q) for q in fractions.values()]
+    rows = data.select(KEY, value.cast("double").alias("x")).where(F.col("x").isNotNull())
+    ends = [e for q in qs for e in (max(0.0, q - SLACK), min(1.0, q + SLACK))]
+    sketch = rows.groupBy(KEY).agg(
+        F.count("*").alias("__total"), F.percentile_approx(_order(F.col("x")), ends, ACCURACY).alias("__cuts"), *aggregates
     )
-    coarse = coarse.withColumn("__total", F.sum("__n").over(Window.partitionBy("__k")))
-    hits = _pick(coarse, ["__k"], "__b", _ranks(F.col("__total"), qs))
-
-    hot = hits.groupBy("__k", "__b", "__lo", "__hi").agg(_wanted().alias("__want"), F.max("__total").alias("__total"))
-    hot = _settled(hot, few)
-    inside = data.join(hot, on=["__k", "__b"]).withColumn("__f", _finer(F.col("__v")))
-    values = inside.groupBy("__k", "__b", "__f", "__v").agg(
-        F.count("*").alias("__n"), F.first("__want").alias("__want"), F.first("__total").alias("__total")
+    joined = _attach(rows, sketch.select(KEY, "__total", "__cuts"), hot=True)
+    at, cuts = _order(F.col("x")), F.col("__cuts")
+    # The slack is some ranks wide only if a key has that many rows; a bracket holds fewer of them whole.
+    inside, before = F.col("__total") <= ACCURACY, F.lit(0)
+    for i in range(len(qs)):
+        # The first and last bracket are open, so that the least and greatest values are always inside.
+        above = F.lit(True) if ends[2 * i] == 0.0 else at >= cuts[2 * i]
+        below = F.lit(True) if ends[2 * i + 1] == 1.0 else at <= cuts[2 * i + 1]
+        inside = inside | (above & below)
+        before = before + F.when(below, 0).otherwise(1)
+    # Rows outside are told apart by how many brackets lie before them.
+    cells = joined.select(KEY, "x", "__total", F.when(inside, F.lit(-1)).otherwise(before).alias("__gap"), F.when(inside, F.col("x")).alias("__v"))
+    counts = cells.groupBy(KEY, "__gap", "__v").agg(
+        F.count("*").alias("__n"), F.min("x").alias("__at"), F.max("__total").alias("__total")
     )
-    cut = ["__k", "__b", "__f"]
-    fine = values.groupBy(*cut).agg(F.sum("__n").alias("__n"), F.first("__want").alias("__want"))
-    cuts = _pick(fine, ["__k", "__b"], "__f", F.col("__want")).groupBy(*cut).agg(_wanted().alias("__left"))
-    found = _pick(values.join(cuts, on=cut), cut, "__v", F.col("__left"))
-
-    slots = found.groupBy("__k").agg(
+    placed = counts.withColumn("__end", F.sum("__n").over(Window.partitionBy(KEY).orderBy("__at", "__gap").rowsBetween(Window.unboundedPreceding, 0)))
+    held = lambda rank: (F.col("__end") - F.col("__n") <= rank) & (rank < F.col("__end"))
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    value_at = lambda rank: F.max(F.when(held(rank), F.when(F.col("__gap") == -1, F.col("__v")).otherwise(missed)))
+    ranks = [F.lit(q) * (F.col("__total") - 1) for q in qs]
+    slots = placed.groupBy(KEY).agg(
         F.max("__total").alias("__total"),
-        *[F.max(F.when(F.col("__slot") == s, F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(qs))],
+        *[f for i, r in enumerate(ranks) for f in (value_at(F.floor(r)).alias(f"__low{i}"), value_at(F.ceil(r)).alias(f"__high{i}"))]
     )
+    found = _attach(slots, sketch.drop("__total", "__cuts")) if aggregates else slots
     out = []
-    for i, (name, q) in enumerate(zip(names, qs)):
-        at = F.lit(float(q)) * (F.col("__total") - 1)
-        low, high = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}")
-        between = low + (high - low) * (at - F.floor(at))
+    for i, (name, rank) in enumerate(zip(names, ranks)):
+        low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
+        between = low + (high - low) * (rank - F.floor(rank))
         out.append(F.when(low == high, low).otherwise(between).alias(name))
-    return slots.select(*[F.col("__k")[k].alias(k) for k in keys], *out)
+    rest = [c for c in sketch.columns if c not in (KEY, "__total", "__cuts")]
+    return found.select(KEY, *rest, *out)
 
 
-def summary(
-    df: DataFrame, keys: list[str], value: Column, aggregates: list[Column], fractions: dict[str, float], size: int | None = None, one_task: int = ONE_TASK
-) -> DataFrame:
+def summary(df: DataFrame, keys: list[str], value: Column, aggregates: list[Column], fractions: dict[str, float]) -> DataFrame:
     """``aggregates`` (over a column ``x``) and exact quantiles of ``value`` per key.
 
-    Provably small inputs take the built-in aggregate, all others the spread
-    form. ``size`` is an upper bound of the input's bytes, if the caller knows a
-    better one than Spark's estimate.
+    Linear interpolation between neighbouring values, like ``percentile``.
     """
-    data = df.select(*keys, value.cast("double").alias("x")).where(F.col("x").isNotNull())
-    if (plan_size(data) if size is None else size) <= one_task:
-        whole = F.percentile("x", F.array(*[F.lit(float(q)) for q in fractions.values()])).alias("__q")
-        picked = [F.col("__q")[i].alias(name) for i, name in enumerate(fractions)]
-        return data.groupBy(*keys).agg(*aggregates, whole).select("*", *picked).drop("__q")
-    exact = exact_quantiles(data, keys, F.col("x"), fractions)
-    if not aggregates:
-        return exact
-    base = data.groupBy(*keys).agg(*aggregates).withColumn("__k", F.struct(F.lit(0), *keys))
-    right = exact.select(F.struct(F.lit(0), *keys).alias("__k"), *fractions)
-    return base.join(right, on="__k", how="left").drop("__k")
-
-
-def quantiles(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float], one_task: int = ONE_TASK) -> DataFrame:
+    found = summary_by_key(keyed(df, keys), value, aggregates, fractions)
+    return found.select(*[F.col(KEY)[k].alias(k) for k in keys], *[c for c in found.columns if c != KEY])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column, fractions: dict[str, float]) -> DataFrame:
     """Exact quantiles per key."""
-    return summary(df, keys, value, [], fractions, one_task=one_task)
+    return summary(df, keys, value, [], fractions)

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventflow.sources.context import plan_size, sized
+from eventflow.sources.context import sized
 from eventflow.sources.joins import skew_join
 
 from .batches import BATCH_SIZE
-from .quantiles import ONE_TASK, summary
+from .quantiles import KEY, keyed, summary_by_key
 
 # Fixed value: how a failed batch is reported.
 FAILED = "Batch processing error: "
@@ -49,23 +49,26 @@ def as_result(prediction: Column, input_id: Column, metadata: Column) -> Column:
 def _attempt(predict: Predict, rows: np.ndarray, retries: int) -> np.ndarray:
     for left in range(retries, -1, -1):
         try:
-            return np.asarray(predict(rows), dtype=float)
+            values = np.asarray(predict(rows), dtype=float)
+            if values.shape[:1] != (len(rows),):
+                raise ValueError(f"{len(rows)} rows, but predictions of shape {values.shape}")
+            return values.reshape(len(rows), -1)[:, 0]
         except Exception:
             if left == 0:
                 raise
     raise AssertionError("unreachable")
 
 
-def _score_rows(predict: Predict, rows: np.ndarray, retries: int) -> tuple[list, list]:
-    """Score a batch; if it fails, find the rows to blame one by one."""
+def _score_rows(predict: Predict, vectors: list, retries: int) -> tuple[list, list]:
+    """Score a batch; if it fails (also for vectors that make no matrix), find the rows to blame one by one."""
     try:
-        return list(_attempt(predict, rows, retries)), [None] * len(rows)
+        return list(_attempt(predict, np.array(vectors, dtype=float), retries)), [None] * len(vectors)
     except Exception:
         pass
     values, errors = [], []
-    for i in range(len(rows)):
+    for vector in vectors:
         try:
-            values.append(float(_attempt(predict, rows[i : i + 1], retries)[0]))
+            values.append(float(_attempt(predict, np.array([vector], dtype=float), retries)[0]))
             errors.append(None)
         except Exception as problem:
             values.append(None)
@@ -91,8 +94,8 @@ def score_or_error(
         for pdf in batches:
             values, errors = [], []
             for start in range(0, len(pdf), batch_size):
-                rows = np.array(pdf[features].iloc[start : start + batch_size].tolist(), dtype=float)
-                got, bad = _score_rows(predict, rows, max_retries)
+                vectors = pdf[features].iloc[start : start + batch_size].tolist()
+                got, bad = _score_rows(predict, vectors, max_retries)
                 values += got
                 errors += bad
             yield pdf.assign(prediction=pd.array(values, dtype="Float64"), error=errors)
@@ -121,20 +124,21 @@ def flagged(value: Column, threshold: float) -> Column:
     return F.coalesce(value >= F.lit(threshold), F.lit(False))
 
 
-def robust_zscore(df: DataFrame, keys: list[str], value: str, into: str = "z", one_task: int = ONE_TASK) -> DataFrame:
-    """Distance from the key's median in units of its median absolute deviation."""
-    x, size = F.col(value).cast("double"), plan_size(df.select(*keys, value))
-    centre = summary(df, keys, x, [], {"__med": 0.5}, size, one_task)
+def robust_zscore(df: DataFrame, keys: list[str], value: str, into: str = "z") -> DataFrame:
+    """Distance from the key's median in units of its median absolute deviation; rows with a NULL key are a group."""
+    x = F.col(value).cast("double")
+    narrow = keyed(df, keys).select(KEY, value)
+    centre = summary_by_key(narrow, x, [], {"__med": 0.5})
     distance = F.abs(x - F.col("__med"))
-    spread = summary(skew_join(df, centre, keys), keys, distance, [], {"__mad": 0.5}, size, one_task)
-    known = centre.join(spread, on=keys, how="left")
-    joined = skew_join(df, known, keys, "left")
-    return joined.withColumn(into, F.try_divide(F.abs(x - F.col("__med")), F.col("__mad"))).drop("__med", "__mad")
+    spread = summary_by_key(skew_join(narrow, centre, [KEY]), distance, [], {"__mad": 0.5})
+    known = centre.join(spread, KEY, "left")
+    joined = skew_join(keyed(df, keys), known, [KEY], "left")
+    return joined.withColumn(into, F.try_divide(distance, F.col("__mad"))).drop(KEY, "__med", "__mad")
 
 
 def version_order(version: Column) -> Column:
     """Numeric parts of a dotted version, so that 1.10 sorts after 1.9."""
-    return F.transform(F.split(version, r"\."), lambda part: part.cast("int"))
+    return F.transform(F.split(version, r"\."), lambda part: part.try_cast("int"))
 
 
 def latest_models(catalogue: DataFrame, tie: str) -> DataFrame:

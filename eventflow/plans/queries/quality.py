@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from eventflow.operators import checks, metrics
 from eventflow.operators.ordered import previous
 from eventflow.plans.registry import Tables, query
-from eventflow.sources.context import plan_size
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -26,14 +25,13 @@ def group_collect(t: Tables):
 
 @query("""
 SELECT name, count(*) AS n FROM (
-  SELECT substr(c_name, 10) AS name FROM customer UNION ALL SELECT substr(s_name, 10) FROM supplier)
+  SELECT lang AS name FROM documents UNION ALL SELECT source FROM documents UNION ALL SELECT role FROM conversations
+  UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier)
 GROUP BY 1 HAVING count(*) > 1
 """)
 def dup_names(t: Tables):
-    # Customer and supplier names differ in their first word only.
-    customers = t.customer.select(F.substring("c_name", 10, 100).alias("name"))
-    suppliers = t.supplier.select(F.substring("s_name", 10, 100).alias("name"))
-    return checks.duplicates(customers, suppliers)
+    named = [(t.documents, "lang"), (t.documents, "source"), (t.conversations, "role"), (t.customer, "c_name"), (t.supplier, "s_name")]
+    return checks.duplicates(*[table.select(F.col(column).alias("name")) for table, column in named])
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -132,8 +130,7 @@ def metric_latency(t: Tables):
     day = F.date_trunc("DAY", "ts").cast("timestamp_ntz")
     events = previous(t.events.select("user_id", "ts"), ["user_id"], ["ts"], F.date_trunc("HOUR", "ts"), "ts", "before")
     seconds = metrics.seconds_between(F.col("before"), F.col("ts"))
-    # The gaps come one per event, so the table itself bounds their size.
-    rows = metrics.latency(events.withColumn("day", day), ["day"], seconds, size=plan_size(t.events))
+    rows = metrics.latency(events.withColumn("day", day), ["day"], seconds)
     names = ["avg_seconds", "max_seconds", "p50", "p95"]
     return rows.select("day", "n", *[F.round(c, 3).alias(c) for c in names])
 

@@ -54,6 +54,41 @@ def test_hooks_and_retries(spark):
     assert [(r.prediction, r.error) for r in df.collect()] == [(20.0, None)]
 
 
+def test_bad_vectors_and_predictions_are_row_errors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [3.0, 4.0])], "id int, x array<double>")
+
+    def load():
+        def predict(rows):
+            if rows.shape[1:] != (2,):
+                raise ValueError("two features, please")
+            return rows.sum(axis=1)
+
+        return predict
+
+    got = {r.id: (r.prediction, r.error is None) for r in score.score_or_error(df, "x", load).collect()}
+    assert got == {1: (3.0, True), 2: (None, False), 3: (None, False), 4: (7.0, True)}
+    few = score.score_or_error(df.where("id = 1 OR id = 4"), "x", lambda: lambda rows: np.zeros(7)).collect()
+    assert all(r.prediction is None and "predictions of shape" in r.error for r in few)
+
+
+def test_versions_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("m", "1.0-rc1", "f1"), ("m", "1.2", "f2")], "name string, version string, file string")
+    assert [r.file for r in score.latest_models(df, "file").collect()] == ["f2"]
+
+
+def test_too_few_answers_are_row_errors(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    rows = prompts.generate(df, "p", lambda: lambda texts: ["only one"]).collect()
+    assert [r.response for r in rows] == ["only one"] * 2 and all(r.error is None for r in rows)
+    rows = prompts.generate(df, "p", lambda: lambda texts: []).collect()
+    assert all(r.response is None and "0 answers" in r.error for r in rows)
+
+
+def test_response_without_provider(spark):
+    row = spark.range(1).select(prompts.parse_response(F.lit(None).cast("string"), F.lit("m"), F.lit("{}")).alias("r")).first().r
+    assert row.text is None and row.error == "Invalid response format from none"
+
+
 def test_linear_matches_numpy(spark):
     rng = np.random.default_rng(0)
     x, w = rng.normal(size=(20, 8)), rng.normal(size=8)
@@ -62,10 +97,11 @@ def test_linear_matches_numpy(spark):
     assert np.allclose(got, x @ w + 0.5)
 
 
-@pytest.mark.parametrize("one_task", [0, 1 << 40])
-def test_zscore(spark, one_task):
-    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 5.0)], "k string, v double")
-    got = {(r.k, r.v): r.z for r in score.robust_zscore(df, ["k"], "v", one_task=one_task).collect()}
+def test_zscore(spark):
+    rows = [("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 5.0)] + [(None, float(v)) for v in (1, 2, 9)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r.k, r.v): r.z for r in score.robust_zscore(df, ["k"], "v").collect()}
+    assert got[(None, 9.0)] == 7.0 and got[(None, 2.0)] == 0.0
     assert got[("a", 100.0)] == 97.0 and got[("a", 3.0)] == 0.0 and got[("b", 5.0)] is None
 
 

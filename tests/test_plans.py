@@ -1,11 +1,14 @@
 """What the plans look like: no Python where columns suffice, pruned scans, no needless joins."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from eventflow.operators import review, score
 from eventflow.operators.review import ReviewConfig
+from eventflow.plans.registry import QUERIES
 from eventflow.sources import context
 
 # Queries whose point is user-supplied Python.
@@ -18,7 +21,7 @@ def plan(spark, data, name):
     return entry_points.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - PYTHON))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON))
 def test_stays_on_the_jvm_without_cross_joins(spark, data, name):
     text = plan(spark, data, name)
     for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -92,6 +95,16 @@ def test_hot_keys_of_lookups_and_orphans_are_split(spark, tiny_limits):
     assert "skew=true" in final_plan(score.robust_zscore(values, ["g"], "v"))
 
 
+def test_anomalies_take_few_shuffles(spark, data):
+    """With broadcasts off, as for tables too large for them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = final_plan(entry_points.queries()["anomaly_zscore"](spark, data))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = text[: text.index("== Initial Plan ==")]
+    assert len(re.findall(r"[ -] Exchange ", text)) <= 14
+    assert text.count("FileScan") <= 4
+
+
 def test_a_network_counts_its_data_once(spark, data):
     df = entry_points.queries()["bayes_posterior"](spark, data)
     assert "ReusedExchange" in final_plan(df)
