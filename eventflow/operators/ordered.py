@@ -12,9 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this rank Spark trims ranked rows before the shuffle (its default setting).
-TRIM_LIMIT = 1000
-
 _RANK = "__rank"
 PART = "__part"  # struct of key columns and chunk: never NULL, so NULL keys join too
 
@@ -89,15 +86,13 @@ def trailing(
 def most_recent(df: DataFrame, keys: list[str], newest_first: list[Column], size: int, chunk: Column | None = None) -> DataFrame:
     """The ``size`` newest rows per key.
 
-    Up to ``TRIM_LIMIT`` rows Spark trims each map task to ``size`` rows per key
-    before the shuffle, so a hot key does not reach one task whole. Beyond, a
-    ``chunk`` (never decreasing from newest to oldest) has to split the key.
+    Spark trims each map task to ``size`` rows per key before the shuffle, so a hot
+    key does not reach one task whole. It does so for a small ``size``; for a large
+    one a ``chunk`` (never decreasing from newest to oldest) splits the key.
     """
-    if size <= TRIM_LIMIT:
+    if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*newest_first)
         numbered = df.withColumn(_RANK, F.row_number().over(w))
-    elif chunk is None:
-        raise ValueError(f"more than {TRIM_LIMIT} rows per key need a chunk")
     else:
         numbered = ranked(df, keys, newest_first, chunk, _RANK)
     return numbered.where(F.col(_RANK) <= size).drop(_RANK)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventflow.sources.joins import skew_join
 
-from .ordered import TRIM_LIMIT, ranked
+from .ordered import ranked
 
 # States, default settings, topic parts.
 PENDING, APPROVED, REJECTED, TIMED_OUT = "pending", "approved", "rejected", "timed_out"
@@ -69,12 +69,11 @@ def _earliest_closing(decisions: DataFrame, needed: int, tie: list[str], chunk:
         return first.withColumn("outcome", F.lit(APPROVED))
     final = decisions.where(F.col("decision").isin(APPROVED, REJECTED)).select("review_id", "decision", "decided_at", *tie)
     by_kind, order = ["review_id", "decision"], [F.col(c) for c in ("decided_at", *tie)]
-    if needed <= TRIM_LIMIT:
+    if chunk is None:
         w = Window.partitionBy(*by_kind).orderBy(*order)
         numbered = final.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= needed)
     else:
-        cut = F.date_trunc("DAY", "decided_at") if chunk is None else chunk
-        numbered = ranked(final, by_kind, order, cut, "__n")
+        numbered = ranked(final, by_kind, order, chunk, "__n")
     decisive = F.when(F.col("decision") == REJECTED, F.col("__n") == 1).otherwise(F.col("__n") == needed)
     earliest = F.min(F.struct(_order(tie).alias("closing"), F.col("decision").alias("outcome"))).alias("__first")
     return numbered.where(decisive).groupBy("review_id").agg(earliest).select("review_id", "__first.*")
@@ -83,18 +82,17 @@ def _earliest_closing(decisions: DataFrame, needed: int, tie: list[str], chunk:
 def closing_decisions(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str], chunk: Column | None = None) -> DataFrame:
     """The decision that closes each review: ``review_id, outcome, closing``.
 
-    Decisions count in the order of time, then the ``tie`` columns, which must
+    Decisions from before the request do not count. The others count in the order of time, then the ``tie`` columns, which must
     tell a review's decisions apart. After each one, enough approvals close the
     review as approved, else any rejection closes it as rejected. So the n-th
     approval or the first rejection closes it, whichever is earlier: Spark trims
-    each map task to n decisions of a kind per review before anything is
-    shuffled. Decisions after the deadline are the last in order, so it is enough to test
-    the closing one against it, with one row per review on both sides.
+    each map task to n decisions of a kind per review. A large n takes a ``chunk``
+    that never decreases in time, such as a day, to split a review's decisions.
     """
-    earliest = _earliest_closing(decisions, config.required_approvals, tie, chunk)
-    limits = requests.select("review_id", deadline(F.col("created_at"), F.col("timeout_seconds")).alias("__until"))
-    timely = earliest.join(limits, on="review_id").where(F.col("closing.decided_at") <= F.col("__until"))
-    return timely.select("review_id", "outcome", "closing")
+    until = deadline(F.col("created_at"), F.col("timeout_seconds"))
+    limits = requests.select("review_id", F.col("created_at").alias("__from"), until.alias("__until"))
+    timely = skew_join(decisions, limits, ["review_id"]).where(F.col("decided_at").between(F.col("__from"), F.col("__until")))
+    return _earliest_closing(timely, config.required_approvals, tie, chunk).select("review_id", "outcome", "closing")
 
 
 def resolve(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str], as_of: Column | None = None) -> DataFrame:
@@ -112,12 +110,12 @@ def resolve(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie
 
 
 def orphans(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str]) -> DataFrame:
-    """Decisions nobody waits for: no such review, already closed, or timed out."""
+    """Decisions nobody waits for: no such review, not yet opened, already closed, or timed out."""
     closing = closing_decisions(requests, decisions, config, tie)
     until = deadline(F.col("created_at"), F.col("timeout_seconds"))
-    known = requests.select("review_id", until.alias("__until")).join(closing, on="review_id", how="left")
+    known = requests.select("review_id", F.col("created_at").alias("__from"), until.alias("__until")).join(closing, on="review_id", how="left")
     joined = skew_join(decisions.withColumn("__order", _order(tie)), known, ["review_id"], "left")
-    late = (F.col("decided_at") > F.col("__until")) | (F.col("__order") > F.col("closing"))
+    late = ~F.col("decided_at").between(F.col("__from"), F.col("__until")) | (F.col("__order") > F.col("closing"))
     missed = F.col("__until").isNull() | F.coalesce(late, F.lit(False))
     return joined.where(missed).select(*decisions.columns)
 
