@@ -48,8 +48,11 @@ def matches(rule: Rule, schema: T.StructType) -> Column:
 
 
 def first_match(cases: list[tuple[Column, Column]], default: Column) -> Column:
-    """The value of the first case that holds."""
-    return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), default)
+    """The value of the first case that holds: one flat CASE, however many cases there are."""
+    if not cases:
+        return default
+    (test, value), *rest = cases
+    return reduce(lambda chain, case: chain.when(*case), rest, F.when(test, value)).otherwise(default)
 
 
 def decision(rules: list[Rule], schema: T.StructType, default: str = DEFAULT_DECISION) -> Column:

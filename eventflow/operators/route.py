@@ -147,8 +147,8 @@ def deliveries(routed: DataFrame, routes: list[Route], payload: str = "payload",
     sends = routed.where(F.col("action.type").isin("publish", "forward", "transform"))
     text = F.col(payload)
     for attribute in ("transform", "script"):
-        for script in _scripts(routes, attribute):
-            text = F.when(F.col(f"action.{attribute}") == script, F.expr(script).cast("string")).otherwise(text)
+        cases = [(F.col(f"action.{attribute}") == s, F.expr(s).cast("string")) for s in _scripts(routes, attribute)]
+        text = first_match(cases, text)
     extra = F.col("action.headers")
     merged = F.map_concat(F.coalesce(F.col(headers), F.create_map().cast("map<string,string>")), extra) if headers else extra
     return sends.withColumns({"topic": F.col("action.target"), payload: text, "out_headers": merged})

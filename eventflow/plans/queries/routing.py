@@ -79,11 +79,15 @@ FROM (SELECT event_id, value, {_TEXT_SQL} AS payload FROM events)
 
 @query(f"""
 WITH f AS ({_FIRST_SQL})
-SELECT event_id, CASE route WHEN 'money' THEN 'sales' WHEN 'faults' THEN 'ops' WHEN 'nines' THEN 'nines' END AS target FROM f
+SELECT event_id, 0 AS action_no,
+       CASE route WHEN 'money' THEN 'sales' WHEN 'faults' THEN 'ops' WHEN 'nines' THEN 'nines' ELSE 'log:No matching route found' END AS target FROM f
+UNION ALL
+SELECT event_id, 1, 'log:sale' FROM f WHERE route = 'money'
 """)
 def route_priority(t: Tables):
     routed = r.route(texts(t), ROUTES)
-    return routed.where("action_no = 0").select("event_id", "action.target")
+    target = F.coalesce(F.col("action.target"), F.concat(F.lit("log:"), F.col("action.message")))
+    return routed.select("event_id", "action_no", target.alias("target"))
 
 
 _ALL_SQL = f"""
@@ -178,13 +182,13 @@ def route_action_count(t: Tables):
 
 
 @query("""
-SELECT c_custkey, CASE WHEN n_regionkey IN (0, 1, 2) THEN 'desk.' || r_name ELSE 'desk.other' END AS topic
-FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+SELECT c_custkey, coalesce('desk.' || r_name, 'desk.other') AS topic
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + 5 LEFT JOIN region ON r_regionkey = n_regionkey
 """)
 def route_lookup(t: Tables):
-    regions = t.region.where("r_regionkey <= 2")
-    desks = t.nation.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
+    desks = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("desk."), "r_name").alias("desk")
     )
-    customers = t.customer.select("c_custkey", "c_nationkey")
+    # Keys moved on by five, so that the last customers belong to no known nation.
+    customers = t.customer.select("c_custkey", (F.col("c_nationkey") + 5).alias("c_nationkey"))
     return r.route_by_lookup(customers, desks, ["c_nationkey"], "desk", "desk.other").drop("c_nationkey")

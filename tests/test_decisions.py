@@ -9,33 +9,45 @@ from eventflow.operators import route as r
 from eventflow.operators.decide import Check, Rule
 from eventflow.operators.route import Action, Route
 
-ACTIVE = {"op": "eq", "field": "status", "value": "active"}
-HIGH = {"op": "gt", "field": "score", "value": 50}
+PARCELS = [("express", 12.5), ("express", 2.0), (None, None)]
+EXPRESS = {"op": "regex", "field": "service", "pattern": "^exp"}
+HEAVY = {"op": "gt", "field": "kilos", "value": 10}
 
 
-def people(spark):
-    return spark.createDataFrame([("active", 75), ("active", 25), (None, None)], "status string, score int")
+def parcels(spark):
+    return spark.createDataFrame(PARCELS, "service string, kilos double")
 
 
-def test_rule_match_and_default(spark):
-    out = d.decide(people(spark), [Rule("r", "approve", (ACTIVE, HIGH), priority=1)])
-    assert [x.decision for x in out.collect()] == ["approve", "unknown", "unknown"]
+def decisions(df, rules, **options):
+    return [x.decision for x in d.decide(df, rules, **options).collect()]
 
 
-def test_priority_is_stable(spark):
-    rules = [Rule("low", "c", priority=1), Rule("first", "a", (ACTIVE,), 5), Rule("second", "b", (), 5)]
-    df = people(spark)
-    assert [x.decision for x in d.decide(df, rules).collect()] == ["a", "a", "b"]
-    assert [x[0] for x in df.select(d.matching_rules(rules, df.schema)).collect()] == [
-        ["first", "second", "low"],
-        ["first", "second", "low"],
-        ["second", "low"],
-    ]
+def test_all_conditions_must_hold(spark):
+    van = Rule("van", "by van", (EXPRESS, HEAVY), priority=1)
+    assert decisions(parcels(spark), [van]) == ["by van", "unknown", "unknown"]
+    assert decisions(parcels(spark), [van], default="by bike") == ["by van", "by bike", "by bike"]
+    assert decisions(parcels(spark), []) == ["unknown"] * 3
+
+
+def test_equal_priorities_keep_their_order(spark):
+    rules = [Rule("last", "z", priority=-3), Rule("fast", "y", (EXPRESS,), 7), Rule("any", "x", (), 7)]
+    df = parcels(spark)
+    assert decisions(df, rules) == ["y", "y", "x"]
+    ids = [x[0] for x in df.select(d.matching_rules(rules, df.schema)).collect()]
+    assert ids == [["fast", "any", "last"], ["fast", "any", "last"], ["any", "last"]]
+
+
+def test_thousands_of_rules_and_routes(spark):
+    rules = [Rule(f"r{i}", f"d{i}", ({"op": "eq", "field": "x", "value": i},), priority=-i) for i in range(2000)]
+    df = spark.createDataFrame([(0,), (1999,), (5000,)], "x int")
+    assert [x.decision for x in d.decide(df, rules).orderBy("x").collect()] == ["d0", "d1999", "unknown"]
+    pairs = [(f"x = {i}", f"t{i}") for i in range(2000)]
+    assert [x.t for x in df.select("x", r.route_by_rules(pairs, "none").alias("t")).orderBy("x").collect()] == ["t0", "t1999", "none"]
 
 
 def test_load_rules():
-    text = json.dumps([{"id": "x", "priority": 3, "conditions": [ACTIVE], "decision": "go"}])
-    assert d.load_rules(text) == [Rule("x", "go", (ACTIVE,), 3)]
+    text = json.dumps([{"id": "van", "priority": 4, "conditions": [HEAVY, EXPRESS], "decision": "by van"}])
+    assert d.load_rules(text) == [Rule("van", "by van", (HEAVY, EXPRESS), 4)]
 
 
 def test_rules_table(spark):
@@ -48,35 +60,34 @@ def test_rules_table(spark):
 
 
 def test_checks_and_failure_route(spark):
-    df = people(spark)
-    checks = [Check("status", "status IN ('active')", "bad status"), Check("score", "score >= 50", "too low")]
-    failed = [[f["name"] for f in x[0]] for x in df.select(d.failed_checks(checks)).collect()]
-    assert failed == [[], ["score"], ["status", "score"]]
+    checks = [Check("service", "service LIKE 'e%'", "no such service"), Check("weight", "kilos >= 10", "too light")]
+    failed = [[f["name"] for f in x[0]] for x in parcels(spark).select(d.failed_checks(checks)).collect()]
+    assert failed == [[], ["weight"], ["service", "weight"]]
     attempts = spark.createDataFrame([(False, 9), (True, 1), (True, 2), (True, 3)], "bad boolean, n int")
     topic = d.failure_route(F.col("bad"), F.col("n"), 2, "ok", "again", "reject")
     assert [x[0] for x in attempts.select(topic).collect()] == ["ok", "again", "again", "reject"]
 
 
-ROUTES = json.dumps(
+SWITCH = json.dumps(
     [
-        {"id": "route2", "description": "", "pattern": ".*", "actions": [], "priority": 2, "enabled": False},
+        {"id": "closed", "description": "", "pattern": "", "actions": [], "priority": 80, "enabled": False},
+        {"id": "broken", "description": "", "pattern": "a(", "actions": [], "priority": 70},
         {
-            "id": "route1",
-            "description": "test",
-            "pattern": ".*test.*",
-            "actions": [{"type": "publish", "target": "out"}, {"type": "log", "message": "seen"}],
-            "priority": 1,
+            "id": "invoices",
+            "description": "bills go to the desk",
+            "pattern": "^(invoice|bill) ",
+            "actions": [{"type": "publish", "target": "desk"}, {"type": "log", "message": "billed"}],
+            "priority": 60,
         },
-        {"id": "bad", "description": "", "pattern": "([", "actions": []},
     ]
 )
 
 
 def test_load_routes(spark):
-    routes = r.load_routes(ROUTES)
-    assert [x.id for x in r.usable(routes)] == ["route1"]
-    assert [a.type for a in routes[1].actions] == ["publish", "log"]
-    assert routes[1].actions[1].level == "info" and routes[1].actions[0].timeout_secs == 30
+    routes = r.load_routes(SWITCH)
+    assert [x.id for x in r.usable(routes)] == ["invoices"]
+    publish, log = routes[2].actions
+    assert (publish.type, publish.timeout_secs, log.type, log.level) == ("publish", 30, "log", "info")
 
 
 def run(spark, payloads, routes, **options):
@@ -86,11 +97,14 @@ def run(spark, payloads, routes, **options):
 
 
 def test_first_match_default_and_multicast(spark):
-    routes = r.load_routes(ROUTES) + [Route("all", "", (Action("publish", target="all"),), priority=-1)]
-    assert run(spark, ["a test"], routes) == [("a test", 0, "publish", "out"), ("a test", 1, "log", "seen")]
-    assert run(spark, ["a test"], routes, stop_after_first_match=False)[2] == ("a test", 2, "publish", "all")
-    assert run(spark, ["none"], routes[:2]) == [("none", 0, "log", "No matching route found")]
-    assert run(spark, ["none"], []) == [("none", 0, "log", "No matching route found")]
+    copies = Route("copies", "", (Action("publish", target="archive"),), priority=5)
+    routes = [*r.load_routes(SWITCH), copies]
+    desk = [("bill 7", 0, "publish", "desk"), ("bill 7", 1, "log", "billed")]
+    assert run(spark, ["bill 7"], routes) == desk
+    assert run(spark, ["bill 7"], routes, stop_after_first_match=False) == [*desk, ("bill 7", 2, "publish", "archive")]
+    assert run(spark, ["letter"], routes) == [("letter", 0, "publish", "archive")]
+    for few in (routes[:3], []):
+        assert run(spark, ["letter"], few) == [("letter", 0, "log", "No matching route found")]
 
 
 def test_transform_ends_the_list_only_in_compat(spark):
@@ -112,5 +126,5 @@ def test_forward_merges_headers(spark):
 
 
 def test_route_by_rules_order_and_nulls(spark):
-    topic = r.route_by_rules([("score >= 70", "high"), ("score >= 20", "medium")], "rest")
-    assert [x[0] for x in people(spark).select(topic).collect()] == ["high", "medium", "rest"]
+    topic = r.route_by_rules([("kilos > 10", "crane"), ("kilos > 1", "belt")], "desk")
+    assert [x[0] for x in parcels(spark).select(topic).collect()] == ["crane", "belt", "desk"]
