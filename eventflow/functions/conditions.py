@@ -51,6 +51,8 @@ def _text(found: Field) -> Column | None:
 
 def _equal(found: Field, value: object) -> Column | None:
     """NULL where the field is missing; None where the types cannot be equal."""
+    if isinstance(value, (list, dict)):
+        return None
     if _is_number(value):
         if isinstance(found.type, T.IntegralType) and isinstance(value, int):
             return found.column == F.lit(value)
@@ -64,7 +66,7 @@ def _equal(found: Field, value: object) -> Column | None:
             return F.when(is_bool, F.try_variant_get(found.column, "$", "boolean") == F.lit(value))
         return None
     if isinstance(found.type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return found.column == F.lit(value).cast(found.type)
+        return found.column == F.lit(value).try_cast(found.type)
     text = _text(found)
     return None if text is None else text == F.lit(value)
 

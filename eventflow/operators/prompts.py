@@ -143,7 +143,7 @@ def parse_response(provider: Column, model: Column, body: Column) -> Column:
         F.when(theirs, number("$.usage.input_tokens")).otherwise(number("$.usage.prompt_tokens")).alias("prompt_tokens"),
         F.when(theirs, number("$.usage.output_tokens")).otherwise(number("$.usage.completion_tokens")).alias("completion_tokens"),
         F.when(~theirs, number("$.usage.total_tokens")).alias("total_tokens"),
-        F.when(text.isNull(), F.concat(F.lit(BAD_RESPONSE), name)).alias("error"),
+        F.when(text.isNull(), F.concat(F.lit(BAD_RESPONSE), F.coalesce(name, F.lit("none")))).alias("error"),
     )
 
 
@@ -160,7 +160,10 @@ Generate = Callable[[list[str]], list[str]]
 def _generate(generate: Generate, prompts: list[str], retries: int) -> tuple[list, list]:
     for _ in range(retries + 1):
         try:
-            return list(generate(prompts)), [None] * len(prompts)
+            answers = list(generate(prompts))
+            if len(answers) != len(prompts):
+                raise ValueError(f"{len(prompts)} prompts, but {len(answers)} answers")
+            return answers, [None] * len(prompts)
         except Exception as problem:
             last = str(problem)
     if len(prompts) == 1:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from eventflow.functions.arrays import pick
 from eventflow.functions.conditions import holds
-from eventflow.functions.json_text import unknown_keys
+from eventflow.functions.json_text import is_json, unknown_keys
 from eventflow.functions.paths import Field, resolve
 from eventflow.functions.patterns import search
 
@@ -130,7 +130,8 @@ def _field_errors(name: str, rule: FieldRule, schema: T.StructType) -> list[Fail
     if rule.pattern is not None:
         fails(search(c.cast("string"), rule.pattern), "does not match pattern")
     if rule.allowed_values:
-        fails(c.isin(*rule.allowed_values), "value not allowed")
+        values = [F.lit(v) if isinstance(found.type, T.VariantType) else F.lit(v).cast("string").try_cast(found.type) for v in rule.allowed_values]
+        fails(c.isin(*values), "value not allowed")
     if rule.custom_validator is not None:
         fails(F.expr(rule.custom_validator), "custom validator failed")
     return [e for e in errors if e is not None]
@@ -170,11 +171,13 @@ def validation_errors(rules: Rules, schema: T.StructType) -> Column:
 
 
 def strict_schema_errors(payload: Column, known: list[str]) -> Column:
-    """One error per key of a JSON payload that the schema does not declare."""
+    """One error per key of a JSON payload that the schema does not declare; one for a payload that is no JSON."""
     extra = F.array_sort(unknown_keys(payload, known))
-    return F.transform(
+    unknown = F.transform(
         extra, lambda k: _error("schema_validation", None, F.concat(F.lit("unknown field "), k))
     ).cast(f"array<{_ERROR}>")
+    malformed = F.array(_error("schema_validation", None, "invalid JSON")).cast(f"array<{_ERROR}>")
+    return F.when(is_json(payload), unknown).otherwise(malformed)
 
 
 def validate(df: DataFrame, rules: Rules, into: str = "errors") -> DataFrame:

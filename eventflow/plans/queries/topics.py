@@ -91,16 +91,16 @@ def file_scan(t: Tables):
 
 @query("""
 WITH r AS (SELECT date_trunc('day', min(ts)) AS lo, max(ts) AS hi FROM events),
-     s AS (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), hi, INTERVAL 1 HOUR)) AS tick FROM r),
+     s AS (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), hi, INTERVAL 7 HOUR)) AS tick FROM r),
      c AS (SELECT date_trunc('hour', ts) AS tick, count(*) AS n FROM events GROUP BY 1)
 SELECT CAST(s.tick AS TIMESTAMP) AS tick, coalesce(c.n, 0) AS n
 FROM s LEFT JOIN c ON CAST(c.tick AS TIMESTAMP) = s.tick
 """)
 def timer_ticks(t: Tables):
-    every_hour = timer.ticks(t.events, "ts", "INTERVAL '1' HOUR")
+    every_seven = timer.ticks(t.events, "ts", "INTERVAL '7' HOUR")
     hour = F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("tick")
     seen = t.events.groupBy(hour).agg(F.count("*").alias("n"))
-    return every_hour.join(seen, on="tick", how="left").select("tick", F.coalesce("n", F.lit(0)).alias("n"))
+    return every_seven.join(seen, on="tick", how="left").select("tick", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""

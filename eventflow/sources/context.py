@@ -67,15 +67,11 @@ def knowledge_base(spark: SparkSession, path: str, format: str = "json") -> Data
     return spark.read.format(format).load(path)
 
 
-def context_text(reference: DataFrame, line: Column, order: str, max_rows: int = 10_000) -> Column:
-    """A small context set as one text, for use inside prompts.
+def context_text(reference: DataFrame, line: Column, order: str) -> Column:
+    """A context set as one text, for use inside prompts: all its lines, whatever their number.
 
-    The text is repeated in every prompt, so a set beyond ``max_rows`` is an
-    error rather than something to truncate.
+    The text is one value and is repeated in every prompt, so its size is the caller's choice.
     """
-    bounded = reference.select(F.col(order).alias("k"), line.alias("line")).limit(max_rows + 1)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "\n")
-    checked = F.when(F.count("*") <= max_rows, lines).otherwise(
-        F.raise_error(F.lit(f"context set has more than {max_rows} rows"))
-    )
-    return bounded.agg(checked.alias("context")).scalar()
+    lines = reference.select(F.struct(F.col(order).alias("k"), line.alias("line")).alias("s"))
+    ordered = F.array_sort(F.collect_list("s"))
+    return lines.agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("context")).scalar()

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ticks(df: DataFrame, ts: str, every: str, slab: str = "INTERVAL '1' DAY") -> DataFrame:
-    """One row per ``every`` (a day-time interval dividing ``slab``) over the days ``ts`` covers.
+#: Ticks that one task expands at once.
+SLAB = 10_000
 
-    The time range is first cut into slabs, which are spread over the cluster,
-    and each slab is expanded on its own: no task holds the whole sequence.
+
+def ticks(df: DataFrame, ts: str, every: str) -> DataFrame:
+    """One row per ``every`` (any day-time interval) from the first day of ``ts`` on, up to its last time.
+
+    Ticks are numbered from the start. Ranges of numbers are spread over the
+    cluster and expanded each on its own: no task holds the whole sequence.
     """
     start = F.date_trunc("DAY", F.min(ts)).cast("timestamp_ntz")
     last = F.max(ts).cast("timestamp_ntz")
-    bounds = df.agg(start.alias("lo"), last.alias("hi"))
-    slabs = bounds.select("hi", F.explode(F.expr(f"sequence(lo, hi, {slab})")).alias("lo"))
-    steps = F.explode(F.expr(f"sequence(lo, lo + {slab} - {every}, {every})"))
-    return slabs.repartition("lo").select("hi", steps.alias("tick")).where("tick <= hi").select("tick")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    step = F.unix_micros(F.expr(f"timestamp_micros(0) + {every}"))
+    bounds = df.agg(start.alias("lo"), last.alias("hi")).where(F.col("lo").isNotNull())
+    counted = bounds.select("lo", F.floor((micros(F.col("hi")) - micros(F.col("lo"))) / step).alias("last"))
+    slabs = counted.select("lo", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / SLAB))).alias("slab"))
+    first = F.col("slab") * SLAB
+    number = F.explode(F.sequence(first, F.least(first + (SLAB - 1), F.col("last")))).alias("n")
+    return slabs.repartition("slab").select("lo", number).select(F.expr(f"lo + ({every}) * n").alias("tick"))
 
 
 def tick_stream(spark: SparkSession, per_second: int = 1) -> DataFrame:

@@ -46,6 +46,8 @@ def people(spark):
         ({"op": "or", "conditions": []}, [False, False, False]),
         ({"op": "eq", "field": "status", "value": None}, [False, False, True]),
         ({"op": "ne", "field": "status", "value": None}, [True, True, False]),
+        ({"op": "eq", "field": "score", "value": [75]}, [False, False, False]),
+        ({"op": "ne", "field": "status", "value": {"a": 1}}, [True, True, True]),
     ],
 )
 def test_two_valued_conditions(people, cond, expected):
