@@ -98,8 +98,12 @@ def split_engine(engine: Column) -> Column:
     return F.struct(parts[0].alias("provider"), F.try_element_at(parts, F.lit(2)).alias("model"))
 
 
-def request_body(provider: Column, prompt: Column, options: Column) -> Column:
-    """JSON request for the provider; NULL for one that is not supported."""
+def request_body(provider: Column, prompt: Column, options: Column, extra: Column | None = None) -> Column:
+    """JSON request for the provider; NULL for one that is not supported.
+
+    ``extra`` is a map from further option names to their values in JSON. They are
+    sent to every provider as they are, except names the request holds already.
+    """
     name = F.lower(provider)
     messages = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("messages")
 
@@ -107,11 +111,19 @@ def request_body(provider: Column, prompt: Column, options: Column) -> Column:
         return F.to_json(F.struct(*[options[p].alias(p) if isinstance(p, str) else p for p in parts]))
 
     tuning = ("temperature", "max_tokens", "top_p", "frequency_penalty", "presence_penalty")
-    return (
+    request = (
         F.when(name == "openai", body("model", messages, *tuning))
         .when(name == "anthropic", body("model", "max_tokens", "temperature", "top_p", messages))
         .when(name == "local", body(prompt.alias("prompt"), *tuning))
     )
+    if extra is None:
+        return request
+    free = F.map_filter(extra, lambda k, v: v.isNotNull() & ~F.array_contains(F.json_object_keys(request), k))
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    pairs = F.transform(F.array_sort(F.map_entries(free)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
+    open_end = F.substring(request, F.lit(1), F.length(request) - 1)
+    more = F.concat(open_end, F.lit(","), F.array_join(pairs, ","), F.lit("}"))
+    return F.when(F.size(free) > 0, more).otherwise(request)
 
 
 def unsupported(provider: Column) -> Column:

@@ -79,6 +79,17 @@ def _earliest_closing(decisions: DataFrame, needed: int, tie: list[str], chunk:
     return numbered.where(decisive).groupBy("review_id").agg(earliest).select("review_id", "__first.*")
 
 
+def _once_each(decisions: DataFrame, config: ReviewConfig, tie: list[str]) -> DataFrame:
+    """The first approval of each default reviewer, and everything that is no approval."""
+    approving = F.col("decision") == APPROVED
+    columns = list(dict.fromkeys(["review_id", "decision", "decided_at", "reviewer", *tie]))
+    by_reviewer = decisions.where(approving & F.col("reviewer").isin(*config.default_reviewers))
+    first = by_reviewer.groupBy("review_id", "reviewer").agg(F.min(_order(tie)).alias("__o")).select(
+        *[F.col(c) if c in ("review_id", "reviewer") else F.col("__o")[c].alias(c) for c in columns]
+    )
+    return first.unionByName(decisions.where(~F.coalesce(approving, F.lit(False))).select(columns))
+
+
 def closing_decisions(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str], chunk: Column | None = None) -> DataFrame:
     """The decision that closes each review: ``review_id, outcome, closing``.
 
@@ -88,11 +99,17 @@ def closing_decisions(requests: DataFrame, decisions: DataFrame, config: ReviewC
     approval or the first rejection closes it, whichever is earlier: Spark trims
     each map task to n decisions of a kind per review. A large n takes a ``chunk``
     that never decreases in time, such as a day, to split a review's decisions.
+
+    With ``require_all_reviewers`` only the default reviewers approve, each once,
+    and all of them have to.
     """
     until = deadline(F.col("created_at"), F.col("timeout_seconds"))
     limits = requests.select("review_id", F.col("created_at").alias("__from"), until.alias("__until"))
     timely = skew_join(decisions, limits, ["review_id"]).where(F.col("decided_at").between(F.col("__from"), F.col("__until")))
-    return _earliest_closing(timely, config.required_approvals, tie, chunk).select("review_id", "outcome", "closing")
+    needed = config.required_approvals
+    if config.require_all_reviewers and config.default_reviewers:
+        timely, needed = _once_each(timely, config, tie), max(needed, len(set(config.default_reviewers)))
+    return _earliest_closing(timely, needed, tie, chunk).select("review_id", "outcome", "closing")
 
 
 def resolve(requests: DataFrame, decisions: DataFrame, config: ReviewConfig, tie: list[str], as_of: Column | None = None) -> DataFrame:

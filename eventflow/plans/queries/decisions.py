@@ -143,5 +143,7 @@ FROM part
 """)
 def rules_sorted(t: Tables):
     rules = t.part.select(F.col("p_brand").alias("ruleset"), F.col("p_partkey").alias("rule_id"), "p_size")
-    sorted_rules = ranked(rules, ["ruleset"], [F.desc("p_size"), F.asc("rule_id")], -F.col("p_size"))
+    # Chunks follow the order: by size, and within a size by blocks of rule ids.
+    chunk = F.struct(-F.col("p_size"), F.floor(F.col("rule_id") / 10_000))
+    sorted_rules = ranked(rules, ["ruleset"], [F.desc("p_size"), F.asc("rule_id")], chunk)
     return sorted_rules.select("ruleset", "rule_id", "position")

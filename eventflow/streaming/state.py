@@ -30,72 +30,90 @@ def _gather(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class Reviews(StatefulProcessor):
-    """One review: opened by a request, closed by decisions or by its deadline."""
+    """One review: opened by a request, closed by decisions or by its deadline.
 
-    def __init__(self, config: ReviewConfig, order: list[str]):
-        self.config, self.order = config, order
+    Decisions that come before their request wait until it comes, or until the
+    watermark has passed them.
+    """
+
+    def __init__(self, config: ReviewConfig, order: list[str], reviewer: T.DataType):
+        self.config, self.order, self.reviewer = config, order, reviewer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.review = handle.getValueState("review", _struct(deadline=_LONG, approvals=_LONG, open=T.BooleanType()))
+        self.review = handle.getValueState("review", _struct(opened=_LONG, deadline=_LONG, approvals=_LONG, open=T.BooleanType()))
+        self.early = handle.getListState("early", _struct(at_us=_LONG, decision=_TEXT, reviewer=self.reviewer))
 
     def _row(self, key, status: str, at_us: int, reviewer=None) -> dict:
         return {"review_id": key[0], "status": status, "at_us": at_us, "reviewer": reviewer}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.review.get() if self.review.exists() else None
-        deadline, approvals, is_open = known if known is not None else (0, 0, False)
-        out = []
+        waiting = [tuple(r) for r in self.early.get()] if self.early.exists() else []
+        given, out = [], []
         for row in _gather(rows, self.order).itertuples(index=False):
-            at = int(row.at_us)
-            if row.kind == "request":
-                if known is None:
-                    deadline, approvals, is_open = at + self.config.timeout_seconds * 1_000_000, 0, True
-                    known = (deadline, approvals, is_open)
-                    self.handle.registerTimer(deadline // 1000 + 1)
-                    out.append(self._row(key, PENDING, at))
-                continue
-            if not is_open or at > deadline:
-                out.append(self._row(key, "not_found", at, row.reviewer))
+            if row.kind != "request":
+                given.append((int(row.at_us), row.decision, None if pd.isna(row.reviewer) else row.reviewer))
+            elif known is None:
+                opened = int(row.at_us)
+                known = (opened, opened + self.config.timeout_seconds * 1_000_000, 0, True)
+                self.handle.registerTimer(known[1] // 1000 + 1)
+                out.append(self._row(key, PENDING, opened))
+        if known is None:
+            for at, _, _ in given:
+                self.handle.registerTimer(at // 1000 + 1)
+            self.early.put(waiting + given)
+            return
+        opened, deadline, approvals, is_open = known
+        for at, decision, reviewer in sorted(waiting + given, key=lambda d: d[0]):
+            if not is_open or not opened <= at <= deadline:
+                out.append(self._row(key, "not_found", at, reviewer))
                 continue
-            approvals += row.decision == APPROVED
-            if approvals >= self.config.required_approvals:
-                is_open = False
-                out.append(self._row(key, APPROVED, at, row.reviewer))
-            elif row.decision == REJECTED:
+            approvals += decision == APPROVED
+            if approvals >= self.config.required_approvals or decision == REJECTED:
                 is_open = False
-                out.append(self._row(key, REJECTED, at, row.reviewer))
-        if known is not None:
-            self.review.update((deadline, int(approvals), is_open))
+                status = APPROVED if approvals >= self.config.required_approvals else REJECTED
+                out.append(self._row(key, status, at, reviewer))
+        self.early.clear()
+        self.review.update((opened, deadline, int(approvals), is_open))
         if out:
             yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.review.exists():
-            return
-        deadline, _, is_open = self.review.get()
-        self.review.clear()
-        if is_open:
-            yield pd.DataFrame([self._row(key, TIMED_OUT, deadline)])
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if self.review.exists():
+            _, deadline, _, is_open = self.review.get()
+            if deadline // 1000 + 1 <= due:
+                self.review.clear()
+                if is_open:
+                    yield pd.DataFrame([self._row(key, TIMED_OUT, deadline)])
+        elif self.early.exists():
+            waiting = [tuple(r) for r in self.early.get()]
+            past = [r for r in waiting if r[0] // 1000 + 1 <= due]
+            if len(past) < len(waiting):
+                self.early.put([r for r in waiting if r[0] // 1000 + 1 > due])
+            else:
+                self.early.clear()
+            if past:
+                yield pd.DataFrame([self._row(key, "not_found", at, reviewer) for at, _, reviewer in past])
 
     def close(self) -> None:
         pass
 
 
-REVIEW_OUTPUT = _struct(review_id=_LONG, status=_TEXT, at_us=_LONG, reviewer=_LONG)
-
-
 def reviews(df: DataFrame, config: ReviewConfig, ts: str = "ts", tie: list[str] = ()) -> DataFrame:
     """Status changes of reviews, from one stream of requests and decisions.
 
-    Columns in: ``review_id`` (bigint), ``kind`` (``request`` or ``decision``),
-    ``reviewer`` (bigint), ``decision``, and the watermarked ``ts``. A review that
+    Columns in: ``review_id``, ``kind`` (``request`` or ``decision``), ``reviewer``,
+    ``decision``, and the watermarked ``ts``. Ids may be numbers or texts. A review that
     timed out comes out once the watermark has passed its deadline.
     """
     timed = df.withColumn("at_us", F.unix_micros(ts)).withColumn("kind_no", F.when(F.col("kind") == "request", 0).otherwise(1))
-    processor = Reviews(config, ["at_us", "kind_no", *tie])
+    ids = {c: df.schema[c].dataType for c in ("review_id", "reviewer")}
+    processor = Reviews(config, ["at_us", "kind_no", *tie], ids["reviewer"])
+    output = _struct(review_id=ids["review_id"], status=_TEXT, at_us=_LONG, reviewer=ids["reviewer"])
     changes = timed.groupBy("review_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=REVIEW_OUTPUT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime"
     )
     return changes.withColumn("at", F.timestamp_micros("at_us")).drop("at_us")
 

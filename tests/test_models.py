@@ -1,5 +1,7 @@
 """Scoring, networks, prompts."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +167,19 @@ def test_request_bodies(spark):
     assert errors == [None, None, None, "Unsupported LLM provider: else"]
 
 
+def test_further_options_are_sent(spark):
+    options = prompts.merged_options(F.lit(None).cast(prompts.OPTIONS_TYPE), ModelConfig())
+    extra = F.expr("map('seed', '7', 'stop', '[\"x\", \"y}\"]', 'top_p', '0.1', 'none', CAST(NULL AS STRING), 'a\"b', 'true')")
+    df = spark.createDataFrame([("openai",), ("anthropic",), ("local",), ("other",)], "provider string")
+    bodies = [r[0] for r in df.select(prompts.request_body(F.col("provider"), F.lit("hi"), options, extra)).collect()]
+    for text in bodies[:3]:
+        body = json.loads(text)
+        assert body["seed"] == 7 and body["stop"] == ["x", "y}"] and body["top_p"] == 1.0 and body['a"b'] is True and "none" not in body
+    assert bodies[3] is None
+    empty = df.select(prompts.request_body(F.col("provider"), F.lit("hi"), options, F.lit(None).cast("map<string,string>"))).collect()
+    assert empty == df.select(prompts.request_body(F.col("provider"), F.lit("hi"), options)).collect()
+
+
 def test_response_bodies(spark):
     usage = '"usage":{"prompt_tokens":10,"completion_tokens":5,"total_tokens":15}'
     rows = [

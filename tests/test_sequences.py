@@ -225,6 +225,21 @@ def test_review_fold(spark, review_rows, needed):
     assert sorted(r.did for r in review.orphans(opened, given, config, ["did"]).collect()) == orphans
 
 
+def test_all_reviewers_have_to_approve(spark):
+    day = lambda n: START + timedelta(days=n)
+    rows = [
+        (1, 1, "ann", "approved", day(1)), (2, 1, "ann", "approved", day(2)), (3, 1, "cat", "approved", day(3)), (4, 1, "bob", "approved", day(4)),
+        (5, 2, "ann", "approved", day(1)), (6, 2, "ann", "approved", day(2)), (7, 2, "cat", "approved", day(3)),
+        (8, 3, "ann", "approved", day(1)), (9, 3, "eve", "rejected", day(2)), (10, 3, "bob", "approved", day(3)),
+    ]
+    given = spark.createDataFrame(rows, "did int, review_id int, reviewer string, decision string, decided_at timestamp_ntz")
+    config = ReviewConfig(default_reviewers=("ann", "bob"), require_all_reviewers=True, timeout_seconds=30 * 86400)
+    asked = spark.createDataFrame([(i, START) for i in (1, 2, 3)], "rid int, created timestamp_ntz")
+    opened = review.submit(asked, F.col("rid"), F.col("created"), F.col("rid"), config)
+    got = {r.review_id: (r.status, r.closed_at) for r in review.resolve(opened, given, config, ["did"]).collect()}
+    assert got == {1: ("approved", day(4)), 2: ("timed_out", None), 3: ("rejected", day(2))}
+
+
 def test_review_counts(spark):
     rows = [("test", d) for d in ("approved", "rejected", "approved", "pending")]
     df = spark.createDataFrame(rows, "review_id string, decision string")
