@@ -158,6 +158,8 @@ class Builder:
             if open_name == name or name in HEADINGS and open_name in HEADINGS:
                 del self.stack[i:]
                 return
+            if open_name in BLOCK and name not in BLOCK and name not in ("td", "th", "tbody", "thead", "tfoot", "select"):
+                return  # the end of an inline element does not end the blocks in it
             if open_name in SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                 return
             if open_name == "table" and name != "table":
