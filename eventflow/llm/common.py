@@ -58,10 +58,13 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def worker_store(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker process.
+    """A dictionary that outlives the task, until the worker process asks for another one.
 
     The package's functions travel by value, so their module globals are new in
-    each task; what is dear to build (vocabularies, memo tables) is kept here.
+    each task; what is dear to build (vocabularies, memo tables) is kept here. Only
+    one is kept, so that the steps of a long job don't add up in a worker's memory.
     """
     module = sys.modules.setdefault("eventflow_worker_store", types.ModuleType("eventflow_worker_store"))
-    return module.__dict__.setdefault(name, {})
+    if getattr(module, "held", None) != name:
+        module.held, module.store = name, {}
+    return module.store

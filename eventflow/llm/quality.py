@@ -100,7 +100,8 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, levels: int) -> Model:
         return Model(np.empty(0, np.int64), np.empty(0), np.empty(0))
     sizes = np.array([len(r) for r in rows])
     found, column = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), sizes)
+    column = column.astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     texts = np.bincount(column, minlength=len(found))
     surplus = np.bincount(column, (grades - grades.mean())[row], minlength=len(found)) / np.maximum(np.sqrt(texts) * grades.std(), 1e-9)
     use = ((texts >= LEAST_TEXTS) & (np.abs(surplus) >= SIGNAL))[column]
