@@ -27,13 +27,14 @@ from eventflow.llm.vptree import tree
 SEED = 42
 BITS, BLOCKS = 64, 4
 BLOCK = BITS // BLOCKS
-#: Fingerprints aimed at per shard, and the most stored in one part of a shard; a fuller shard is split.
-SHARD_ROWS = 500
+#: Block values per shard at most. A constant, so what a fingerprint sends to shards does not grow with the data.
+LEAF_VALUES = 32
+#: Fingerprints stored in one part of a shard at most; a fuller shard is split.
 PART_ROWS = 8192
 PART_BITS = 24
 #: Shard rows held, and pairs compared, at once.
-BUFFER_ROWS = 200_000
-PAIRS = 4 << 20
+BUFFER_ROWS = 100_000
+PAIRS = 1 << 20
 #: Shingles whose bits are added up at once.
 SHINGLES = 1 << 16
 
@@ -168,10 +169,7 @@ def links(prints: DataFrame, most: int) -> DataFrame:
     ``prints`` has one column ``fp`` of distinct longs. Every pair within the distance is
     connected by a path of such links. A pair can come more than once.
     """
-    n = prints.count()
-    radius = most // BLOCKS
-    leaf_values = max(1, min(1 << BLOCK, int((1 << BLOCK) * SHARD_ROWS / max(n, 1)))) if n > SHARD_ROWS else 1 << BLOCK
-    leaf_values = 1 << (leaf_values.bit_length() - 1)
+    radius, leaf_values = most // BLOCKS, LEAF_VALUES
 
     def shards_of(values: np.ndarray):
         """(shard, query?, index) of each fingerprint, block by block."""
@@ -257,10 +255,12 @@ def one_of_each(
     shingles. Null and empty texts have no shingles and equal each other. Of repeated
     rows (same id and text) all stay or go together; a null id counts as larger than any other.
     """
-    at, key, row_id, fp = (fresh(x, docs.columns) for x in ("row_at", "row_key", "row_id", "fp"))
+    at = fresh("row_node", docs.columns)
     identity, content = row_key(id_col, text_col)
-    # Ids sort first, nulls last, then the text's hash: one comparable value per row.
-    node = F.struct(identity.isNull().alias("none"), identity.alias("id"), content.alias("hash"))
+    # One text per row that sorts by id, nulls last, then by the hash of the text.
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    by_id = digits(F.coalesce(identity.cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63))))
+    node = F.concat(F.when(identity.isNull(), "1").otherwise("0"), by_id, digits(content))
     rows = written(docs.select(node.alias("node"), fingerprint(text_of(text_col), words).alias("fp")), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-classes")
     found = written(links(classes.select("fp"), most).select("a", "b").distinct(), "fingerprint-links")
@@ -283,7 +283,5 @@ def one_of_each(
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
     alike = both.where((union == 0) | (shared >= F.lit(similarity) * union))
-    gone = components(alike.select(F.col("left").alias("a"), F.col("right").alias("b"))).select("node")
-    gone = gone.select(F.col("node.id").alias(row_id), F.col("node.hash").alias(key))
-    same = identity.eqNullSafe(gone[row_id]) & (content == gone[key])
-    return docs.join(gone, same, "left_anti")
+    gone = components(alike.select(F.col("left").alias("a"), F.col("right").alias("b"))).select(F.col("node").alias(at))
+    return docs.withColumn(at, node).join(gone, at, "left_anti").select(*docs.columns)

@@ -50,6 +50,11 @@ class VantageTree:
             self._grow(values[~near], queries[reach + self.radius > median], found, visited)
             return
         self.leaf[values] = self.leaves
+        # The bounds let some through that reach no value of the leaf.
+        for value in values:
+            queries_near = np.bitwise_count(queries ^ value) <= self.radius
+            reached = queries_near if value == values[0] else reached | queries_near
+        queries = queries[reached]
         found.append(queries)
         visited.append(np.full(len(queries), self.leaves, np.int64))
         self.leaves += 1
