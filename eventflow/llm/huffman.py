@@ -43,7 +43,7 @@ class Code:
     """The canonical code of given lengths: shorter codes first, equal lengths by id."""
 
     def __init__(self, lengths: np.ndarray):
-        self.lengths = lengths.astype(np.int64)
+        self.lengths = lengths.astype(np.int32)
         used = np.flatnonzero(lengths)
         self.order = used[np.lexsort((used, self.lengths[used]))]
         self.bits = int(self.lengths.max(initial=1))
@@ -54,7 +54,7 @@ class Code:
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[self.order] = (start >> (self.bits - width)).astype(np.uint64)
         entries = np.repeat((self.order << LENGTH_BITS) | width, span)
-        self.table = np.zeros(1 << self.bits, np.int64)
+        self.table = np.zeros(1 << self.bits, np.int32)
         self.table[: len(entries)] = entries
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -64,25 +64,32 @@ class Code:
         document of every CHECKPOINT-th id.
         """
         width = self.lengths[ids]
-        ends = np.cumsum(width)
+        # Positions fit 32 bits unless the documents are very long together.
+        kind = np.int32 if len(ids) < (1 << 31) // (MOST_BITS + 8) else np.int64
+        ends = np.cumsum(width, dtype=kind)
         last = np.cumsum(sizes)
-        bits_before = np.r_[0, ends[last - 1]][: len(sizes)] if len(ids) else np.empty(0, np.int64)
+        bits_before = np.r_[0, ends[last - 1]][: len(sizes)].astype(np.int64) if len(ids) else np.empty(0, np.int64)
         n_bytes = (np.diff(np.r_[bits_before, ends[-1:]]) + 7) // 8
         base = 8 * (np.cumsum(n_bytes) - n_bytes)
-        start = ends - width + np.repeat(base - bits_before, sizes)
+        start = ends - width + np.repeat((base - bits_before).astype(kind), sizes)
         word, place = start >> 6, start & 63
         room = 64 - place - width
         code = self.codes[ids]
-        head = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
+        over = np.flatnonzero(room < 0)  # codes that reach into the next word, one per word at most
+        room_over = room[over]
+        room[over] = 0
+        head = code << room.astype(np.uint64)
+        head[over] = code[over] >> (-room_over).astype(np.uint64)
         total = int(n_bytes.sum())
         packed = np.zeros(total // 8 + 2, np.uint64)
         if len(ids):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             packed[word[first]] = np.bitwise_or.reduceat(head, first)
-            over = np.flatnonzero(room < 0)  # codes that reach into the next word, one per word at most
-            packed[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        inside = np.arange(len(ids)) - np.repeat(last - sizes, sizes)
-        checkpoints = (start - np.repeat(base, sizes))[inside % CHECKPOINT == 0]
+            packed[word[over] + 1] |= code[over] << (64 + room_over).astype(np.uint64)
+        per_document, _ = stretches(sizes)
+        number = np.arange(per_document.sum()) - np.repeat(np.cumsum(per_document) - per_document, per_document)
+        at = np.repeat(last - sizes, per_document) + CHECKPOINT * number
+        checkpoints = start[at] - np.repeat(base, per_document)
         return packed.astype(">u8").tobytes()[:total], n_bytes, checkpoints
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -93,14 +100,14 @@ class Code:
         data = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
         window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
         at, steps = checkpoints.astype(np.int64), int(counts.max(initial=0))
-        out = np.zeros((len(at), steps), np.int64)
+        out = np.zeros((steps, len(at)), np.int32)
         drop, limit = 32 - self.bits, len(window) - 1
         for step in range(steps):
             shifted = window[np.minimum(at >> 3, limit)] << (at & 7).astype(np.uint32)
             entry = self.table[shifted >> np.uint32(drop)]
-            out[:, step] = entry
+            out[step] = entry
             at += entry & ((1 << LENGTH_BITS) - 1)
-        return (out >> LENGTH_BITS)[np.arange(steps) < counts[:, None]]
+        return (out.T >> LENGTH_BITS)[np.arange(steps) < counts[:, None]]
 
 
 def stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -47,38 +47,42 @@ def code_of(lengths: bytes) -> Code:
     return store[key]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every document, end id included."""
-    end = np.array([end_id], "<u4").tobytes()
+def tokenized(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_tokens, ids of every document, end id included; each task adds a row with its counts by id.
+
+    The ids of a document are held as all their low bytes, then all their high bytes,
+    and so on, which compresses better. ``counts`` is null but in the tasks' own rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        end = np.array([end_id], encode.dtype).tobytes()
+        names, counts = ["doc_id", "n_tokens", "ids", "counts"], np.zeros(vocabulary, np.int64)
         for batch in batches:
-            ids = [data + end for data in encode(batch.column(1).to_pylist())]
-            lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            data = [x + end for x in encode(batch.column(1).to_pylist())]
+            counts += np.bincount(np.frombuffer(b"".join(data), encode.dtype), minlength=vocabulary)
+            ids = [np.frombuffer(x, np.uint8).reshape(-1, encode.dtype.itemsize) for x in data]
+            planes = pa.array([x.T.tobytes() for x in ids], pa.binary())
+            lengths = pa.array([len(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, planes, pa.nulls(len(ids), pa.binary())], names)
+        if counts.any():
+            none = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary"
+        run, "doc_id long, n_tokens long, ids binary, counts binary"
     )
 
 
-def _short(ids: DataFrame, wide: bool) -> DataFrame:
-    """Ids in two bytes where the vocabulary allows it: high bytes after low bytes, which compress better."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
-            planes = [x.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(x), -1).T.tobytes() for x in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(planes, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
 def _ids(planes: bytes, n: int) -> np.ndarray:
     width = len(planes) // n
     raw = np.frombuffer(planes, np.uint8).reshape(width, n).T.tobytes()
-    return np.frombuffer(raw, "<u4" if width == 4 else "<u2").astype(np.int64)
+    return np.frombuffer(raw, "<u4" if width == 4 else "<u2")
+
+
+def _pairs(sums: np.ndarray) -> pa.RecordBatch:
+    seen = np.flatnonzero(sums)
+    return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], ["what", "n"])
 
 
 def write_ids(
@@ -90,7 +94,8 @@ def write_ids(
     documents of their own, in any order among each other. An empty table writes no block.
     """
     spark = docs.sparkSession
-    ids = written(_short(tokenized(docs, tokenizer, end_id, id_col, text_col), vocabulary > 1 << 16), "ids")
+    made = written(tokenized(docs, tokenizer, vocabulary, end_id, id_col, text_col), "ids")
+    ids = made.where(F.col("counts").isNull()).drop("counts")
     n_ids = ids.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     ranges = int(min(MOST_RANGES, n_ids * 4 // RANGE_BYTES + 1))
     fractions = [i / ranges for i in range(1, ranges)]
@@ -102,24 +107,29 @@ def write_ids(
         filled = keys.fill_null(0).to_numpy(zero_copy_only=False)
         return np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(cuts, filled, side="right"))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts by id and, as negative numbers, totals by range: one row each per task."""
-        counts, totals = np.zeros(vocabulary, np.int64), np.zeros(len(cuts) + 2, np.int64)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sum of the tasks' counts, as rows of what occurs."""
+        counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            lengths = batch.column(1).to_numpy()
-            np.add.at(totals, range_of(batch.column(0)), lengths)
-            for data, n in zip(batch.column(2).to_pylist(), lengths.tolist()):
-                counts += np.bincount(_ids(data, n), minlength=vocabulary)
-        seen, ranged = np.flatnonzero(counts), np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[seen, -1 - ranged]), pa.array(np.r_[counts[seen], totals[ranged]])], ["what", "n"]
-        )
-
-    # As many rows as the vocabulary and the ranges have members.
-    sums = ids.mapInArrow(counted, "what long, n long").groupBy("what").agg(F.sum("n").alias("n")).collect()
+            for data in batch.column(0).to_pylist():
+                counts += np.frombuffer(data, "<i8")
+        yield _pairs(counts)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids by range."""
+        totals = np.zeros(len(cuts) + 2, np.int64)
+        for batch in batches:
+            np.add.at(totals, range_of(batch.column(0)), batch.column(1).to_numpy())
+        yield _pairs(totals)
+
+    # As many rows as the vocabulary, and the ranges, have members.
     counts, totals = np.zeros(vocabulary, np.int64), np.zeros(len(cuts) + 2, np.int64)
-    for row in sums:
-        (counts if row["what"] >= 0 else totals)[row["what"] if row["what"] >= 0 else -1 - row["what"]] = row["n"]
+    for sums, rows, run in (
+        (counts, made.where(F.col("counts").isNotNull()).select("counts"), added),
+        (totals, ids.select("doc_id", "n_tokens"), ranged),
+    ):
+        for row in rows.mapInArrow(run, "what long, n long").groupBy("what").agg(F.sum("n").alias("n")).collect():
+            sums[row["what"]] = row["n"]
     first = np.cumsum(totals) - totals
     lengths = code_lengths(counts).tobytes()
 

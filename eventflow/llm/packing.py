@@ -37,14 +37,14 @@ def cut(
     ``end_id``; null and empty texts consist of it alone (without an end id they have
     no piece). Null ids and repeated rows are kept as rows of their own.
     """
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
             keys, starts, lengths, totals, ids = [], [], [], [], []
             for key, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                data += end
+                data = np.frombuffer(data, encode.dtype)
+                data = (data if end_id is None else np.append(data, end_id)).astype("<u4").tobytes()
                 n = len(data) // 4
                 for start in range(0, n, window):
                     part = data[4 * start : 4 * (start + window)]
@@ -137,7 +137,7 @@ def place(pieces: DataFrame, capacity: int = 2048, group_rows: int = GROUP_ROWS)
 
 def padding(sequence_length, capacity: int = 2048):
     """Padded positions of a sequence: none at a power of two, else up to ``capacity``."""
-    power = F.shiftleft(F.lit(1).cast("long"), F.ceil(F.log2(sequence_length.cast("double"))).cast("int"))
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(sequence_length.cast("double")))).cast("long")
     return F.when(power == sequence_length, 0).otherwise(capacity - sequence_length)
 
 

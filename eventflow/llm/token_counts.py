@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventflow.llm.common import text_of, worker_store
-from eventflow.llm.pieces import OUTSIDE, PIECE, chunks
+from eventflow.llm.pieces import OUTSIDE, PIECE, byte_letters, chunks
 
 #: Pieces whose count a worker remembers; beyond it the memo starts anew. Only speed depends on it.
 MEMO_PIECES = 800_000
@@ -25,13 +25,6 @@ POSITION_BITS = 32
 ID_BITS = 24
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next free one."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
 class Merges:
     """The merge rules of a byte-level tokenizer file, by pair of symbol numbers."""
 
