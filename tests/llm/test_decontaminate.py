@@ -1,5 +1,7 @@
 """Edit distance, recall and results against brute force."""
 
+import inspect
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -44,6 +46,48 @@ def test_recall_at_the_allowed_distance():
     assert found >= 190
 
 
+def test_default_target_is_reached_in_every_size_class(spark):
+    """With the production defaults, copies at the allowed distance are found as often as the target says."""
+    block, random = next(D.blocks(items(spark, ITEMS), 0.8, TARGET, "item_id", "text")), np.random.default_rng(7)
+    names = {n: w for w, n in block["vocabulary"].items()}
+    for item, code in enumerate(block["codes"]):
+        texts = []
+        for _ in range(100):
+            copy = D.edited(code, block["limits"][item], len(names) + 1, random)
+            texts.append("some words " + " ".join(names.get(int(c), "foreign") for c in copy) + " and more")
+        assert len({m[0] for m in D.matches(texts, block) if m[1] == item}) >= 95
+
+
+TARGET = 0.98
+
+
+def test_target_of_the_operators():
+    for operator in (D.find_leaks, D.without_leaks):
+        assert inspect.signature(operator).parameters["target"].default == TARGET
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_classes_short_of_the_target_are_searched_exactly(monkeypatch, similarity):
+    monkeypatch.setattr(D, "MOST_HASHES", 1)
+    monkeypatch.setattr(D, "WALKS", 1)
+    monkeypatch.setattr(D, "WINDOWS", 50)
+    block, random = D.item_block(ITEMS, similarity, 0.98), np.random.default_rng(5)
+    names = {n: w for w, n in block["vocabulary"].items()}
+    assert any(not t["hashes"] for t in block["classes"])
+    texts = []
+    for trial in range(120):
+        item = trial % len(ITEMS)
+        copy = D.edited(block["codes"][item], block["limits"][item], len(names) + 1, random)
+        texts.append("before it words " * (trial % 5) + " ".join(names.get(int(c), "foreign") for c in copy) + " after" * (trial % 3))
+    found = {(m[0], m[1]): m[2] for m in D.matches(texts, block)}
+    exact = {i for i, c in enumerate(block["codes"]) if any(not t["hashes"] and i in t["members"] for t in block["classes"])}
+    for t, text in enumerate(texts):
+        code = D.codes_of(text, block["vocabulary"]).tolist()
+        for i in exact:
+            distance = plain_fit(block["codes"][i].tolist(), code)
+            assert found.get((t, i)) == (distance if distance <= block["limits"][i] else None)
+
+
 def test_blocks_agree_with_brute_force():
     random, block = np.random.default_rng(2), D.item_block(ITEMS, 0.8, 0.98)
     texts = []
