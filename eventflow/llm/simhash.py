@@ -6,6 +6,10 @@ small radius: a vantage-point tree divides them into shards, each fingerprint is
 in its own shard and queries those that its ball overlaps. A shard compares whole
 fingerprints exactly and returns a spanning forest of its links, closest pairs first,
 not all pairs; the forests together connect what all pairs would.
+
+Where links must be confirmed by the texts, a refused link may hide others in a forest.
+There a forest is only the first step: what it confirms is joined, and of what is still
+apart all pairs are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import fresh, row_key, text_of, written
+from eventflow.llm.common import fresh, row_key, text_of, worker_store, written
 from eventflow.llm.components import components
 from eventflow.llm.vptree import tree
 
@@ -35,6 +39,9 @@ PART_BITS = 24
 #: Shard rows held, and pairs compared, at once.
 BUFFER_ROWS = 100_000
 PAIRS = 1 << 20
+#: Leaves whose sets are searched in one task, and sets stored in one part of them at most.
+GROUP_LEAVES = 64
+GROUP_ROWS = 1 << 20
 #: Shingles whose bits are added up at once.
 SHINGLES = 1 << 16
 
@@ -245,14 +252,168 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, id_col: str
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _grouped(radius: int, leaf_values: int):
+    """(tree, groups, first): a value's visited leaves in group g lie from first[value * groups + g] to the next entry's."""
+    divided = tree(BLOCK, leaf_values, radius)
+    store = worker_store("vantage-trees")
+    key = ("groups", radius, leaf_values, GROUP_LEAVES)
+    if key not in store:
+        groups = -(-divided.leaves // GROUP_LEAVES)
+        value = np.repeat(np.arange(1 << BLOCK), np.diff(divided.first))
+        counts = np.bincount(value * groups + divided.visited // GROUP_LEAVES, minlength=groups << BLOCK)
+        store[key] = groups, np.r_[0, np.cumsum(counts)]
+    return divided, *store[key]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and position of each entry of the ranges of ``count`` entries from ``first`` on."""
+    return np.repeat(np.arange(len(count)), count), np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def near_pairs(sets: DataFrame, most: int, similarity: float, every: bool) -> DataFrame:
+    """Pairs a, b of ids with different roots, at up to ``most`` differing bits, whose sizes allow the similarity.
+
+    ``sets`` has columns fp, id, size and root, with distinct ids; fingerprints may
+    repeat. With ``every`` all such pairs come, else links that connect what they
+    connect, closest first. A pair can come more than once.
+    """
+    radius, leaf_values, group_rows = most // BLOCKS, LEAF_VALUES, GROUP_ROWS
+    columns = ["fp", "id", "size", "root"]
+
+    def own(values: np.ndarray) -> np.ndarray:
+        divided, groups, _ = _grouped(radius, leaf_values)
+        blocks = [divided.leaf[_block(values, b)] // GROUP_LEAVES + b * groups for b in range(BLOCKS)]
+        return np.concatenate(blocks)
+
+    def own_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, count = np.unique(own(batch.column(0).to_numpy().view(np.uint64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(count)], ["shard", "n"])
+
+    full = sets.select("fp").mapInArrow(own_shards, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    parts = {r["shard"]: -(-r["n"] // group_rows) for r in full.where(F.col("n") > group_rows).collect()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        divided, groups, first = _grouped(radius, leaf_values)
+        into = np.ones(BLOCKS * groups, np.int64)
+        for shard, n in parts.items():
+            into[shard] = n
+        for batch in batches:
+            values, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for block in range(BLOCKS):
+                value = _block(values, block)
+                stored = divided.leaf[value] // GROUP_LEAVES + block * groups
+                part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % into[stored]
+                sent = [((stored << PART_BITS) + part, np.arange(len(values)), False)]
+                some = first[(value * groups)[:, None] + np.arange(groups + 1)]
+                index, group = np.nonzero(np.diff(some, axis=1))
+                shard = group + block * groups
+                owner, part = _ranges(np.zeros(len(shard), np.int64), into[shard])
+                sent.append(((shard[owner] << PART_BITS) + part, index[owner], True))
+                for part, index, query in sent:
+                    for at in range(0, len(part), BUFFER_ROWS):
+                        take = pa.array(index[at : at + BUFFER_ROWS])
+                        flags = pa.array(np.full(len(take), query))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(part[at : at + BUFFER_ROWS]), flags, *[batch.column(c).take(take) for c in range(len(columns))]],
+                            ["part", "query", *columns],
+                        )
+
+    def compare(part: int, stored: list[np.ndarray], queries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """``stored`` is in order of leaf and size, with that order's key in front."""
+        divided, groups, first = _grouped(radius, leaf_values)
+        block, group = divmod(part >> PART_BITS, groups)
+        key, fp, ids, size, root = stored
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))]
+        at = _block(queries[0], block) * groups + group
+        visits = first[at + 1] - first[at]
+        for low, high in _portions(visits, PAIRS):
+            query, entry = _ranges(first[at[low:high]], visits[low:high])
+            query += low
+            leaf = divided.visited[entry].astype(np.int64) << 32
+            n = queries[2][query].astype(np.int64)
+            begin = np.searchsorted(key, leaf + np.ceil(similarity * n - 1e-6).astype(np.int64))
+            end = np.searchsorted(key, leaf + np.minimum(np.floor(n / similarity + 1e-6), (1 << 32) - 1).astype(np.int64), "right")
+            for some, rest in _portions(end - begin, PAIRS):
+                owner, s = _ranges(begin[some:rest], (end - begin)[some:rest])
+                q = query[some:rest][owner]
+                near = np.flatnonzero(np.bitwise_count(queries[0][q] ^ fp[s]) <= most)
+                q, s = q[near], s[near]
+                apart = queries[3][q] != root[s]
+                q, s = q[apart], s[apart]
+                found = queries[1][q], ids[s], np.bitwise_count(queries[0][q] ^ fp[s])
+                if every:
+                    if len(q):
+                        yield pairs_of(*found)
+                elif len(q):
+                    kept.append(tuple(x[forest(*found)] for x in found))
+        if not every:
+            a, b, d = (np.concatenate(x) for x in zip(*kept))
+            links = forest(a, b, d)
+            yield pairs_of(a[links], b[links], d[links])
+
+    def pairs_of(a: np.ndarray, b: np.ndarray, _) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stored, index, queries, held = None, [], None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal index, stored
+            if not queries or not stored and index is None:
+                return
+            if index is None:
+                divided, groups, _ = _grouped(radius, leaf_values)
+                whole = [np.concatenate(x) for x in zip(*stored)]
+                key = (divided.leaf[_block(whole[0], (now >> PART_BITS) // groups)] << 32) + whole[2]
+                order = np.argsort(key, kind="stable")
+                index, stored = [key[order], *[x[order] for x in whole]], []
+            yield from compare(now, index, [np.concatenate(x) for x in zip(*queries)])
+
+        for batch in batches:
+            part, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            values = [batch.column(c + 2).to_numpy() for c in range(len(columns))]
+            values[0] = values[0].view(np.uint64)
+            cuts = np.r_[0, np.flatnonzero((part[1:] != part[:-1]) | (query[1:] != query[:-1])) + 1, len(part)]
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if low == high:
+                    continue
+                if part[low] != now:
+                    yield from done()
+                    now, stored, index, queries, held = int(part[low]), [], None, [], 0
+                (queries if query[low] else stored).append([x[low:high] for x in values])
+                held += high - low if query[low] else 0
+                if held >= BUFFER_ROWS:
+                    yield from done()
+                    queries, held = [], 0
+        yield from done()
+
+    dealt = sets.select(*columns).mapInArrow(deal, "part long, query boolean, fp long, id long, size long, root long")
+    together = dealt.repartition("part").sortWithinPartitions("part", "query")
+    return together.mapInArrow(search, "a long, b long").distinct()
+
+
+def _block(values: np.ndarray, block: int) -> np.ndarray:
+    return ((values >> np.uint64(BLOCK * block)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
+
+
+def _portions(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose counts add up to ``most`` at most, or of one entry."""
+    ends, start = np.cumsum(counts), 0
+    while start < len(counts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield start, stop
+        start = stop
+
+
 def one_of_each(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 11, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group the row with the smallest id stays.
 
-    Rows link when a link of their fingerprints (up to ``most`` bits) is confirmed by a
-    Jaccard similarity of at least ``similarity`` between their sets of ``words``-word
-    shingles. Null and empty texts have no shingles and equal each other. Of repeated
+    Rows link when their fingerprints differ in ``most`` bits at most and the Jaccard
+    similarity of their sets of ``words``-word shingles is at least ``similarity``, or
+    when the sets are equal. Null and empty texts have no shingles and equal each other. Of repeated
     rows (same id and text) all stay or go together; a null id counts as larger than any other.
     """
     at = fresh("row_node", docs.columns)
@@ -261,27 +422,48 @@ def one_of_each(
     digits = lambda c: F.lpad(F.hex(c), 16, "0")
     by_id = digits(F.coalesce(identity.cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63))))
     node = F.concat(F.when(identity.isNull(), "1").otherwise("0"), by_id, digits(content))
-    rows = written(docs.select(node.alias("node"), fingerprint(text_of(text_col), words).alias("fp")), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-classes")
-    found = written(links(classes.select("fp"), most).select("a", "b").distinct(), "fingerprint-links")
-    named = classes.select(F.col("fp").alias("a"), F.col("first").alias("left"))
-    other = classes.select(F.col("fp").alias("b"), F.col("first").alias("right"))
-    between = found.join(named, "a").join(other, "b").select("left", "right")
-    within = rows.join(classes, "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("left"), F.col("node").alias("right"))
-    candidates = written(between.unionByName(within).distinct(), "candidates")
+
+    @F.pandas_udf("fp long, id long, size long")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            hashes = shingle_hashes(t, words)
+            distinct = np.unique(hashes)
+            out.append((fingerprint_of(hashes), xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED), len(distinct)))
+        found = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
+        return pd.DataFrame({"fp": found[:, 0], "id": found[:, 1], "size": found[:, 2]})
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
 
-    ends = candidates.select(F.col("left").alias("node")).unionByName(candidates.select(F.col("right").alias("node"))).distinct()
+    rows = written(docs.select(node.alias("node"), described(text_of(text_col)).alias("x")).select("node", "x.*"), "fingerprints")
+    # Rows with equal shingle sets are one; different sets stay apart, also under one fingerprint.
+    classes = rows.groupBy("id").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.min("node").alias("first"))
+    classes = written(classes, "shingle-classes")
     whole = docs.select(node.alias("node"), text_of(text_col).alias("text"))
-    sets = whole.join(ends, "node", "left_semi").select("node", shingles("text").alias("shingles")).dropDuplicates(["node"])
-    sets = written(sets, "shingle-sets")
-    both = candidates.join(sets.select(F.col("node").alias("left"), F.col("shingles").alias("x")), "left")
-    both = both.join(sets.select(F.col("node").alias("right"), F.col("shingles").alias("y")), "right")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    alike = both.where((union == 0) | (shared >= F.lit(similarity) * union))
-    gone = components(alike.select(F.col("left").alias("a"), F.col("right").alias("b"))).select(F.col("node").alias(at))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs a, b that are similar enough."""
+        pairs = written(pairs, "candidates")
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        needed = classes.join(ends, "id", "left_semi").select("id", F.col("first").alias("node"))
+        sets = whole.join(needed, "node").dropDuplicates(["id"]).select("id", shingles("text").alias("shingles"))
+        sets = written(sets, "shingle-sets")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        union = F.size("x") + F.size("y") - shared
+        return written(both.where(shared >= F.lit(similarity) * union).select("a", "b"), "confirmed")
+
+    # A first, cheap step joins most copies; then every pair still apart is tested, so no refused link hides another.
+    joined = confirmed(near_pairs(classes.withColumn("root", F.col("id")), most, similarity, every=False))
+    roots = components(joined).withColumnRenamed("node", "id")
+    apart = written(classes.join(roots, "id", "left").select("fp", "id", "size", F.coalesce("root", "id").alias("root")), "shingle-roots")
+    joined = joined.unionByName(confirmed(near_pairs(apart, most, similarity, every=True)))
+    named = classes.select(F.col("id").alias("a"), F.col("first").alias("left"))
+    other = classes.select(F.col("id").alias("b"), F.col("first").alias("right"))
+    between = joined.join(named, "a").join(other, "b").select(F.col("left").alias("a"), F.col("right").alias("b"))
+    within = rows.join(classes.select("id", "first"), "id").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    gone = components(between.unionByName(within)).select(F.col("node").alias(at))
     return docs.withColumn(at, node).join(gone, at, "left_anti").select(*docs.columns)

@@ -1,5 +1,6 @@
 """Fingerprints, search and components against brute force."""
 
+import inspect
 import re
 from collections import Counter
 
@@ -164,3 +165,61 @@ def test_one_of_each_group_stays(spark):
     assert got[201, None] == 1 and got[202, ""] == 0  # null and empty are alike
     assert got[300, "p q r"] == 2  # repeats of one row stay together
     assert simhash.one_of_each(docs(spark, [])).count() == 0
+
+
+def similar_groups(seed):
+    """Groups of independently edited copies, with similarities from 0.7 to 0.95."""
+    random = np.random.default_rng(seed)
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{x}" for x in random.integers(0, 5000, 300)]
+        rows.append((len(rows), " ".join(base)))
+        for copy in range(14):
+            words = list(base)
+            for _ in range(int(random.integers(2, 11))):
+                words[int(random.integers(len(words)))] = f"new{random.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("every", [False, True])
+@pytest.mark.parametrize("small", [False, True])
+def test_near_pairs_against_brute_force(spark, monkeypatch, every, small):
+    if small:
+        for name, value in (("GROUP_ROWS", 16), ("BUFFER_ROWS", 50), ("PAIRS", 200), ("GROUP_LEAVES", 200)):
+            monkeypatch.setattr(simhash, name, value)
+    random = np.random.default_rng(6)
+    values = clustered(300, 11, 5)
+    values[:20] = values[20:40]  # different sets under one fingerprint
+    size, root = random.integers(80, 130, 300), np.where(random.random(300) < 0.5, random.integers(0, 5, 300), np.arange(300) + 1000)
+    rows = [(int(v), i, int(size[i]), int(root[i])) for i, v in enumerate(values.view(np.int64))]
+    found = simhash.near_pairs(spark.createDataFrame(rows, "fp long, id long, size long, root long"), 15, 0.8, every).collect()
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 15
+    near &= (np.minimum.outer(size, size) >= 0.8 * np.maximum.outer(size, size)) & (root[:, None] != root[None, :])
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}
+    got = {(r.a, r.b) for r in found}
+    assert got <= want and len(found) == len(got)
+    if every:
+        assert got == want
+    else:
+        parts = [plain_components(list(range(300)), lambda x, y, e=e: (min(x, y), max(x, y)) in e) for e in (got, want)]
+        assert parts[0] == parts[1]
+
+
+def test_refused_links_hide_no_others(spark):
+    rows = similar_groups(8)
+    most = inspect.signature(simhash.one_of_each).parameters["most"].default
+    sets = [shingle_set(t) for _, t in rows]
+    prints = [fingerprint_in_pipeline(t) for _, t in rows]
+
+    def linked(i, j):
+        shared = len(sets[i] & sets[j])
+        return bin(prints[i] ^ prints[j]).count("1") <= most and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+
+    label = plain_components(list(range(len(rows))), linked)
+    got = sorted(r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect())
+    assert got == sorted(set(label)) and 12 <= len(got) < len(rows)
+
+
+def fingerprint_in_pipeline(text):
+    return simhash.fingerprint_of(simhash.shingle_hashes(text, 5))
