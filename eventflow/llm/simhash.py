@@ -407,7 +407,7 @@ def _portions(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def one_of_each(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 11, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 15, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group the row with the smallest id stays.
 
@@ -427,9 +427,9 @@ def one_of_each(
     def described(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            hashes = shingle_hashes(t, words)
-            distinct = np.unique(hashes)
-            out.append((fingerprint_of(hashes), xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED), len(distinct)))
+            # Like the similarity, the fingerprint is one of distinct shingles: repeats in a text change neither.
+            distinct = np.unique(shingle_hashes(t, words))
+            out.append((fingerprint_of(distinct), xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED), len(distinct)))
         found = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
         return pd.DataFrame({"fp": found[:, 0], "id": found[:, 1], "size": found[:, 2]})
 

@@ -222,4 +222,23 @@ def test_refused_links_hide_no_others(spark):
 
 
 def fingerprint_in_pipeline(text):
-    return simhash.fingerprint_of(simhash.shingle_hashes(text, 5))
+    return simhash.fingerprint_of(np.unique(simhash.shingle_hashes(text, 5)))
+
+
+def test_repeats_and_distant_copies_are_found(spark):
+    """A copy with a part repeated many times, and most pairs at the least similarity."""
+    random = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        words = [f"p{k}w{x}" for x in random.integers(0, 5000, 300)]
+        copy = list(words)
+        for place in (np.arange(6) * 45 + random.integers(5, 30)).tolist():
+            copy[place] = f"new{random.integers(1 << 30)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+    line = " ".join(f"again{x}" for x in range(30))
+    rows += [(1000, f"{rows[0][1].replace('p0', 'q')} {line}"), (1001, f"{rows[0][1].replace('p0', 'q')}{(' ' + line) * 60}")]
+    kept = {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert kept >= {2 * k for k in range(60)} and 1000 in kept and 1001 not in kept
+    assert len(kept & {2 * k + 1 for k in range(60)}) <= 3
