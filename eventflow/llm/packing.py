@@ -9,6 +9,7 @@ few part-filled windows each, so the padding does not grow with the data.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventflow.llm.common import text_of
+from eventflow.llm.common import text_of, written
 from eventflow.llm.pieces import encoder
 
 #: Pieces packed together in one task.
 GROUP_ROWS = 20_000
+#: Tokens packed together in one task, where the ids come along: 64 MB.
+GROUP_TOKENS = 1 << 24
 GROUP_BITS = 32
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+SEQUENCES = "sequence_id long, n_tokens long, ids binary, pieces array<struct<doc_id:long,start:long,length:long,doc_tokens:long,offset:long>>"
+SLICES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def cut(
@@ -153,3 +158,59 @@ def sequences(packed: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataF
 
     return whole.select("sequence_id", "n_tokens", joined("parts", padding(F.col("n_tokens"), capacity)).alias("ids"))
 
+
+def assembled(pieces: DataFrame, capacity: int = 2048, pad_id: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The padded sequences of pieces from ``cut``: sequence_id, n_tokens, ids, and the pieces in order of their offset.
+
+    They are placed as in ``place`` and joined where they are placed, so the ids are shuffled once.
+    """
+    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, -(-n // group_rows), -(-tokens // GROUP_TOKENS))
+    group = F.pmod(F.xxhash64("doc_id", "start", "length", "ids"), F.lit(groups))
+    pad = np.array([pad_id], "<u4").tobytes()
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]
+        index = pc.sort_indices(rows, sort_keys=order, null_placement="at_start").to_numpy()
+        window, offset = best_fit(rows["length"].to_numpy()[index], capacity)
+        by_window = np.lexsort((offset, window))
+        window, offset, index = window[by_window], offset[by_window], index[by_window]
+        rows = rows.take(pa.array(index))
+        first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+        ends = np.cumsum(rows["length"].to_numpy())
+        ends = ends[np.r_[first[1:], len(window)] - 1]
+        lengths = np.diff(np.r_[0, ends])
+        data, whole = b"".join(rows["ids"].to_pylist()), []
+        for end, length in zip(ends.tolist(), lengths.tolist()):
+            padded = 0 if length & (length - 1) == 0 else capacity - length
+            whole.append(data[4 * (end - length) : 4 * end] + pad * padded)
+        columns = [rows[c].combine_chunks() for c in ("doc_id", "start", "length", "doc_tokens")]
+        parts = pa.StructArray.from_arrays([*columns, pa.array(offset)], ["doc_id", "start", "length", "doc_tokens", "offset"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(window)], pa.int32()), parts)
+        numbers = window[first] + (key[0].as_py() << GROUP_BITS)
+        return pa.table([pa.array(numbers), pa.array(lengths), pa.array(whole, pa.binary()), lists], ["sequence_id", "n_tokens", "ids", "pieces"])
+
+    return pieces.groupBy(group.alias("group")).applyInArrow(pack, SEQUENCES)
+
+
+def slices(whole: DataFrame) -> DataFrame:
+    """A row per piece of assembled sequences, with the CRC-32 of the ids that stand at its place."""
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sequence, ids, parts in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+                for p in parts:
+                    part = ids[4 * p["offset"] : 4 * (p["offset"] + p["length"])]
+                    rows.append((p["doc_id"], p["start"], len(part) // 4, zlib.crc32(part), p["doc_tokens"], sequence, p["offset"]))
+            names = [field.split()[0] for field in SLICES.split(", ")]
+            columns = zip(*rows) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return whole.select("sequence_id", "ids", "pieces").mapInArrow(cut_out, SLICES)
+
+
+def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1) -> DataFrame:
+    """The documents' padded sequences, written to the shared folder, as a row per piece read back out of them."""
+    pieces = written(cut(docs, tokenizer, window, end_id), "pieces")
+    return slices(written(assembled(pieces, window), "sequences"))

@@ -31,9 +31,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.cut(table(spark, folder, "documents"), BYTE_BPE, SEQUENCE, end_id=1)
-    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.place(written(pieces, "pieces"), SEQUENCE)
+    return packing.packed(table(spark, folder, "documents"), BYTE_BPE, SEQUENCE, end_id=1)
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from eventflow.llm import packing
+from eventflow.llm.common import written
 
 from .samples import AWKWARD, docs
 
@@ -99,3 +100,30 @@ def test_little_padding(spark, data):
     packed = packing.place(packing.cut(spark.read.parquet(f"{data}/documents.parquet"), PATH))
     total, sequences = packed.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
     assert total / (2048 * sequences) > 0.98
+
+
+def test_query_slices_written_sequences(spark, monkeypatch):
+    """The digests come from padded sequences that were written with all ids."""
+    made = []
+
+    def kept(df, name):
+        made.append((name, written(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(packing, "written", kept)
+    rows = packing.packed(docs(spark, AWKWARD), PATH, 64).collect()
+    whole = {r.sequence_id: r for r in dict(made)["sequences"].collect()}
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in AWKWARD]
+    want = sorted(((i, s, len(x[s : s + 64]), len(x), zlib.crc32(np.array(x[s : s + 64], "<u4").tobytes())) for i, x in ids for s in range(0, len(x), 64)), key=repr)
+    assert sorted(((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in rows), key=repr) == want
+    at = defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+        assert zlib.crc32(whole[r.sequence_id].ids[4 * r.offset : 4 * (r.offset + r.length)]) == r.ids_crc32
+    assert at == {k: r.n_tokens for k, r in whole.items()}
+    for r in whole.values():
+        n = r.n_tokens
+        assert len(r.ids) == 4 * (n if n & (n - 1) == 0 else 64) and not any(r.ids[4 * n :])
+    assert packing.packed(docs(spark, []), PATH, 64).count() == 0
