@@ -23,8 +23,11 @@ from eventflow.llm.common import text_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
 HIDDEN = frozenset(
-    "head script style template iframe noembed noframes audio video canvas object svg math datalist title".split()
+    "head script style template iframe noembed noframes audio video canvas object datalist title".split()
 )
+# In drawings and formulas, whose other text is shown.
+FOREIGN = frozenset("svg math".split())
+HIDDEN_FOREIGN = frozenset("annotation annotation-xml metadata defs desc symbol clippath mask pattern marker".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu dir xmp listing".split())
 BLOCK = SPACED | frozenset(
     "html body div section article aside header footer nav main address center form li dt dd details summary dialog "
@@ -55,7 +58,7 @@ IN_HEAD = frozenset("base link meta title style script template noscript head".s
 # Inline elements do not keep a block's end tag from closing it, but a table cell or the like does.
 SCOPES = frozenset("table td th caption html template button".split())
 
-#: Elements nested deeper become children of the one at this depth; their text stays.
+#: Elements nested deeper become children of the one at this depth; their text stays. Within a hidden element twice as deep.
 DEPTH = 150
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"
@@ -64,6 +67,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
+BARE_END = re.compile(r"=\s*[^\s\"'>]+/\Z")  # the slash belongs to a value without quotes
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -98,7 +102,8 @@ class Builder:
 
     def text(self, text: str) -> None:
         if text:
-            if self.head and len(self.stack) == 1 and not SPACE.fullmatch(text):
+            if self.head and self.stack[-1].name in ("html", "head") and not SPACE.fullmatch(text):
+                self._end_up_to({"head"}, frozenset())
                 self.head = False
             self.stack[-1].children.append(text)
 
@@ -134,15 +139,24 @@ class Builder:
             self._push("tr", {})
         self._push(name, attributes)
 
+    def foreign(self) -> bool:
+        """Whether the innermost elements are those of a drawing or formula."""
+        return any(x.name in FOREIGN for x in self.stack)
+
     def _push(self, name: str, attributes: dict[str, str]) -> None:
-        parent = self.stack[-1]
-        if len(self.stack) >= DEPTH and name not in VOID:
-            parent = self.stack[DEPTH - 1]
+        if (name in HIDDEN_FOREIGN or name == "text") and self.foreign():
+            # No attribute of a page has a space in its name.
+            attributes = attributes | {"hidden" if name in HIDDEN_FOREIGN else " block": ""}
+        parent, depth = self.stack[-1], DEPTH
+        if len(self.stack) > DEPTH and not shown(self.stack[DEPTH].name, self.stack[DEPTH].attributes):
+            depth = 2 * DEPTH  # what is in a hidden element stays in it; it is not rendered
+        if len(self.stack) >= depth and name not in VOID:
+            parent = self.stack[depth - 1]
         node = Node(name, attributes, len(self.stack))
         parent.children.append(node)
         if name not in VOID:
-            if len(self.stack) >= DEPTH:
-                del self.stack[DEPTH:]
+            if len(self.stack) >= depth:
+                del self.stack[depth:]
             self.stack.append(node)
 
     def end(self, name: str) -> None:
@@ -187,6 +201,10 @@ def tree_of(html: str) -> Node:
             build.end(name)
             continue
         build.start(name, attributes_of(found["attributes"]) if found["attributes"].strip(" /") else {})
+        if found["attributes"].endswith("/") and not BARE_END.search(found["attributes"]) and build.foreign():
+            if name not in VOID:
+                build.end(name)  # only drawings and formulas have empty elements of this form
+            continue
         if name in RAW:
             lower = html.lower() if lower is None else lower
             # Lower case can change a text's length in rare alphabets; then search without it.
@@ -305,7 +323,7 @@ def render(children: list, out: Lines, pre: bool = False) -> Lines:
             out.spaced()
             render(child.children, out, pre)
             out.spaced()
-        elif name in BLOCK:
+        elif name in BLOCK or " block" in child.attributes:
             out.block()
             render(child.children, out, pre)
             out.block()

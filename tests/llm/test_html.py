@@ -45,6 +45,24 @@ CASES = {
 }
 
 
+DEEP = "<div>" * 149
+SHOWN = {
+    "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b": "a x=2 b",
+    "<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><g><text>One</text><text x=1>Two</text></g></svg>z": "One\nTwo\nz",
+    "<svg><defs/><path d='M0'/><title/><text>label</text></svg>": "label",
+    "<svg/>a<desc>b</desc>": "ab",
+    "<head><title>T</title>Hello": "Hello",
+    "<head><title>T</title> <meta name=a> Hello<p>more": "Hello\n\nmore",
+    DEEP + "<div hidden>no<b>no</b>no<div><p>no</div>no</div>yes": "yes",
+    DEEP + "<div hidden>" + "<i>no" * 400 + "</i>" * 400: "",
+}
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_all_that_is_visible_and_no_more(html):
+    assert visible_text(html) == SHOWN[html]
+
+
 @pytest.mark.parametrize("html", CASES)
 def test_layout(html):
     assert visible_text(html) == CASES[html]
