@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, packing, quality, sharding, simhash, token_counts
+from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, merkle, packing, quality, sharding, simhash, token_counts
 from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +123,81 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = quality.fit(documents, grades(table(spark, folder, "labels")), levels=3)
     return quality.rate(documents, model, least_grade=2)
+
+
+def lowered(text: str) -> Column:
+    """``text`` with A-Z in lower case."""
+    return F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)
+
+
+@query
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = merkle.digest_of([lowered(c) if c == "text" else F.col(c) for c in fields])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, found)
+    manifest = merkle.build(merkle.leaves(documents, fields, "doc_id", "lang", tampered))
+    return merkle.audit(manifest).withColumnRenamed("id", "doc_id")
+
+
+#: Unsigned CRC-32 of a decimal number, bit by bit: each digit's byte is followed by eight shifts.
+CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({} AS VARCHAR), ''),
+    lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+def _sides(nodes: str, by: str) -> str:
+    run = f"string_agg(digest, '') OVER (PARTITION BY {by}level, idx // 8 ORDER BY idx ROWS BETWEEN"
+    before, after = f"{run} UNBOUNDED PRECEDING AND 1 PRECEDING)", f"{run} 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    return f"SELECT *, coalesce({before}, '') AS l, coalesce({after}, '') AS r FROM {nodes}"
+
+
+SQL["op11_merkle"] = f"""
+    WITH RECURSIVE hashed AS (
+        SELECT doc_id, lang, {_leaf("text")} AS leaf,
+               CASE WHEN {CRC_OF.format("doc_id")} % 3 = 0
+                    THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claim
+        FROM documents
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+               count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS id
+        FROM hashed
+    ), node AS (
+        SELECT lang, 0 AS level, idx, n, leaf AS digest FROM placed
+        UNION ALL
+        SELECT lang, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+        FROM node WHERE n > 1 GROUP BY lang, level, n, idx // 8
+    ), subroot AS (
+        SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1
+    ), over AS (
+        SELECT 0 AS level, idx, n, digest FROM subroot
+        UNION ALL
+        SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+        FROM over WHERE n > 1 GROUP BY level, n, idx // 8
+    ), side AS ({_sides("node", "lang, ")}), over_side AS ({_sides("over", "")}),
+    walk AS (
+        SELECT id, lang, 0 AS level, idx, n, coalesce(claim, leaf) AS digest, '' AS proof FROM placed
+        UNION ALL
+        SELECT w.id, w.lang, w.level + 1, w.idx // 8, (w.n + 7) // 8, sha256(s.l || w.digest || s.r), w.proof || s.l || s.r
+        FROM walk w JOIN side s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.idx = w.idx
+        WHERE w.n > 1
+    ), over_walk AS (
+        SELECT w.id, 0 AS level, s.idx, s.n, w.digest, w.proof, s.digest AS subroot
+        FROM walk w JOIN subroot s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+        UNION ALL
+        SELECT w.id, w.level + 1, w.idx // 8, (w.n + 7) // 8, sha256(s.l || w.digest || s.r), w.proof || s.l || s.r, w.subroot
+        FROM over_walk w JOIN over_side s ON s.level = w.level AND s.idx = w.idx WHERE w.n > 1
+    )
+    SELECT p.doc_id, p.leaf, w.subroot, o.digest AS root, sha256(w.proof) AS proof_sha256, w.digest AS folded_root,
+           w.digest = o.digest AS verified
+    FROM placed p JOIN over_walk w ON w.id = p.id AND w.n = 1 JOIN over o ON o.n = 1
+"""
