@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, merkle, packing, quality, sharding, simhash, token_counts
+from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, merkle, packing, pii, quality, sharding, simhash, token_counts
 from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,12 @@ SQL["op11_merkle"] = f"""
            w.digest = o.digest AS verified
     FROM placed p JOIN over_walk w ON w.id = p.id AND w.n = 1 JOIN over o ON o.n = 1
 """
+
+
+@query
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans")
+    )
