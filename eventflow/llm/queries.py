@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, merkle, packing, pii, quality, sharding, simhash, token_counts
+from eventflow.llm import chat, decontaminate, exact_dedup, html_text, id_files, merkle, packing, pii, prefix_trie, quality, sharding, simhash, token_counts
 from eventflow.llm.common import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,47 @@ def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows = prefix_trie.turns(table(spark, folder, "conversations"))
+    return prefix_trie.nodes(prefix_trie.prefixes(prefix_trie.with_shared_openings(rows, group=20, most=4)))
+
+
+SQL["op13_prefix_trie"] = f"""
+    WITH turn AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rank
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), conv AS (
+        SELECT conv_id, {CRC_OF.format("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turn)
+    ), rebuilt AS (
+        SELECT c.conv_id, 1 AS part, b.rank, b.role, b.text
+        FROM conv c JOIN turn b ON b.conv_id = c.conv_id - c.conv_id % 20 AND b.rank <= c.h
+        UNION ALL
+        SELECT t.conv_id, 2, t.rank, t.role, t.text FROM turn t JOIN conv c USING (conv_id) WHERE t.rank > c.h
+    ), prefix AS (
+        SELECT conv_id, 0 AS depth, '' AS key, 0 AS words FROM conv
+        UNION ALL
+        SELECT conv_id, row_number() OVER so_far, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER so_far,
+               len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))
+        FROM rebuilt WINDOW so_far AS (PARTITION BY conv_id ORDER BY part, rank ROWS UNBOUNDED PRECEDING)
+    ), size AS (SELECT conv_id, max(depth) AS turns FROM prefix GROUP BY conv_id
+    ), node AS (
+        SELECT depth, key, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+               sha256(coalesce(string_agg(p.conv_id, ',' ORDER BY p.conv_id) FILTER (turns = depth), '')) AS ends_sha256,
+               max(turns) = depth AS leaf
+        FROM prefix p JOIN size USING (conv_id) GROUP BY depth, key
+    ), placed AS (
+        SELECT n.*, p.key AS parent_key FROM node n LEFT JOIN prefix p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+    ), above AS (
+        SELECT p.depth, p.key, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (n.leaf) AS leaves,
+               count(*) FILTER (n.depth = p.depth + 1) AS children
+        FROM node n JOIN prefix p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.key
+    )
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs,
+           a.children AS n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM placed n JOIN above a ON a.depth = n.depth AND a.key = n.key
+    LEFT JOIN node u ON u.depth = n.depth - 1 AND u.key = n.parent_key
+"""
