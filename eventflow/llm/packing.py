@@ -34,28 +34,37 @@ SLICES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def cut(
-    docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    window: int = 2048,
+    end_id: int | None = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    short: bool = False,
 ) -> DataFrame:
     """The documents' ids in pieces of at most ``window``: doc_id, start, length, doc_tokens, ids.
 
-    ``ids`` holds little-endian unsigned 32-bit numbers. Each document ends with
-    ``end_id``; null and empty texts consist of it alone (without an end id they have
-    no piece). Null ids and repeated rows are kept as rows of their own.
+    ``ids`` holds little-endian unsigned 32-bit numbers; with ``short`` 16-bit ones, where
+    the tokenizer's ids fit them. Each document ends with ``end_id``; null and empty texts
+    consist of it alone (without an end id they have no piece). Null ids and repeated rows
+    are kept as rows of their own.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        kind = np.dtype(encode.dtype if short else "<u4")
+        size = kind.itemsize
         for batch in batches:
             keys, starts, lengths, totals, ids = [], [], [], [], []
             for key, data in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 data = np.frombuffer(data, encode.dtype)
-                data = (data if end_id is None else np.append(data, end_id)).astype("<u4").tobytes()
-                n = len(data) // 4
+                data = (data if end_id is None else np.append(data, end_id)).astype(kind).tobytes()
+                n = len(data) // size
                 for start in range(0, n, window):
-                    part = data[4 * start : 4 * (start + window)]
+                    part = data[size * start : size * (start + window)]
                     keys.append(key)
                     starts.append(start)
-                    lengths.append(len(part) // 4)
+                    lengths.append(len(part) // size)
                     totals.append(n)
                     ids.append(part)
             longs = [pa.array(x, pa.int64()) for x in (keys, starts, lengths, totals)]
@@ -162,11 +171,15 @@ def sequences(packed: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataF
 def assembled(pieces: DataFrame, capacity: int = 2048, pad_id: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The padded sequences of pieces from ``cut``: sequence_id, n_tokens, ids, and the pieces in order of their offset.
 
-    They are placed as in ``place`` and joined where they are placed, so the ids are shuffled once.
+    They are placed as in ``place`` and joined where they are placed, so the ids are shuffled
+    once; pieces may hold 16-bit ids, the sequences hold 32-bit ones. A column ``spread`` (a
+    number of the row) deals repeats of one row to different groups. Null ids are ids like
+    any other; an empty table has an empty result.
     """
     n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, -(-n // group_rows), -(-tokens // GROUP_TOKENS))
-    group = F.pmod(F.xxhash64("doc_id", "start", "length", "ids"), F.lit(groups))
+    spread = ["spread"] if "spread" in pieces.columns else ["doc_id", "start", "length", "ids"]
+    group = F.pmod(F.xxhash64(*spread), F.lit(groups))
     pad = np.array([pad_id], "<u4").tobytes()
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
@@ -181,6 +194,8 @@ def assembled(pieces: DataFrame, capacity: int = 2048, pad_id: int = 0, group_ro
         ends = ends[np.r_[first[1:], len(window)] - 1]
         lengths = np.diff(np.r_[0, ends])
         data, whole = b"".join(rows["ids"].to_pylist()), []
+        if len(data) < 4 * int(ends[-1]):
+            data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
         for end, length in zip(ends.tolist(), lengths.tolist()):
             padded = 0 if length & (length - 1) == 0 else capacity - length
             whole.append(data[4 * (end - length) : 4 * end] + pad * padded)
@@ -211,6 +226,11 @@ def slices(whole: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1) -> DataFrame:
-    """The documents' padded sequences, written to the shared folder, as a row per piece read back out of them."""
-    pieces = written(cut(docs, tokenizer, window, end_id), "pieces")
+    """The documents' padded sequences, written to the shared folder, as a row per piece read back out of them.
+
+    Null and empty texts are the end id alone, null ids and repeated rows are rows of their
+    own, an empty table has an empty result.
+    """
+    pieces = cut(docs, tokenizer, window, end_id, short=True)
+    pieces = written(pieces.withColumn("spread", F.monotonically_increasing_id()), "pieces")
     return slices(written(assembled(pieces, window), "sequences"))

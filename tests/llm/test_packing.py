@@ -127,3 +127,11 @@ def test_query_slices_written_sequences(spark, monkeypatch):
         n = r.n_tokens
         assert len(r.ids) == 4 * (n if n & (n - 1) == 0 else 64) and not any(r.ids[4 * n :])
     assert packing.packed(docs(spark, []), PATH, 64).count() == 0
+
+
+def test_repeats_of_one_row_go_to_many_groups(spark):
+    rows = [(None, "the same row again and again")] * 100_000
+    pieces = packing.cut(docs(spark, rows), PATH, 64, short=True).withColumn("spread", F.monotonically_increasing_id())
+    whole = packing.assembled(pieces, 64, group_rows=5_000)
+    groups = whole.groupBy(F.shiftright("sequence_id", packing.GROUP_BITS)).agg(F.sum(F.size("pieces")).alias("n")).collect()
+    assert len(groups) == 20 and sum(r.n for r in groups) == 100_000 and max(r.n for r in groups) < 6_000
