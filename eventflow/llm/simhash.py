@@ -188,7 +188,7 @@ def links(prints: DataFrame, most: int) -> DataFrame:
             first, count = divided.first[part], divided.first[part + 1] - divided.first[part]
             ends = np.cumsum(count)
             at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
-            yield base + divided.visited[at], True, np.repeat(np.arange(len(values)), count)
+            yield base + divided.visited[at].astype(np.int64), True, np.repeat(np.arange(len(values)), count)
 
     def own_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +259,14 @@ def _grouped(radius: int, leaf_values: int):
     key = ("groups", radius, leaf_values, GROUP_LEAVES)
     if key not in store:
         groups = -(-divided.leaves // GROUP_LEAVES)
-        value = np.repeat(np.arange(1 << BLOCK), np.diff(divided.first))
-        counts = np.bincount(value * groups + divided.visited // GROUP_LEAVES, minlength=groups << BLOCK)
-        store[key] = groups, np.r_[0, np.cumsum(counts)]
+        first = np.zeros((groups << BLOCK) + 1, np.int32)
+        step = 1 << 12
+        for low in range(0, 1 << BLOCK, step):  # a part of the values at a time, which bounds the worker's memory
+            bounds = divided.first[low : low + step + 1]
+            value = np.repeat(np.arange(step), np.diff(bounds))
+            counts = np.bincount(value * groups + divided.visited[bounds[0] : bounds[-1]] // GROUP_LEAVES, minlength=groups * step)
+            first[low * groups + 1 : (low + step) * groups + 1] = bounds[0] + np.cumsum(counts)
+        store[key] = groups, first
     return divided, *store[key]
 
 

@@ -24,19 +24,23 @@ class VantageTree:
     def __init__(self, bits: int, leaf_values: int, radius: int, seed: int = 1):
         self.bits, self.leaf_values, self.radius = bits, leaf_values, radius
         self.random = np.random.default_rng(seed)
-        values = np.arange(1 << bits, dtype=np.uint32)
-        self.leaf = np.zeros(1 << bits, np.int64)
-        self.leaves = 0
-        queries, visited = [], []
-        self._grow(values, values, queries, visited)
-        query, leaf = np.concatenate(queries), np.concatenate(visited)
-        upto_own = leaf <= self.leaf[query]
-        query, leaf = query[upto_own], leaf[upto_own]
-        order = np.lexsort((leaf, query))
-        self.visited = leaf[order]
-        self.first = np.searchsorted(query[order], np.arange((1 << bits) + 1))
+        # Values and leaf numbers take 16 bits each: at radius 3 there are ten million visits.
+        values = np.arange(1 << bits, dtype=np.uint16)
+        self.leaf = np.full(1 << bits, -1, np.int64)
+        visitors: list[np.ndarray] = []
+        self._grow(values, values, visitors)
+        self.leaves = len(visitors)
+        counts = np.zeros(1 << bits, np.int64)
+        for queries in visitors:
+            counts[queries] += 1
+        self.first = np.r_[0, np.cumsum(counts)]
+        self.visited = np.empty(self.first[-1], np.uint16)
+        at = self.first[:-1].copy()
+        for leaf, queries in enumerate(visitors):
+            self.visited[at[queries]] = leaf
+            at[queries] += 1
 
-    def _grow(self, values: np.ndarray, queries: np.ndarray, found: list, visited: list) -> None:
+    def _grow(self, values: np.ndarray, queries: np.ndarray, visitors: list[np.ndarray]) -> None:
         """Builds the node of ``values``; ``queries`` are all values whose ball may reach into it."""
         if len(values) > self.leaf_values:
             vantage = values[self.random.integers(len(values))]
@@ -46,18 +50,16 @@ class VantageTree:
                 median -= 1
             near = distance <= median
             reach = np.bitwise_count(queries ^ vantage).astype(np.int64)
-            self._grow(values[near], queries[reach - self.radius <= median], found, visited)
-            self._grow(values[~near], queries[reach + self.radius > median], found, visited)
+            self._grow(values[near], queries[reach - self.radius <= median], visitors)
+            self._grow(values[~near], queries[reach + self.radius > median], visitors)
             return
-        self.leaf[values] = self.leaves
-        # The bounds let some through that reach no value of the leaf.
+        self.leaf[values] = len(visitors)
+        # Values whose own leaf came earlier don't visit; of the rest the bounds let some through that reach nothing.
+        queries = queries[(self.leaf[queries] < 0) | (self.leaf[queries] == len(visitors))]
+        reached = np.zeros(len(queries), bool)
         for value in values:
-            queries_near = np.bitwise_count(queries ^ value) <= self.radius
-            reached = queries_near if value == values[0] else reached | queries_near
-        queries = queries[reached]
-        found.append(queries)
-        visited.append(np.full(len(queries), self.leaves, np.int64))
-        self.leaves += 1
+            reached |= np.bitwise_count(queries ^ value) <= self.radius
+        visitors.append(queries[reached])
 
 
 def tree(bits: int, leaf_values: int, radius: int) -> VantageTree:

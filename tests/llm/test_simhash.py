@@ -242,3 +242,19 @@ def test_repeats_and_distant_copies_are_found(spark):
     kept = {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()}
     assert kept >= {2 * k for k in range(60)} and 1000 in kept and 1001 not in kept
     assert len(kept & {2 * k + 1 for k in range(60)}) <= 3
+
+
+def test_memory_of_the_widest_tree(monkeypatch):
+    """Each worker holds the tree of radius 3: ten million visits in a bounded space, the same for any data."""
+    import tracemalloc
+
+    from eventflow.llm import common, vptree
+
+    monkeypatch.setattr(common.sys, "modules", {**common.sys.modules})
+    common.sys.modules.pop("eventflow_worker_store", None)
+    tracemalloc.start()
+    tree, groups, first = simhash._grouped(3, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(tree, vptree.VantageTree) and len(tree.visited) == first[-1] > 9_000_000
+    assert peak < 120 << 20
