@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from eventflow.operators import decide as d
+from eventflow.operators import rule_index
 from eventflow.operators.decide import Check, Rule
 from eventflow.operators.ordered import ranked
 from eventflow.plans.registry import Tables, query
@@ -147,3 +148,33 @@ def rules_sorted(t: Tables):
     chunk = F.struct(-F.col("p_size"), F.floor(F.col("rule_id") / 10_000))
     sorted_rules = ranked(rules, ["ruleset"], [F.desc("p_size"), F.asc("rule_id")], chunk)
     return sorted_rules.select("ruleset", "rule_id", "position")
+
+
+@query("""
+WITH rules AS (
+  SELECT o_custkey % 5 AS class, o_orderkey AS ord, CAST(o_custkey % 100 AS BIGINT) AS priority, 'rule ' || o_orderkey AS decision,
+         CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice * 0.2 END AS low,
+         CASE WHEN o_orderkey % 70 <> 0 THEN o_totalprice * 0.2 + (o_orderkey % 400) * 25 END AS high FROM orders
+  WHERE o_custkey % 7 <> 3 OR o_orderkey % 350 <> 0),
+items AS (SELECT row_number() OVER () AS id, l_linenumber % 5 AS class, l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+best AS (
+  SELECT i.id, arg_min(r.decision, (-r.priority, r.ord)) AS decision
+  FROM items i JOIN rules r ON r.class = i.class AND (r.low IS NULL OR i.l_extendedprice >= r.low)
+   AND (r.high IS NULL OR i.l_extendedprice < r.high) GROUP BY i.id)
+SELECT i.l_orderkey, i.l_partkey, i.l_suppkey, i.l_extendedprice, coalesce(b.decision, 'unknown') AS decision
+FROM items i LEFT JOIN best b ON b.id = i.id
+""")
+def rules_interval_index(t: Tables):
+    # One rule per order, by class: thousands that hold for a range of prices each, some open at one end.
+    order, price = F.col("o_orderkey"), F.col("o_totalprice") * 0.2
+    rules = t.orders.where((F.col("o_custkey") % 7 != 3) | (order % 350 != 0)).select(
+        (F.col("o_custkey") % 5).alias("class"),
+        order.alias("ord"),
+        (F.col("o_custkey") % 100).alias("priority"),
+        F.concat(F.lit("rule "), order).alias("decision"),
+        F.when(order % 50 != 0, price).alias("low"),
+        F.when(order % 70 != 0, price + (order % 400) * 25).alias("high"),
+    )
+    items = t.lineitem.select((F.col("l_linenumber") % 5).cast("long").alias("class"), "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+    index = rule_index.build(rules, ["class"], "double")
+    return rule_index.decide(items, index, "l_extendedprice").drop("class")
