@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventflow.functions import json_text
-from eventflow.operators import flow, validate
+from eventflow.operators import flow, redelivery, validate
 from eventflow.operators.normalize import features
+from eventflow.operators.redelivery import Policy
 from eventflow.operators.throttle import throttle
 from eventflow.operators.validate import FieldRule, Rules
 from eventflow.plans.cases import case_workflow
@@ -204,3 +205,42 @@ def action_dispatch(t: Tables):
         F.when(is_greet, greeting).alias("message"),
         F.when(~is_greet, F.concat(F.lit("Unknown action: "), "action")).alias("error"),
     )
+
+
+def _redelivery_sql(days: int, pauses: list[int]) -> str:
+    """Each try ends with its first answer in time, or with its limit; failed ones are followed by a pause and the next try."""
+    parts = [
+        """answer AS (
+  SELECT l_orderkey AS id, l_shipdate AS ts, CASE l_returnflag WHEN 'A' THEN 'result' ELSE 'failure' END AS kind, l_returnflag AS flag
+  FROM lineitem WHERE l_returnflag <> 'N')""",
+        "try_1 AS (SELECT o_orderkey AS id, 1 AS attempt, o_orderdate AS started FROM orders)",
+    ]
+    for n in range(1, len(pauses) + 2):
+        limit = f"started + INTERVAL {days} DAY"
+        parts.append(f"""end_{n} AS (
+  SELECT t.id, t.attempt, t.started, arg_min(a.kind, (a.ts, a.flag)) AS kind, coalesce(min(a.ts), t.{limit}) AS ended
+  FROM try_{n} t LEFT JOIN answer a ON a.id = t.id AND a.ts BETWEEN t.started AND t.{limit} GROUP BY t.id, t.attempt, t.started)""")
+        if n <= len(pauses):
+            parts.append(f"""try_{n + 1} AS (
+  SELECT id, {n + 1} AS attempt, ended + INTERVAL {pauses[n - 1]} DAY AS started FROM end_{n} WHERE kind IS DISTINCT FROM 'result')""")
+    ends = " UNION ALL ".join(f"SELECT * FROM end_{n}" for n in range(1, len(pauses) + 2))
+    again = " UNION ALL ".join(f"SELECT id, 'deliver', attempt, started, NULL FROM try_{n}" for n in range(2, len(pauses) + 2))
+    return f"""
+WITH {", ".join(parts)}
+SELECT id, CASE WHEN kind = 'result' THEN 'ok' WHEN attempt <= {len(pauses)} THEN 'retry' ELSE 'given_up' END AS status,
+       CAST(attempt AS BIGINT) AS attempt, ended AS "at", CASE WHEN kind IS DISTINCT FROM 'result' THEN coalesce(kind, 'timed_out') END AS reason
+FROM ({ends}) UNION ALL {again}
+"""
+
+
+@query(_redelivery_sql(20, [5, 10]))
+def step_redelivery(t: Tables):
+    # An order asks for its delivery; accepted lines answer it, returned ones are failures, others say nothing.
+    asked = t.orders.select(F.col("o_orderkey").alias("id"), F.lit("request").alias("kind"), F.col("o_orderdate").alias("ts"), F.lit("").alias("payload"))
+    kind = F.when(F.col("l_returnflag") == "A", "result").otherwise("failure")
+    answers = t.lineitem.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("id"), kind.alias("kind"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("payload"))
+    policy = Policy(timeout_seconds=20 * 86400, retries=2, delay_seconds=5 * 86400, longest_seconds=30 * 86400)
+    done = redelivery.outcomes(asked.unionByName(answers), policy)
+    return done.where(F.col("status").isin("ok", "retry", "deliver", "given_up")).select(
+        "id", "status", "attempt", F.col("at").cast("timestamp_ntz").alias("at"), "reason"
+    )
