@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventflow.operators import bayes, score
+from eventflow.operators import bayes, inference, score
 from eventflow.operators.batches import micro_batches as in_batches
 from eventflow.plans.registry import Tables, query
 
@@ -168,6 +168,41 @@ def bayes_posterior(t: Tables):
     return judged.select("doc_id", "toxic_value", F.round("p", 6).alias("p"))
 
 
+@query("""
+WITH f AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_quantity > 25 AS large, l_discount > 0.05 AS cheap, l_tax > 0.04 AS taxed FROM lineitem),
+     p0 AS (SELECT flag, n / sum(n) OVER () AS p FROM (SELECT flag, count(*) + 1.0 AS n FROM f GROUP BY 1)),
+     p1 AS (SELECT flag, status, n / sum(n) OVER (PARTITION BY flag) AS p FROM (SELECT flag, status, count(*) + 1.0 AS n FROM f GROUP BY 1, 2)),
+     p2 AS (SELECT flag, large, n / sum(n) OVER (PARTITION BY flag) AS p FROM (SELECT flag, large, count(*) + 1.0 AS n FROM f GROUP BY 1, 2)),
+     p3 AS (SELECT status, large, cheap, n / sum(n) OVER (PARTITION BY status, large) AS p
+            FROM (SELECT status, large, cheap, count(*) + 1.0 AS n FROM f GROUP BY 1, 2, 3)),
+     p4 AS (SELECT cheap, taxed, n / sum(n) OVER (PARTITION BY cheap) AS p FROM (SELECT cheap, taxed, count(*) + 1.0 AS n FROM f GROUP BY 1, 2)),
+     j AS (SELECT flag, status, large, cheap, taxed, p0.p * p1.p * p2.p * p3.p * p4.p AS p
+           FROM p0 JOIN p1 USING (flag) JOIN p2 USING (flag) JOIN p3 USING (status, large) JOIN p4 USING (cheap)),
+     rows AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                     CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus END AS status, CASE WHEN l_suppkey % 4 <> 0 THEN l_quantity > 25 END AS large,
+                     CASE WHEN l_partkey % 5 <> 0 THEN l_tax > 0.04 END AS taxed FROM lineitem),
+     asked AS (SELECT DISTINCT status, large, taxed FROM rows),
+     s AS (SELECT a.status, a.large, a.taxed, j.flag, sum(j.p) AS p FROM asked a JOIN j
+            ON (a.status IS NULL OR a.status = j.status) AND (a.large IS NULL OR a.large = j.large) AND (a.taxed IS NULL OR a.taxed = j.taxed)
+           GROUP BY ALL),
+     post AS (SELECT *, p / sum(p) OVER (PARTITION BY status, large, taxed) AS post FROM s)
+SELECT r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, p.flag, round(p.post, 6) AS p
+FROM rows r JOIN post p ON p.status IS NOT DISTINCT FROM r.status AND p.large IS NOT DISTINCT FROM r.large AND p.taxed IS NOT DISTINCT FROM r.taxed
+""")
+def bayes_missing_evidence(t: Tables):
+    lines = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+        (F.col("l_quantity") > 25).alias("large"), (F.col("l_discount") > 0.05).alias("cheap"), (F.col("l_tax") > 0.04).alias("taxed"),
+    )
+    joint = bayes.counts(lines, ["flag", "status", "large", "cheap", "taxed"])
+    parents = {"flag": [], "status": ["flag"], "large": ["flag"], "cheap": ["status", "large"], "taxed": ["cheap"]}
+    net = inference.network({name: (given, bayes.conditional(joint, name, given)) for name, given in parents.items()})
+    known = {"status": F.col("l_linenumber") % 3 != 0, "large": F.col("l_suppkey") % 4 != 0, "taxed": F.col("l_partkey") % 5 != 0}
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.when(test, F.col(c)).alias(c) for c, test in known.items()])
+    judged = inference.infer(rows, net, "flag", list(known), into="flag")
+    return judged.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flag", F.round("p", 6).alias("p"))
+
+
 @query(r"""
 WITH w AS (SELECT conv_id, turn, role, list_distinct(regexp_split_to_array(lower(text), '\s+')) AS words FROM conversations)
 SELECT a.conv_id, a.turn, round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 6) AS overlap
