@@ -28,6 +28,19 @@ def queue_group_assign(t: Tables):
     return t.events.select("event_id", topics.member_of_group(F.col("event_id"), 4).alias("member"))
 
 
+@query("""
+WITH m AS (SELECT * FROM (VALUES ('a', 1.0, 0), ('b', 1.0, 0), ('c', 2.0, 0), ('d', 1.0, 1)) AS t(name, weight, late)),
+     d AS (SELECT event_id, name, late, -ln((('0x' || substr(md5(name || '/' || event_id), 1, 12))::BIGINT + 1) / 281474976710656.0) / weight AS draw
+           FROM events, m)
+SELECT event_id, arg_min(name, draw) FILTER (late = 0) AS before, arg_min(name, draw) AS after FROM d GROUP BY event_id
+""")
+def queue_group_members(t: Tables):
+    # A member joins a group of three, one of which takes twice the others' share.
+    group = {"a": 1.0, "b": 1.0, "c": 2.0}
+    before, after = (topics.member_by_weight(F.col("event_id"), g) for g in (group, {**group, "d": 1.0}))
+    return t.events.select("event_id", before.alias("before"), after.alias("after"))
+
+
 @query("""
 SELECT event_id, subscriber
 FROM events, (VALUES ('audit'), ('billing'), ('search')) AS s(subscriber)

@@ -130,6 +130,25 @@ def member_of_group(key: Column, members: int) -> Column:
     return F.pmod(digest, F.lit(members)).cast("bigint")
 
 
+def member_by_weight(key: Column, members: dict[str, float]) -> Column:
+    """Queue group whose members come and go: the name of the member that receives the message.
+
+    Each member draws a number from the digest of its name and the message id, scaled by
+    its weight, and the highest draw wins (rendezvous hashing). A member that joins takes its share
+    from all others and none moves between them; one that leaves hands its share to the rest.
+    """
+    if not members or min(members.values()) <= 0:
+        raise ValueError("a group has members, each with a positive weight")
+
+    def draw(name: str, weight: float) -> Column:
+        digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{name}/"), key.cast("string"))), 1, 12), 16, 10).cast("double")
+        # -log of a uniform draw, over the weight: the least wins in proportion to the weights.
+        return F.struct((-F.log((digest + 1) / float(1 << 48)) / F.lit(float(weight))).alias("draw"), F.lit(name).alias("name"))
+
+    draws = [draw(name, weight) for name, weight in sorted(members.items())]
+    return (F.least(*draws) if len(draws) > 1 else draws[0])["name"]
+
+
 def fan_out(df: DataFrame, subscribers: list[str], into: str = "subscriber") -> DataFrame:
     """Every subscriber gets every message: a narrow explode, no join."""
     return df.withColumn(into, F.explode(F.array(*[F.lit(s) for s in subscribers])))

@@ -116,3 +116,16 @@ def test_custom_source(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("ticks_out").count() == 10
+
+
+def test_a_new_member_takes_only_its_share(spark):
+    ids = spark.range(20_000)
+    group = {"a": 1.0, "b": 1.0, "c": 2.0}
+    both = ids.select(topics.member_by_weight(F.col("id"), group).alias("x"), topics.member_by_weight(F.col("id"), {**group, "d": 1.0}).alias("y"))
+    counts = {(r.x, r.y): r["count"] for r in both.groupBy("x", "y").count().collect()}
+    assert all(x == y or y == "d" for x, y in counts)
+    share = lambda test: sum(n for pair, n in counts.items() if test(*pair)) / 20_000
+    assert abs(share(lambda x, y: y == "d") - 1 / 5) < 0.01
+    assert abs(share(lambda x, y: x == "c") - 1 / 2) < 0.01 and abs(share(lambda x, y: x == "a") - 1 / 4) < 0.01
+    alone = ids.select(topics.member_by_weight(F.col("id"), {"only": 3.0}).alias("x")).distinct().collect()
+    assert [r.x for r in alone] == ["only"]
