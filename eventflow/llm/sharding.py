@@ -83,7 +83,8 @@ def shards(docs: DataFrame, count: int, id_col: str = "doc_id", text_col: str =
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("key_text"),
-        F.xxhash64(F.col(id_col), F.octet_length(text)).alias("key_row"),
+        # Repeats of one row differ too: the rows are written with these keys, so a repeated task finds the same.
+        F.xxhash64(F.col(id_col), F.octet_length(text), F.monotonically_increasing_id()).alias("key_row"),
     )
     rows = written(rows, "shard-rows")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()

@@ -46,6 +46,11 @@ def test_near_equal_with_a_hot_text(spark):
 def test_repeats_of_one_row_are_divided(spark):
     rows = [(1, "same")] * 400 + [(i, "same") for i in range(400)]
     check(docs(spark, rows), rows, 4)
+    # Half of the bytes are repeats of one row, which alone would fill half of the shards.
+    rows = [(7, "a row that comes again and again")] * 20_000 + [(i, f"row {i} has a text of its own {i % 7}") for i in range(20_000)]
+    got, sizes = check(docs(spark, rows), rows, 16)
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and max(sizes.values()) < 1.05 * mean and min(sizes.values()) > 0.95 * mean
 
 
 def test_plan_has_no_python(spark, data):
