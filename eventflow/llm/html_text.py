@@ -62,10 +62,12 @@ SCOPES = frozenset("table td th caption html template button".split())
 DEPTH = 150
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    # A quote opens a value directly after the equals sign only; anywhere else it is a character like others.
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
+    r"(?P<attributes>(?:[\s/]|=?[^\s/=>]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?=[\"'])[^>]*|[^\s>\"'][^\s>]*)?)?|=)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+ATTRIBUTE = re.compile(r"(=?[^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
 BARE_END = re.compile(r"=\s*[^\s\"'>]+/\Z")  # the slash belongs to a value without quotes
 SPACE = re.compile(r"[ \t\n\r\f]+")

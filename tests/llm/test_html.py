@@ -12,6 +12,11 @@ from eventflow.llm.html_text import extract, visible_text
 CASES = {
     "": "",
     "plain  text\n only": "plain text only",
+    '<p>one <a href="u"">two</a> three <a href="w">four</a></p>': "one two three four",
+    '<a href=x">visible</a> more <b title="y">z</b>': "visible more z",
+    "<a title='it is \">\" here' href = \"a>b\" '>x</a> <b \" class=c>y</b> <i a=b'c>z</i>": "x y z",
+    '<a href="open>x</a>': "x",
+    "<p =x = hidden>a value<p a= hidden>another<p a = b hidden>gone": "a value\n\nanother",
     "<p>One<p>Two": "One\n\nTwo",
     "<p>a <b>b</b>c<i> d </i> e</p>": "a bc d e",
     "<div>a</div><div>b</div>": "a\nb",
