@@ -11,8 +11,8 @@ the word pairs that a match must share. What either finds is verified by the exa
 
 An edit changes two of a window's word pairs at most. Windows with so few pairs known
 from items of their size that no edits allowed could explain it cannot match; they are passed over
-before the embedding, which loses nothing. Items are taken in blocks of
-bounded size, each against all documents.
+before the embedding, which loses nothing. Items too short for any edit are looked up as runs of
+words. Items are taken in blocks of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -31,10 +31,9 @@ from eventflow.llm.common import text_of
 from eventflow.llm.pieces import chunks
 
 WORD = re.compile(r"\w+")
-#: Items whose tables one pass over the documents carries.
+#: Items whose tables one pass over the documents carries, and the characters of their texts.
 ITEM_BLOCK = 20_000
-#: Items shorter than this match only as a whole document.
-LEAST_WORDS = 5
+BLOCK_CHARS = 4 << 20
 WALKS = 8
 #: Positions in one hash, and hashes of each walk at most.
 SAMPLED = 4
@@ -171,13 +170,9 @@ def item_block(items: list[tuple], similarity: float, target: float) -> dict:
     texts = [[w for part in words_of(text or "") for w in part] for _, text in items]
     vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t}))}
     codes = [np.array([vocabulary[w] for w in t], np.int64) for t in texts]
+    limits = [allowed(len(c), similarity) for c in codes]
     classes, members = [], []
-    short: dict[tuple, list[int]] = {}
-    for i in sorted(range(len(codes)), key=lambda i: len(codes[i])):
-        if len(codes[i]) < LEAST_WORDS:
-            if len(codes[i]):
-                short.setdefault(tuple(codes[i].tolist()), []).append(i)
-            continue
+    for i in sorted((i for i, limit in enumerate(limits) if limit), key=lambda i: len(codes[i])):
         if members and len(codes[i]) > CLASS_RATIO * len(codes[members[0]]):
             classes.append(members)
             members = []
@@ -203,10 +198,46 @@ def item_block(items: list[tuple], similarity: float, target: float) -> dict:
         tables.append({"hashes": hashes, "width": width, "edits": edits, "keys": keys, "pairs": pairs})
     return {
         "ids": [i for i, _ in items], "codes": codes, "vocabulary": vocabulary, "classes": tables,
-        "short": short, "distinct": [frozenset(c.tolist()) for c in codes], "limits": [allowed(len(c), similarity) for c in codes],
+        "runs": runs({i: codes[i].tolist() for i, limit in enumerate(limits) if not limit and len(codes[i])}),
+        "distinct": [frozenset(c.tolist()) for c in codes], "limits": limits,
     }
 
 
+def runs(items: dict[int, list[int]]) -> list[tuple[np.ndarray, dict[int, list[int]]]]:
+    """The trie of items that allow no edit, level by level: the sorted (parent node, word) of its nodes, and the items that end at a node."""
+    levels, node, depth = [], dict.fromkeys(items, 0), 0
+    while node:
+        step = {i: (parent << 32) + items[i][depth] for i, parent in node.items()}
+        keys = np.unique(np.fromiter(step.values(), np.int64, len(step)))
+        node = {i: int(np.searchsorted(keys, key)) for i, key in step.items()}
+        depth += 1
+        ended: dict[int, list[int]] = {}
+        for i in [i for i in node if len(items[i]) == depth]:
+            ended.setdefault(node.pop(i), []).append(i)
+        levels.append((keys, ended))
+    return levels
+
+
+def run_matches(codes: np.ndarray, ends: np.ndarray, levels: list[tuple[np.ndarray, dict[int, list[int]]]]) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, start, end) of the first place in each text of each item in the trie; a foreign word follows each text."""
+    at = np.flatnonzero(codes) if levels else np.empty(0, np.int64)
+    node = np.zeros(len(at), np.int64)
+    for depth, (keys, ended) in enumerate(levels):
+        wanted = (node << 32) + codes[at + depth]
+        node = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        known = keys[node] == wanted
+        at, node = at[known], node[known]
+        if not len(at):
+            return
+        if ended:
+            text = np.searchsorted(ends, at, side="right")
+            last = np.isin(node, np.fromiter(ended, np.int64, len(ended)))
+            _, first = np.unique(text[last] * len(keys) + node[last], return_index=True)
+            for t, n, start in zip(text[last][first].tolist(), node[last][first].tolist(), at[last][first].tolist()):
+                for item in ended[n]:
+                    yield t, item, start, start + depth + 1
+
+
 def pair_slots(codes: np.ndarray) -> np.ndarray:
     """The slot of each pair of neighbouring words; the last, always empty one if a word is in no item."""
     mixed = (codes[:-1] * 0x9E3779B1 + codes[1:]) * 0x85EBCA6B
@@ -289,16 +320,15 @@ def matches(texts: list[str], block: dict) -> list[tuple[int, int, int, int, int
     # Between texts, and after the last, stand foreign words, as many as a window may reach beyond its text.
     gap = np.zeros(max((t["edits"] for t in block["classes"]), default=0) + 1, np.int64)
     coded, result = [], []
-    for i, text in enumerate(texts):
-        code = codes_of(text, vocabulary)
-        coded += [code, gap]
-        if 0 < len(code) < LEAST_WORDS:
-            result += [(i, item, 0, 0, len(code)) for item in block["short"].get(tuple(code.tolist()), [])]
+    for text in texts:
+        coded += [codes_of(text, vocabulary), gap]
     if not coded:
         return result
     codes = np.concatenate(coded)
     ends = np.cumsum([len(c) for c in coded])[::2]
     begins = ends - np.array([len(c) for c in coded[::2]])
+    for t, item, start, end in run_matches(codes, ends, block["runs"]):
+        result.append((t, item, 0, start - int(begins[t]), end - int(begins[t])))
     slots = pair_slots(codes)
     for table in block["classes"]:
         found = candidates(codes, slots, table, len(vocabulary) + 1)
@@ -333,13 +363,17 @@ def matches(texts: list[str], block: dict) -> list[tuple[int, int, int, int, int
     return sorted(result)
 
 
-def blocks(benchmark: DataFrame, similarity: float, target: float, id_col: str, text_col: str) -> Iterator[dict]:
+def blocks(benchmark: DataFrame, similarity: float, target: float, id_col: str | None, text_col: str) -> Iterator[dict]:
+    """The tables of the items in blocks, bounded in items and in characters (a longer item makes a block alone)."""
     held: list[tuple] = []
-    for row in benchmark.select(F.col(id_col).cast("long"), text_of(text_col)).toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == ITEM_BLOCK:
+    size = 0
+    ids = F.lit(None) if id_col is None else F.col(id_col)
+    for row in benchmark.select(ids.cast("long"), text_of(text_col)).toLocalIterator():
+        if held and (len(held) >= ITEM_BLOCK or size + len(row[1]) > BLOCK_CHARS):
             yield item_block(held, similarity, target)
-            held = []
+            held, size = [], 0
+        held.append(tuple(row))
+        size += len(row[1])
     if held:
         yield item_block(held, similarity, target)
 
@@ -352,8 +386,8 @@ def find_leaks(
 
     They match if some stretch of the document's words (lower case, without punctuation) is
     at most (1 - similarity) * item_words word edits away from the item; the stretch with
-    the least distance is given. Items of fewer than five words match only documents that
-    consist of just these words; items without words match nothing. Null texts count as
+    the least distance is given, the first of equal ones for items that allow no edit (at 0.8
+    those of under five words). Items without words match nothing. Null texts count as
     empty; null ids and repeated rows are passed on. An empty table on either side gives
     an empty result.
     """
@@ -399,8 +433,11 @@ def leaking(text: Column, sent) -> Column:
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, target: float = 0.98, text_col: str = "text", item_text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that match no item, with all their columns."""
-    numbered = benchmark.select(F.lit(0).alias("item"), item_text_col)
-    for block in blocks(numbered, similarity, target, "item", item_text_col):
+    """The rows of ``docs`` that match no item, with all their columns; matches are those of ``find_leaks``.
+
+    Rows with a null or empty text stay, repeated rows share one fate, ids are not read. An
+    empty benchmark leaves ``docs`` as it is. Further columns, of any name, are passed on.
+    """
+    for block in blocks(benchmark, similarity, target, None, item_text_col):
         docs = docs.where(~leaking(text_of(text_col), docs.sparkSession.sparkContext.broadcast(block)))
     return docs

@@ -106,6 +106,38 @@ def test_blocks_agree_with_brute_force():
     assert got <= want and len(got) >= 0.95 * len(want) > 0
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.5, 1.0])
+def test_short_items_stand_anywhere(similarity):
+    """Items of one to sixty words over few words, so that runs begin alike, end inside each other and repeat."""
+    random = np.random.default_rng(11)
+    items = [(i, " ".join(f"w{x}" for x in random.integers(0, 6, size))) for i, size in enumerate([*range(1, 9), *range(1, 9), 20, 60])]
+    block = D.item_block([*items, (90, ""), (91, items[2][1])], similarity, 0.98)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 9, size)) for size in [*range(30), 200]]
+    texts += [text for _, text in items] + [f"before {text} after {text}" for _, text in items]
+    found = {(m[0], m[1]): m[2:] for m in D.matches(texts, block)}
+    assert not {item for _, item in found if not len(block["codes"][item])}
+    for t, text in enumerate(texts):
+        code = D.codes_of(text, block["vocabulary"]).tolist()
+        for i, item in enumerate(block["codes"]):
+            if not len(item) or (block["limits"][i] and len(item) > len(code)):
+                continue
+            if block["limits"][i] == 0:
+                places = [k for k in range(len(code) - len(item) + 1) if code[k : k + len(item)] == item.tolist()]
+                assert found.get((t, i)) == ((0, places[0], places[0] + len(item)) if places else None)
+            elif (t, i) in found:
+                assert found[t, i][0] == plain_fit(item.tolist(), code) <= block["limits"][i]
+
+
+def test_blocks_are_bounded_in_characters(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_CHARS", 300)
+    bench = items(spark, [*ITEMS, (50, "Just three words")])
+    sizes = [len(b["ids"]) for b in D.blocks(bench, 0.8, 0.98, None, "text")]
+    assert sum(sizes) == len(ITEMS) + 1 and len(sizes) > 3
+    named = bench.select(D.F.col("text").alias("item"))
+    kept = D.without_leaks(docs(spark, LEAKED), named, item_text_col="item")
+    assert sorted(r.doc_id for r in kept.collect()) == [8]
+
+
 LEAKED = [
     (1, "some words " + ITEMS[3][1] + " more words"),
     (2, "some words " + ITEMS[3][1].upper().replace(" ", ",\n") + "!"),
@@ -130,13 +162,13 @@ def test_leaks_of_a_table(spark, monkeypatch, block):
     table = docs(spark, [*AWKWARD, *LEAKED])
     rows = D.find_leaks(table, bench).collect()
     got = sorted(((r.doc_id, r.item_id, r.distance) for r in rows), key=repr)
-    want = [(1, 3, 0), (2, 3, 0), (3, 5, 0), (3, 5, 0), (5, 50, 0), (7, 9, 6), (None, 0, 0), (None, 1, 0)]
+    want = [(1, 3, 0), (2, 3, 0), (3, 5, 0), (3, 5, 0), (5, 50, 0), (6, 50, 0), (7, 9, 6), (None, 0, 0), (None, 1, 0)]
     assert got == sorted(want, key=repr)
     spans = {(r.doc_id, r.item_id): (r.first_word, r.end_word) for r in rows}
-    assert spans[1, 3] == (2, 19) and spans[None, 1] == (5, 14)
+    assert spans[1, 3] == (2, 19) and spans[None, 1] == (5, 14) and spans[6, 50] == (1, 4)
     kept = D.without_leaks(table, bench)
     assert kept.schema == table.schema
-    leaking = {1, 2, 3, 5, 7}
+    leaking = {1, 2, 3, 5, 6, 7}
     clean = [x for x in [*AWKWARD, *LEAKED] if x not in LEAKED or (x[0] is not None and x[0] not in leaking)]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(clean, key=repr)
 
