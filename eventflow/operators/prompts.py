@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import queue
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,6 +26,9 @@ MISSING_PROMPT = "Missing or invalid 'prompt' field in message"
 UNSUPPORTED = "Unsupported LLM provider: "
 BAD_RESPONSE = "Invalid response format from "
 
+TIMED_OUT = "Timed out after "
+TOO_MANY_LATE = "Too many late calls still running"
+
 
 @dataclass(frozen=True)
 class ModelConfig:
@@ -188,18 +196,95 @@ def _generate(generate: Generate, prompts: list[str], retries: int) -> tuple[lis
     return answers, errors
 
 
-def generate(df: DataFrame, prompt: str, load: Callable[[], Generate], batch_size: int = 32, max_retries: int = 0) -> DataFrame:
-    """Add ``response`` and ``error``. ``load`` builds the client once per task."""
+class TimedCalls:
+    """Calls of a client, one per prompt and a few at a time, each with a time limit; results keep the order of the prompts.
+
+    A call that is still running at its limit is left to itself and no longer waited for. Of such
+    calls there are at most ``most_late``; while there are as many, further prompts fail at once.
+    """
+
+    def __init__(self, client: Generate, seconds: float, at_once: int = 8, most_late: int = 64):
+        self.client, self.seconds, self.at_once, self.most_late = client, seconds, at_once, most_late
+        self.ended: queue.SimpleQueue = queue.SimpleQueue()
+        self.late: set[int] = set()
+        self.numbers = itertools.count()
+
+    def _call(self, number: int, prompt: str) -> None:
+        try:
+            (answer,) = self.client([prompt])
+            self.ended.put((number, answer, None))
+        except Exception as problem:
+            self.ended.put((number, None, str(problem)))
+
+    def ask(self, prompts: list[str], retries: int = 0) -> tuple[list, list]:
+        answers, errors = [None] * len(prompts), [None] * len(prompts)
+        waiting = deque((i, retries) for i in range(len(prompts)))
+        running: dict[int, tuple[int, int, float]] = {}
+
+        def failed(i: int, tries: int, error: str) -> None:
+            if tries:
+                waiting.append((i, tries - 1))
+            else:
+                errors[i] = error
+
+        while waiting or running:
+            while waiting and len(running) < self.at_once and len(self.late) < self.most_late:
+                i, tries = waiting.popleft()
+                number = next(self.numbers)
+                running[number] = (i, tries, time.monotonic() + self.seconds)
+                threading.Thread(target=self._call, args=(number, prompts[i]), daemon=True).start()
+            if not running:
+                while not self.ended.empty():
+                    self.late.discard(self.ended.get()[0])
+                if len(self.late) < self.most_late:
+                    continue
+                for i, _ in waiting:
+                    errors[i] = TOO_MANY_LATE
+                break
+            try:
+                pause = min(due for _, _, due in running.values()) - time.monotonic()
+                number, answer, error = self.ended.get(timeout=max(pause, 0))
+            except queue.Empty:
+                now = time.monotonic()
+                for number in [n for n, (_, _, due) in running.items() if due <= now]:
+                    i, tries, _ = running.pop(number)
+                    self.late.add(number)
+                    failed(i, tries, f"{TIMED_OUT}{self.seconds:g} s")
+                continue
+            if number in running:
+                i, tries, _ = running.pop(number)
+                if error is None:
+                    answers[i] = answer
+                else:
+                    failed(i, tries, error)
+            self.late.discard(number)
+        return answers, errors
+
+
+def generate(
+    df: DataFrame, prompt: str, load: Callable[[], Generate], batch_size: int = 32, max_retries: int = 0,
+    timeout_secs: float | None = None, at_once: int = 8,
+) -> DataFrame:
+    """Add ``response`` and ``error``. ``load`` builds the client once per task.
+
+    With ``timeout_secs`` each prompt is a call of its own, ``at_once`` of them together (the client
+    must bear that), and a call that takes longer is an error of its row; a retry has a new limit.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = load()
+        timed = None if timeout_secs is None else TimedCalls(client, timeout_secs, at_once)
         for pdf in batches:
             answers, errors = [], []
             texts = [None if pd.isna(x) else x for x in pdf[prompt]]
-            for start in range(0, len(texts), batch_size):
-                part = texts[start : start + batch_size]
+            step = batch_size if timed is None else max(len(texts), 1)
+            for start in range(0, len(texts), step):
+                part = texts[start : start + step]
                 asked = [p for p in part if p is not None]
-                got, bad = _generate(client, asked, max_retries) if asked else ([], [])
+                if timed is None:
+                    got, bad = _generate(client, asked, max_retries) if asked else ([], [])
+                else:
+                    got, bad = timed.ask(asked, max_retries)
                 replies = iter(zip(got, bad))
                 for p in part:
                     answer, error = next(replies) if p is not None else (None, MISSING_PROMPT)

@@ -230,6 +230,31 @@ def llm_error_split(t: Tables):
     return sent.select("conv_id", "turn", "topic", *[F.get_json_object("payload", at).alias(n) for n, at in fields.items()])
 
 
+def load_slow():
+    """A client that never answers in time where the text's digest begins with 00."""
+    import hashlib
+    import time
+
+    def generate(prompts):
+        (text,) = prompts
+        digest = hashlib.md5(text.encode()).hexdigest()
+        if digest.startswith("00"):
+            time.sleep(20)
+        return [digest]
+
+    return generate
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN md5(text) NOT LIKE '00%' THEN md5(text) END AS response,
+       CASE WHEN md5(text) LIKE '00%' THEN 'Timed out after 3 s' END AS error
+FROM conversations
+""")
+def llm_time_limit(t: Tables):
+    done = p.generate(t.conversations.select("conv_id", "turn", "text"), "text", load_slow, timeout_secs=3)
+    return done.select("conv_id", "turn", "response", "error")
+
+
 @query("""
 WITH c AS (SELECT string_agg(n_name || ' in ' || r_name, chr(10) ORDER BY n_nationkey) AS context
            FROM nation JOIN region ON r_regionkey = n_regionkey)

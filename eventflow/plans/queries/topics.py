@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from eventflow.functions import json_text
 from eventflow.operators.decide import Rule, decide
-from eventflow.sources import context, resources, timer, topics
+from eventflow.session import shared_folder
+from eventflow.sources import context, custom, resources, targets, timer, topics, versions
 from eventflow.plans.registry import Tables, query
 
 from .common import BODY, MESSAGES_SQL, messages
@@ -237,3 +241,26 @@ def dedup_messages(t: Tables):
     events = t.events.select("event_id", "ts", "user_id", "event_type")
     again = events.where(F.col("event_type") != "signup")
     return topics.merge(events, again).dropDuplicates(["event_id"])
+
+
+@query("""
+WITH v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT event_id, CASE WHEN e.ts <= v.ts + INTERVAL 2 DAY THEN v.ts END AS since, CASE WHEN e.ts <= v.ts + INTERVAL 2 DAY THEN v.value END AS last_value
+FROM events e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts WHERE event_type <> 'purchase'
+""")
+def lookup_as_of(t: Tables):
+    # Each event meets the user's last purchase, unless that is more than two days old.
+    bought = t.events.where(F.col("event_type") == "purchase").select("user_id", "ts", "value")
+    others = t.events.where(F.col("event_type") != "purchase").select("event_id", "user_id", "ts")
+    found = versions.as_of(others, bought, ["user_id"], "ts", "ts", ttl=timedelta(days=2))
+    return found.select("event_id", F.col("version.ts").alias("since"), F.col("version.value").alias("last_value"))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type <> 'click'")
+def custom_target(t: Tables):
+    custom.register(t.spark, targets.ManifestTarget)
+    rows = t.events.where(F.col("event_type") != "click").select("event_id", "event_type", "value")
+    path = f"{shared_folder(t.spark).rstrip('/')}/targets/{uuid.uuid4().hex}"
+    for _ in range(2):  # a repeated batch adds nothing
+        rows.write.format("manifest").option("path", path).option("batch", "one").mode("append").save()
+    return targets.committed(t.spark, path, rows.schema)

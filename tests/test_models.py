@@ -1,6 +1,8 @@
 """Scoring, networks, prompts."""
 
 import json
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -229,3 +231,46 @@ def test_config_defaults():
     r = ReviewConfig()
     assert (r.required_approvals, r.timeout_seconds, r.default_reviewers, r.require_all_reviewers, r.allow_self_approval) == (1, 3600, (), False, False)
     assert (DEFAULT_ACTION.type, DEFAULT_ACTION.level) == ("log", "warn")
+
+
+def test_timed_calls():
+    seen, lock = {}, threading.Lock()
+
+    def client(texts):
+        (text,) = texts
+        with lock:
+            seen[text] = seen.get(text, 0) + 1
+            number = seen[text]
+        if text.startswith("slow") or (text.startswith("once") and number == 1):
+            time.sleep(1.5)
+        if text.startswith("bad"):
+            raise ValueError("no")
+        return [text.upper()]
+
+    calls = prompts.TimedCalls(client, 0.5, at_once=4, most_late=3)
+    texts = ["a", "slow1", "bad", "once", "b", ""]
+    answers, errors = calls.ask(texts, retries=1)
+    assert answers == ["A", None, None, "ONCE", "B", ""]
+    assert errors == [None, "Timed out after 0.5 s", "no", None, None, None]
+    assert seen == {"a": 1, "slow1": 2, "bad": 2, "once": 2, "b": 1, "": 1}
+    # Late calls are bounded; once they have ended, calls go on.
+    calls = prompts.TimedCalls(client, 0.3, at_once=1, most_late=1)
+    answers, errors = calls.ask(["slow2", "c"])
+    assert errors == ["Timed out after 0.3 s", prompts.TOO_MANY_LATE]
+    time.sleep(1.6)
+    assert calls.ask(["c", "d"]) == (["C", "D"], [None, None])
+    assert calls.ask([]) == ([], [])
+
+
+def test_generate_with_a_time_limit(spark):
+    def load():
+        def client(texts):
+            if texts[0] == "slow":
+                time.sleep(4)
+            return [texts[0] * 2]
+
+        return client
+
+    df = spark.createDataFrame([(1, "a"), (2, "slow"), (3, None), (4, "b")], "id int, prompt string").coalesce(1)
+    rows = {r.id: (r.response, r.error) for r in prompts.generate(df, "prompt", load, timeout_secs=1.5).collect()}
+    assert rows == {1: ("aa", None), 2: (None, "Timed out after 1.5 s"), 3: (None, prompts.MISSING_PROMPT), 4: ("bb", None)}
