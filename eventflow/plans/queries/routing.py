@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventflow.operators import route as r
+from eventflow.operators import route_index
 from eventflow.operators.route import Action, Route
 from eventflow.plans.registry import Tables, query
 
@@ -192,3 +193,26 @@ def route_lookup(t: Tables):
     # Keys moved on by five, so that the last customers belong to no known nation.
     customers = t.customer.select("c_custkey", (F.col("c_nationkey") + 5).alias("c_nationkey"))
     return r.route_by_lookup(customers, desks, ["c_nationkey"], "desk", "desk.other").drop("c_nationkey")
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS id, c_nationkey AS nation, c_custkey // 10 AS k, c_custkey % 3 = 0 AS errors,
+                  c_custkey - (c_custkey % 7) * 1000000000 AS place FROM customer),
+     e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, count(id) AS n_routes, CAST(arg_min(id, place) AS VARCHAR) AS route_id,
+       coalesce('nation.' || arg_min(nation, place), 'unrouted') AS topic
+FROM e LEFT JOIN r ON r.k = e.k AND (NOT errors OR event_type = 'error') GROUP BY event_id
+""")
+def route_table(t: Tables):
+    # A route per customer: ten share a number, every third takes errors only.
+    number = F.floor(F.col("c_custkey") / 10).cast("string")
+    pattern = F.concat(F.when(F.col("c_custkey") % 3 == 0, "error.*").otherwise(""), F.lit('"k": '), number, F.lit("\\D"))
+    target = F.concat(F.lit("nation."), F.col("c_nationkey").cast("string"))
+    table = t.customer.select(
+        F.col("c_custkey").alias("route_id"), pattern.alias("pattern"), target.alias("target"),
+        (F.col("c_custkey") % 7).alias("priority"), F.col("c_custkey").alias("ord"),
+    )
+    found = route_index.matching(texts(t), route_index.load(table))
+    best = F.try_element_at("routes", F.lit(1))
+    topic = F.coalesce(best["target"], F.lit("unrouted"))
+    return found.select("event_id", F.size("routes").cast("bigint").alias("n_routes"), best["route_id"].alias("route_id"), topic.alias("topic"))

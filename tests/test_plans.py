@@ -12,7 +12,7 @@ from eventflow.plans.registry import QUERIES
 from eventflow.sources import context
 
 # Queries whose point is user-supplied Python, or that follow a message event by event or work on arrays of a network.
-PYTHON = {"python_rule", "ml_score", "ml_format", "ml_threshold", "ml_error_split", "llm_generate", "llm_error_split", "llm_time_limit", "ttl_throttle", "case_flow",
+PYTHON = {"python_rule", "ml_score", "ml_format", "ml_threshold", "ml_error_split", "llm_generate", "llm_error_split", "llm_time_limit", "route_table", "ttl_throttle", "case_flow",
           "step_redelivery", "bayes_missing_evidence"}
 NARROW = ["fraud_flow", "decide", "decide_priority", "validation_errors", "error_route", "route_multicast", "text_clean", "features",
           "json_decode", "route_actions", "llm_request", "ml_linear", "pubsub_fanout", "reply_fanout", "cond_tree", "decision_reply", "guard_filter", "fallback_agent", "error_union"]
