@@ -3,11 +3,15 @@
 A condition is a dict: ``{"op": "gt", "field": "score", "value": 50}``, nested
 with ``and`` / ``or`` (key ``conditions``) and ``not`` (key ``condition``). A
 missing field gives a definite answer, never NULL: ``ne`` holds, every other
-leaf does not. So ``not`` over a missing field holds as well.
+leaf does not. So ``not`` over a missing field holds as well. Numbers compare exactly,
+whatever the types; a fraction in a condition means the decimal number it is written as.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 from numbers import Number
 
@@ -25,18 +29,75 @@ def _is_number(value: object) -> bool:
     return isinstance(value, Number) and not isinstance(value, bool)
 
 
-def _variant_number(found: Field) -> Column:
-    kind = F.schema_of_variant(found.column)
-    numeric = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    return F.when(numeric, F.try_variant_get(found.column, "$", "double"))
-
-
-def _number(found: Field) -> Column | None:
-    """The field as a double, or None if its declared type is not a number."""
+def _always(column: Column, outcome: bool) -> Column:
+    return F.when(column.isNotNull(), F.lit(outcome))
+
+
+def _against_double(column: Column, op: str, value: Number) -> Column:
+    """A double against a number no double may equal: the doubles next to it decide."""
+    try:
+        near = float(value)
+    except OverflowError:
+        near = math.inf if value > 0 else -math.inf
+    bound = F.lit(near)
+    if not isinstance(value, float):
+        above = near == math.inf or (near > -math.inf and Fraction(near) > Fraction(value))
+        below = near == -math.inf or (near < math.inf and Fraction(near) < Fraction(value))
+        if op == "eq" and (above or below):
+            return _always(column, False)
+        if op == "gt" and above:
+            bound = F.lit(math.nextafter(near, -math.inf))
+        if op == "lt" and below:
+            bound = F.lit(math.nextafter(near, math.inf))
+    return column == bound if op == "eq" else column > bound if op == "gt" else column < bound
+
+
+def _against_fixed(column: Column, kind: T.DataType, op: str, value: Number) -> Column:
+    """An integer or decimal column against a number: exact, whatever the digits of both."""
+    if isinstance(kind, T.DecimalType):
+        scale, low, high = kind.scale, 1 - 10**kind.precision, 10**kind.precision - 1
+    else:
+        scale, low, high, column = 0, -(1 << 63), (1 << 63) - 1, column.cast("bigint")
+    scaled = Fraction(Decimal(str(value))) * 10**scale
+    if op == "eq":
+        bound = scaled.numerator
+        if scaled.denominator != 1 or not low <= bound <= high:
+            return _always(column, False)
+    else:
+        bound = math.floor(scaled) if op == "gt" else math.ceil(scaled)
+        if not low <= bound <= high:
+            return _always(column, (bound < low) == (op == "gt"))
+    if isinstance(kind, T.DecimalType):
+        digits = tuple(map(int, str(abs(bound))))
+        literal = F.lit(Decimal((int(bound < 0), digits, -scale))).cast(kind)
+    else:
+        literal = F.lit(bound).cast("bigint")
+    return column == literal if op == "eq" else column > literal if op == "gt" else column < literal
+
+
+#: Decimals inside a variant are compared with 18 places, those of more than 20 digits before the point without.
+_VARIANT_DECIMALS = (T.DecimalType(38, 18), T.DecimalType(38, 0))
+
+
+def _compare(found: Field, op: str, value: Number) -> Column | None:
+    """``eq``, ``gt`` or ``lt`` of numbers in a type that holds both; NULL without a number, None for other declared types."""
+    whole = not isinstance(value, float) or math.isfinite(value)
     if isinstance(found.type, T.VariantType):
-        return _variant_number(found)
+        kind = F.schema_of_variant(found.column)
+        read = lambda t: F.try_variant_get(found.column, "$", t)
+        double = _against_double(read("double"), op, value)
+        if not whole:
+            return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), double)
+        exact = [_against_fixed(read(t.simpleString()), t, op, value) for t in _VARIANT_DECIMALS]
+        return (
+            F.when(kind == "BIGINT", _against_fixed(read("bigint"), T.LongType(), op, value))
+            .when(kind.startswith("DECIMAL"), F.coalesce(*exact))
+            .when(kind.isin("DOUBLE", "FLOAT"), double)
+        )
+    if isinstance(found.type, (T.IntegralType, T.DecimalType)) and whole:
+        return _against_fixed(found.column, found.type, op, value)
     if isinstance(found.type, T.NumericType):
-        return found.column.cast("double")
+        return _against_double(found.column.cast("double"), op, value)
     return None
 
 
@@ -54,10 +115,7 @@ def _equal(found: Field, value: object) -> Column | None:
     if isinstance(value, (list, dict)):
         return None
     if _is_number(value):
-        if isinstance(found.type, T.IntegralType) and isinstance(value, int):
-            return found.column == F.lit(value)
-        number = _number(found)
-        return None if number is None else number == F.lit(float(value))
+        return _compare(found, "eq", value)
     if isinstance(value, bool):
         if isinstance(found.type, T.BooleanType):
             return found.column == F.lit(value)
@@ -84,11 +142,8 @@ def _leaf(op: str, found: Field | None, cond: dict) -> Column:
         same = F.lit(_FALSE) if same is None else F.coalesce(same, F.lit(_FALSE))
         return ~same if op == "ne" else same
     if op in ("gt", "lt"):
-        number = _number(found)
-        if number is None or not _is_number(value):
-            return F.lit(_FALSE)
-        bound = F.lit(float(value))
-        return F.coalesce(number > bound if op == "gt" else number < bound, F.lit(_FALSE))
+        met = _compare(found, op, value) if _is_number(value) else None
+        return F.lit(_FALSE) if met is None else F.coalesce(met, F.lit(_FALSE))
     text = _text(found)
     return F.lit(_FALSE) if text is None else search(text, cond["pattern"])
 

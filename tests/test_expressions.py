@@ -1,6 +1,10 @@
 """Conditions, paths, templates, JSON."""
 
+import math
+import operator
 import re
+from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -168,3 +172,38 @@ def test_any_condition_tree(spark, trees):
     got = df.select("s", "n", "d", F.array(*[condition(t, df.schema) for t in trees]).alias("r")).collect()
     for row in got:
         assert row.r == [_expected(t, {"s": row.s, "n": row.n, "d": row.d}) for t in trees]
+
+
+def test_numbers_compare_exactly(spark):
+    """Columns of each type against numbers at the edges of doubles and integers, as Python's exact numbers compare."""
+    big = 2**53
+    longs = [None, 0, 1, -1, big, big + 1, -big - 1, 2**63 - 1, -(2**63)]
+    decimals = [None, Decimal("0"), Decimal("0.1"), Decimal("-0.1"), Decimal(big + 1), Decimal("99999999999999999999.999999999999999999")]
+    doubles = [None, 0.0, 0.1, 0.5, float(big), float(big + 2), 1e300, -1e300, math.inf, -math.inf]
+    values = [0, 1, -1, 0.1, 0.5, -0.1, big, big + 1, -big - 1, 2**63 - 1, 2**63, -(2**63), -(2**63) - 1, 10**25, 1e25, 10**400, -(10**400), float(big), 1e300]
+    tables = [("bigint", longs), ("decimal(38,18)", decimals), ("double", doubles)]
+    exact = lambda x: x if isinstance(x, float) and math.isinf(x) else Fraction(Decimal(str(x)))
+    tests = {"eq": operator.eq, "gt": operator.gt, "lt": operator.lt}
+    for kind, column in tables:
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(column)], f"i int, x {kind}")
+        cases = [(op, v) for op in tests for v in values]
+        found = df.select("i", *[condition({"op": op, "field": "x", "value": v}, df.schema).alias(f"c{n}") for n, (op, v) in enumerate(cases)])
+        for row in found.collect():
+            x = column[row.i]
+            for n, (op, v) in enumerate(cases):
+                # Doubles of both sides compare as doubles, which the shortest decimals keep.
+                left = x if kind != "double" else (x if x is None or math.isinf(x) else Fraction(x))
+                right = exact(v) if kind != "double" or isinstance(v, int) else Fraction(v)
+                want = x is not None and tests[op](left if kind == "double" else exact(left), right)
+                assert row[f"c{n}"] == want, (kind, x, op, v)
+
+
+def test_numbers_in_variants_compare_exactly(spark):
+    big = 2**53
+    texts = [str(big), str(big + 1), "0.1", "0.10000000000000001", "1e300", str(10**25), '"7"', "null", "true"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.parse_json("t").alias("v"))
+    hits = lambda op, value: [r.i for r in df.where(condition({"op": op, "field": "v", "value": value}, df.schema)).collect()]
+    assert hits("gt", big) == [1, 4, 5] and hits("eq", big + 1) == [1] and hits("lt", big + 1) == [0, 2, 3]
+    assert hits("eq", 0.1) == [2] and hits("gt", 0.1) == [0, 1, 3, 4, 5]
+    assert hits("eq", 10**25) == [5] and hits("gt", 10**25) == [4] and hits("gt", 10**400) == []
+    assert hits("ne", 7) == list(range(9))
