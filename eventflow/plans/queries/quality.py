@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventflow.operators import checks, metrics
 from eventflow.operators.ordered import previous
 from eventflow.plans.registry import Tables, query
+from eventflow.streaming import windows
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -135,6 +136,19 @@ def metric_latency(t: Tables):
     return rows.select("day", "n", *[F.round(c, 3).alias(c) for c in names])
 
 
+@query("""
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(value) AS n,
+       quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95
+FROM events WHERE value IS NOT NULL GROUP BY 1, 2
+""")
+def metric_sketches(t: Tables):
+    # Hourly sketches, as a stream keeps them, merged into days; exact up to 2048 values a day and type.
+    hours = windows.quantile_sketches(t.events, F.col("value"), "1 hour", ["event_type"])
+    days = windows.merged_sketches(hours, "1 day", ["event_type"])
+    p50, p95 = (windows.sketched_quantile(q).alias(n) for n, q in metrics.QUANTILES.items())
+    return days.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n", p50, p95)
+
+
 @query("""
 SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors,
        round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate

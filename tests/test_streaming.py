@@ -203,3 +203,34 @@ def test_bounded_wait(spark, tmp_path):
     ticks = spark.readStream.format("rate").load()
     query = ticks.writeStream.format("noop").option("checkpointLocation", str(tmp_path)).start()
     assert sinks.finish(query, 2) is False
+
+
+def test_quantile_sketches_of_a_stream(spark, events, tmp_path):
+    """Hourly sketches of a stream merge into the day's quantiles, each within its rank error."""
+    hours = [START + timedelta(minutes=i % 1440) for i in range(30_000)]
+    values = [float((i * 7919) % 30_011) for i in range(30_000)]
+    rows = [*zip(hours, values), *[(START + timedelta(days=2), None)] * 3, (START + timedelta(days=9), 1.0)]
+    source = in_files(spark.createDataFrame(rows, "ts timestamp, x double"), str(tmp_path / "in"), "ts")
+    stream = windows.quantile_sketches(windows.event_time(source), F.col("x"), "1 hour", k=64)
+    hourly = run(stream, tmp_path, "sketches")
+    assert hourly.where("n = 0 AND sketch IS NULL").count() == 1 and hourly.where("n > 1000").count() == 24
+    shares = [0.05, 0.5, 0.95]
+
+    def check(sketches, held):
+        found = sketches.where("n > 0").select("window_start", "n", *[windows.sketched_quantile(q).alias(f"q{q}") for q in shares])
+        for row in found.collect():
+            inside = sorted(held[row.window_start])
+            assert row.n == len(inside)
+            for q in shares:
+                rank = sum(x <= row[f"q{q}"] for x in inside) / len(inside)
+                assert abs(rank - q) <= 0.08
+        return found.count()
+
+    by_hour, by_day = {}, {}
+    for at, x in zip(hours, values):
+        by_hour.setdefault(at.replace(minute=0), []).append(x)
+        by_day.setdefault(START, []).append(x)
+    assert check(hourly, by_hour) == 24
+    assert check(windows.merged_sketches(hourly, "1 day", k=64), by_day) == 1
+    state_size = hourly.agg(F.max(F.length("sketch"))).head()[0]
+    assert state_size < 64 * 8 * 8
