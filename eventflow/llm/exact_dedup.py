@@ -82,7 +82,11 @@ def decide(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_i
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``decide`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``decide`` keeps, with all their columns.
+
+    Null and empty texts are one text. Of repeated rows (same id and text) one stays; a null id
+    counts as larger than any other. An empty table has an empty result.
+    """
     keep = decide(docs, index, batch, id_col, text_col).where("kept")
     digest, row = fresh("digest", docs.columns), fresh("row", docs.columns)
     keep = keep.select(F.col("doc_id").alias("keep_doc_id"), F.col("digest").alias("keep_digest"))

@@ -234,7 +234,11 @@ def rate(
 
 
 def accepted(docs: DataFrame, model: Model, least_grade: int, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose P(grade >= least_grade) is at least ``cut``, with all their columns."""
+    """The rows of ``docs`` whose P(grade >= least_grade) is at least ``cut``, with all their columns.
+
+    Null texts count as empty, repeated rows share one fate, ids are not read. A model
+    without thresholds keeps all rows; an empty table has an empty result.
+    """
     if not len(model.thresholds):
         return docs
     return docs.where(_tail(score(text_of(text_col), model), model.thresholds[least_grade - 1]) >= cut)
