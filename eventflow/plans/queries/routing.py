@@ -212,7 +212,7 @@ def route_table(t: Tables):
         F.col("c_custkey").alias("route_id"), pattern.alias("pattern"), target.alias("target"),
         (F.col("c_custkey") % 7).alias("priority"), F.col("c_custkey").alias("ord"),
     )
-    found = route_index.matching(texts(t), route_index.load(table))
+    found = route_index.matching(texts(t), route_index.stored(table))
     best = F.try_element_at("routes", F.lit(1))
     topic = F.coalesce(best["target"], F.lit("unrouted"))
     return found.select("event_id", F.size("routes").cast("bigint").alias("n_routes"), best["route_id"].alias("route_id"), topic.alias("topic"))

@@ -6,8 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import eventflow.plans.queries  # noqa: F401
 from eventflow.functions.patterns import needed_texts, search
 from eventflow.operators import route_index
+from eventflow.plans.registry import QUERIES
 
 SCHEMA = "route_id long, pattern string, target string, priority int, ord long"
 
@@ -68,3 +70,33 @@ def test_limits_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(route_index, "MOST_ROUTES", 1)
     with pytest.raises(ValueError, match="2 routes"):
         route_index.load(spark.createDataFrame([(1, "a", "t", 0, 0), (2, "b", "t", 0, 1)], SCHEMA))
+
+
+def test_stored_routes_are_found_as_if_searched(spark, monkeypatch):
+    """Any number of routes: beyond what a loaded table may hold, with repeats, long texts and hot ones."""
+    monkeypatch.setattr(route_index, "MOST_ROUTES", 10)
+    monkeypatch.setattr(route_index, "CHARS", 30)
+    draw = random.Random(5)
+    patterns = ["".join(draw.choice(ATOMS) + draw.choice(TIMES) for _ in range(draw.randrange(6))) for _ in range(200)]
+    long = "x" * 70 + "é😀 and more"
+    patterns += [None, "", "ab", "ab", "([", "ab|bc|ca", long, long[:64], long[:65] + "|zz", "x" * 200]
+    routes = [(i, p, f"t{i}" if i % 9 else None, draw.choice([1, 2, None]), i % 50) for i, p in enumerate(patterns)]
+    payloads = ["".join(draw.choice("abcABC.19 😀\n") for _ in range(draw.randrange(12))) for _ in range(60)] + [None, "", "a"] * 2
+    payloads += [long, "q" + long, long[:66], "x" * 300, "abcab"] * 2
+    df = spark.createDataFrame(list(enumerate(payloads)), "id long, payload string")
+    table = route_index.stored(spark.createDataFrame(routes, SCHEMA).repartition(5))
+    found = route_index.matching(df, table)
+    assert found.columns == ["id", "payload", "routes"] and found.count() == len(payloads)
+    got = {r.id: [(x.route_id, x.target) for x in r.routes] for r in found.collect()}
+    hits = df.select("id", F.array(*[search(F.col("payload"), p) if p is not None else F.lit(False) for p in patterns]).alias("hit")).collect()
+    best_first = sorted(range(len(routes)), key=lambda i: (routes[i][3] is None, -(routes[i][3] or 0), routes[i][4], i))
+    assert got == {r.id: [(str(i), routes[i][2]) for i in best_first if r.hit[i]] for r in hits}
+    empty = route_index.stored(spark.createDataFrame([], SCHEMA))
+    assert [r.routes for r in route_index.matching(df.limit(2), empty).collect()] == [[], []]
+    assert route_index.matching(df.limit(0), table).count() == 0
+
+
+def test_query_beyond_the_routes_one_table_may_hold(spark, data, monkeypatch):
+    before = sorted(map(tuple, QUERIES["route_table"](spark, data).collect()))
+    monkeypatch.setattr(route_index, "MOST_ROUTES", 10)
+    assert sorted(map(tuple, QUERIES["route_table"](spark, data).collect())) == before
