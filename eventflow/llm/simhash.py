@@ -8,8 +8,10 @@ fingerprints exactly and returns a spanning forest of its links, closest pairs f
 not all pairs; the forests together connect what all pairs would.
 
 Where links must be confirmed by the texts, a refused link may hide others in a forest.
-There a forest is only the first step: what it confirms is joined, and of what is still
-apart all pairs are compared.
+There a forest is only the first step: what it confirms is joined. Of what is still apart
+a second forest tells the clusters, and within a cluster all pairs are compared by their
+shingle sets, which are sent once to a task, so no table holds the pairs. Bits that tell
+sets apart for certain travel with the fingerprints and keep the clusters to like texts.
 """
 
 from __future__ import annotations
@@ -40,8 +42,13 @@ PART_BITS = 24
 BUFFER_ROWS = 100_000
 PAIRS = 1 << 20
 #: Leaves whose sets are searched in one task, and sets stored in one part of them at most.
-GROUP_LEAVES = 64
-GROUP_ROWS = 1 << 20
+GROUP_LEAVES = 512
+GROUP_ROWS = 1 << 18
+#: Bits of a set's parities at least and at most, and pairs whose parities are compared at once.
+LEAST_PARITIES, MOST_PARITIES = 64, 1 << 14
+PARITY_PAIRS = 1 << 14
+#: Shingles in one block of a cluster, of which a task holds two.
+TILE_SHINGLES = 1 << 21
 #: Shingles whose bits are added up at once.
 SHINGLES = 1 << 16
 
@@ -72,6 +79,32 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def parities_of(distinct: np.ndarray) -> bytes:
+    """For each remainder of the distinct hashes, whether an odd number has it; about a bit for each hash.
+
+    Two sets differ in at least as many hashes as such bits. The first half of the bits added to the
+    second are those of half as many remainders.
+    """
+    bits = min(max(LEAST_PARITIES, 1 << max(len(distinct) - 1, 0).bit_length()), MOST_PARITIES)
+    odd = np.bincount((distinct & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many parities differ in each pair, in as many bits as the shorter one has."""
+    out = np.zeros(len(a), np.int64)
+    long, short = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    for la, lb in {*zip(long.tolist(), short.tolist())}:
+        own = np.flatnonzero((long == la) & (short == lb))
+        least = min(la, lb)
+        for at in range(0, len(own), PARITY_PAIRS):
+            some = own[at : at + PARITY_PAIRS]
+            x, y = (np.frombuffer(b"".join(z[some]), np.uint8).reshape(len(some), -1, least) for z in (a, b))
+            x, y = np.bitwise_xor.reduce(x, axis=1), np.bitwise_xor.reduce(y, axis=1)
+            out[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def fingerprint(text: Column, words: int) -> Column:
     """The fingerprint of a text as a signed long."""
 
@@ -279,11 +312,13 @@ def near_pairs(sets: DataFrame, most: int, similarity: float, every: bool) -> Da
     """Pairs a, b of ids with different roots, at up to ``most`` differing bits, whose sizes allow the similarity.
 
     ``sets`` has columns fp, id, size and root, with distinct ids; fingerprints may
-    repeat. With ``every`` all such pairs come, else links that connect what they
+    repeat. Where it has ``parities`` too, pairs whose sets these show to differ too much are left out.
+    With ``every`` all such pairs come, else links that connect what they
     connect, closest first. A pair can come more than once.
     """
     radius, leaf_values, group_rows = most // BLOCKS, LEAF_VALUES, GROUP_ROWS
-    columns = ["fp", "id", "size", "root"]
+    columns = ["fp", "id", "size", "root", *(["parities"] if "parities" in sets.columns else [])]
+    apart_at_most = (1 - similarity) / (1 + similarity)
 
     def own(values: np.ndarray) -> np.ndarray:
         divided, groups, _ = _grouped(radius, leaf_values)
@@ -328,7 +363,7 @@ def near_pairs(sets: DataFrame, most: int, similarity: float, every: bool) -> Da
         """``stored`` is in order of leaf and size, with that order's key in front."""
         divided, groups, first = _grouped(radius, leaf_values)
         block, group = divmod(part >> PART_BITS, groups)
-        key, fp, ids, size, root = stored
+        key, fp, ids, size, root, *parities = stored
         kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))]
         at = _block(queries[0], block) * groups + group
         visits = first[at + 1] - first[at]
@@ -346,6 +381,9 @@ def near_pairs(sets: DataFrame, most: int, similarity: float, every: bool) -> Da
                 q, s = q[near], s[near]
                 apart = queries[3][q] != root[s]
                 q, s = q[apart], s[apart]
+                if parities and len(q):
+                    alike = _differing(queries[4][q], parities[0][s]) <= apart_at_most * (queries[2][q] + size[s]) + 1e-6
+                    q, s = q[alike], s[alike]
                 found = queries[1][q], ids[s], np.bitwise_count(queries[0][q] ^ fp[s])
                 if every:
                     if len(q):
@@ -377,7 +415,7 @@ def near_pairs(sets: DataFrame, most: int, similarity: float, every: bool) -> Da
 
         for batch in batches:
             part, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            values = [batch.column(c + 2).to_numpy() for c in range(len(columns))]
+            values = [batch.column(c + 2).to_numpy(zero_copy_only=False) for c in range(len(columns))]
             values[0] = values[0].view(np.uint64)
             cuts = np.r_[0, np.flatnonzero((part[1:] != part[:-1]) | (query[1:] != query[:-1])) + 1, len(part)]
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -393,11 +431,70 @@ def near_pairs(sets: DataFrame, most: int, similarity: float, every: bool) -> Da
                     queries, held = [], 0
         yield from done()
 
-    dealt = sets.select(*columns).mapInArrow(deal, "part long, query boolean, fp long, id long, size long, root long")
+    given = "part long, query boolean, fp long, id long, size long, root long" + (", parities binary" if len(columns) > 4 else "")
+    dealt = sets.select(*columns).mapInArrow(deal, given)
     together = dealt.repartition("part").sortWithinPartitions("part", "query")
     return together.mapInArrow(search, "a long, b long").distinct()
 
 
+def similar_pairs(clusters: DataFrame, sets: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Links a, b that connect all ids of a cluster whose fingerprints and sets are alike and that have different roots.
+
+    ``clusters`` has columns fp, id, size, root and cluster, ``sets`` id and shingles. Every pair of a
+    cluster is compared. Small clusters share a task; one with many shingles is cut into blocks,
+    and a task compares two of them.
+    """
+    tile = TILE_SHINGLES
+    weights = clusters.groupBy("cluster").agg(F.ceil((F.sum("size") + F.count("*")) / tile).alias("blocks"), F.sum("size").alias("weight"))
+    weights = written(weights, "cluster-weights")
+    bundles = 1 + (weights.agg(F.sum("weight")).first()[0] or 0) // tile
+    placed = clusters.join(weights, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    alone = F.col("blocks") > 1
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        F.when(alone, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bundles))).alias("home"),
+        F.when(alone, F.least("block", "other")).otherwise(-1).alias("low"),
+        F.when(alone, F.greatest("block", "other")).otherwise(-1).alias("high"),
+        *["cluster", "block", "fp", "id", "size", "root"],
+    )
+
+    def linked(group: pa.Table) -> pa.Table:
+        cluster, block, fp, ids, size, root = (group[c].to_numpy() for c in ("cluster", "block", "fp", "id", "size", "root"))
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        shingles = pa.concat_arrays(group["shingles"].chunks)
+        count = shingles.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(count) - count
+        codes = np.unique(shingles.flatten().to_numpy(), return_inverse=True)[1]
+        marked = np.zeros(len(codes) + 1, bool)
+        joined = np.unique(root, return_inverse=True)[1]
+        a, b = [], []
+        order = np.argsort(cluster, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            left, right = (rows, rows) if low == high else (rows[block[rows] == low], rows[block[rows] == high])
+            for k, x in enumerate(left.tolist()):
+                others = right[k + 1 :] if low == high else right
+                fits = (joined[others] != joined[x]) & (np.bitwise_count(fp[others] ^ fp[x]) <= most)
+                fits &= np.minimum(size[others], size[x]) >= similarity * np.maximum(size[others], size[x]) - 1e-6
+                others = others[fits]
+                if not len(others):
+                    continue
+                own = codes[first[x] : first[x] + count[x]]
+                marked[own] = True
+                for start, stop in _portions(count[others], PAIRS):
+                    some = others[start:stop]
+                    owner, at = _ranges(first[some], count[some])
+                    shared = np.bincount(owner, marked[codes[at]], minlength=len(some)).astype(np.int64)
+                    for y in some[shared >= similarity * (count[x] + count[some] - shared)].tolist():
+                        if joined[y] != joined[x]:
+                            a.append(min(ids[x], ids[y]))
+                            b.append(max(ids[x], ids[y]))
+                            members = rows[joined[rows] == joined[y]]
+                            joined[members] = joined[x]
+                marked[own] = False
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.join(sets, "id").groupBy("home", "low", "high").applyInArrow(linked, "a long, b long")
+
+
 def _block(values: np.ndarray, block: int) -> np.ndarray:
     return ((values >> np.uint64(BLOCK * block)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
 
@@ -428,15 +525,16 @@ def one_of_each(
     by_id = digits(F.coalesce(identity.cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63))))
     node = F.concat(F.when(identity.isNull(), "1").otherwise("0"), by_id, digits(content))
 
-    @F.pandas_udf("fp long, id long, size long")
+    @F.pandas_udf("fp long, id long, size long, parities binary")
     def described(texts: pd.Series) -> pd.DataFrame:
-        out = []
+        out, parities = [], []
         for t in texts:
             # Like the similarity, the fingerprint is one of distinct shingles: repeats in a text change neither.
             distinct = np.unique(shingle_hashes(t, words))
             out.append((fingerprint_of(distinct), xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED), len(distinct)))
+            parities.append(parities_of(distinct))
         found = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
-        return pd.DataFrame({"fp": found[:, 0], "id": found[:, 1], "size": found[:, 2]})
+        return pd.DataFrame({"fp": found[:, 0], "id": found[:, 1], "size": found[:, 2], "parities": pd.Series(parities, dtype=object)})
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -444,28 +542,37 @@ def one_of_each(
 
     rows = written(docs.select(node.alias("node"), described(text_of(text_col)).alias("x")).select("node", "x.*"), "fingerprints")
     # Rows with equal shingle sets are one; different sets stay apart, also under one fingerprint.
-    classes = rows.groupBy("id").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.min("node").alias("first"))
+    classes = rows.groupBy("id").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.min("node").alias("first"), F.min("parities").alias("parities"))
     classes = written(classes, "shingle-classes")
     whole = docs.select(node.alias("node"), text_of(text_col).alias("text"))
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The shingle set of each id, once."""
+        needed = classes.join(ids, "id", "left_semi").select("id", F.col("first").alias("node"))
+        sets = whole.join(needed, "node").dropDuplicates(["id"]).select("id", shingles("text").alias("shingles"))
+        return written(sets, "shingle-sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs a, b that are similar enough."""
         pairs = written(pairs, "candidates")
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        needed = classes.join(ends, "id", "left_semi").select("id", F.col("first").alias("node"))
-        sets = whole.join(needed, "node").dropDuplicates(["id"]).select("id", shingles("text").alias("shingles"))
-        sets = written(sets, "shingle-sets")
+        sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - shared
         return written(both.where(shared >= F.lit(similarity) * union).select("a", "b"), "confirmed")
 
-    # A first, cheap step joins most copies; then every pair still apart is tested, so no refused link hides another.
+    # A first, cheap step joins most copies. Of what is still apart every candidate is in one cluster
+    # with its partner, and all pairs of a cluster are tested, so no refused link hides another.
     joined = confirmed(near_pairs(classes.withColumn("root", F.col("id")), most, similarity, every=False))
     roots = components(joined).withColumnRenamed("node", "id")
-    apart = written(classes.join(roots, "id", "left").select("fp", "id", "size", F.coalesce("root", "id").alias("root")), "shingle-roots")
-    joined = joined.unionByName(confirmed(near_pairs(apart, most, similarity, every=True)))
+    apart = classes.join(roots, "id", "left").select("fp", "id", "size", F.coalesce("root", "id").alias("root"), "parities")
+    apart = written(apart, "shingle-roots")
+    tops = components(near_pairs(apart, most, similarity, every=False)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    tops = tops.unionByName(tops.select(F.col("cluster").alias("id"), "cluster").distinct())
+    clusters = written(apart.drop("parities").join(tops, "id"), "shingle-clusters")
+    links_within = similar_pairs(clusters, sets_of(clusters.select("id")), most, similarity)
+    joined = joined.unionByName(written(links_within, "confirmed"))
     named = classes.select(F.col("id").alias("a"), F.col("first").alias("left"))
     other = classes.select(F.col("id").alias("b"), F.col("first").alias("right"))
     between = joined.join(named, "a").join(other, "b").select(F.col("left").alias("a"), F.col("right").alias("b"))

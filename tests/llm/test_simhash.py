@@ -258,3 +258,59 @@ def test_memory_of_the_widest_tree(monkeypatch):
     tracemalloc.stop()
     assert isinstance(tree, vptree.VantageTree) and len(tree.visited) == first[-1] > 9_000_000
     assert peak < 120 << 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 300), st.integers(0, 300), st.integers(0, 300))
+def test_parities_never_tell_more_apart_than_there_is(both, left, right):
+    random = np.random.default_rng([both, left, right])
+    values = np.unique(random.integers(0, 1 << 64, both + left + right, np.uint64, endpoint=False))
+    a, b = values[: both + left], np.r_[values[:both], values[both + left :]]
+    found = [np.array([simhash.parities_of(np.unique(x))], object) for x in (a, b)]
+    assert simhash._differing(*found)[0] <= len(np.setxor1d(a, b))
+
+
+def test_no_table_holds_the_pairs_of_a_group(spark, monkeypatch):
+    """Texts close by fingerprint and below the similarity, all pairs of them: the tables grow with the texts."""
+    random = np.random.default_rng(31)
+    base = [f"w{x}" for x in random.integers(0, 5000, 400)]
+    rows = []
+    for copy in range(160):
+        words = list(base)
+        for place in (np.arange(6) * 60 + random.integers(0, 50)).tolist():
+            words[place] = f"new{random.integers(1 << 30)}"
+        rows.append((copy, " ".join(words)))
+    sets, prints = [shingle_set(t) for _, t in rows], np.array([fingerprint_in_pipeline(t) for _, t in rows], np.uint64)
+    alike = [[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets]
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 15
+    assert near.sum() > 60 * len(rows) and (near & np.array(alike)).sum() < 20 * len(rows)
+    counts, plain = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda *a, **k: counts.append(plain(*a, **k).count()) or plain(*a, **k))
+    kept = sorted(r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect())
+    label = plain_components(list(range(len(rows))), lambda i, j: near[i, j] and alike[i][j])
+    assert kept == sorted(set(label)) and max(counts) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("tile", [1, 700, 1 << 21])
+def test_clusters_are_compared_whole(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", tile)
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    random = np.random.default_rng(3)
+    base = [np.unique(random.integers(0, 1 << 62, 100)) for _ in range(4)]
+    rows = []
+    for i in range(48):
+        own = base[i % 4].copy()
+        own[: random.integers(0, 16)] = random.integers(0, 1 << 62)
+        own = np.unique(np.r_[own, random.integers(0, 1 << 62, random.integers(0, 5))])
+        rows.append((int(random.integers(4)), i, len(own), i if i % 5 else 5, i % 4 if i % 4 < 2 else 2, own.tolist()))
+    table = spark.createDataFrame(rows, "fp long, id long, size long, root long, cluster long, shingles array<long>")
+    found = simhash.similar_pairs(table.drop("shingles"), table.select("id", "shingles"), 1, 0.8).collect()
+
+    def linked(x, y):
+        a, b = set(x[5]), set(y[5])
+        return x[3] == y[3] or x[4] == y[4] and bin(x[0] ^ y[0]).count("1") <= 1 and len(a & b) >= 0.8 * len(a | b)
+
+    want = plain_components(rows, linked)
+    given = {(r.a, r.b) for r in found}
+    assert all(linked(rows[a], rows[b]) and a < b for a, b in given)
+    assert plain_components(rows, lambda x, y: x[3] == y[3] or (min(x[1], y[1]), max(x[1], y[1])) in given) == want
