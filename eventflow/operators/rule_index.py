@@ -14,7 +14,9 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,6 +166,10 @@ def sweep(starts: list, ends: list, best: list) -> list[tuple]:
     return out
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks)
+
+
 def _segments(pieces: DataFrame) -> DataFrame:
     """The disjoint segments of each slab: key, slab, place, v and s (NULL: from the slab's start), decision."""
     key, cut = pieces.schema[_KEY].dataType, pieces.schema["start"].dataType
@@ -172,26 +178,37 @@ def _segments(pieces: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.select(["start", "end", "best"]).to_pylist()
+        whole = group.select(["start", "end", "best"]).combine_chunks()
+        start, end, best = (_one(whole.column(c)) for c in ("start", "end", "best"))
+        n_rows = len(best)
+        # Cuts are numbered in order, so that the sweep compares numbers.
+        cuts = pa.concat_arrays([start, end])
+        v, side = (pc.struct_field(cuts, c) for c in ("v", "s"))
+        by_cut = pc.sort_indices(pa.table({"v": v, "s": side}), [("v", "ascending"), ("s", "ascending")])
+        by_cut = by_cut.filter(pc.is_valid(cuts.take(by_cut)))
+        sorted_v, sorted_s = v.take(by_cut), side.take(by_cut)
+        new = pc.or_(pc.not_equal(sorted_v[1:], sorted_v[:-1]), pc.not_equal(sorted_s[1:], sorted_s[:-1])).to_numpy(zero_copy_only=False)
+        number = np.full(2 * n_rows, -1)
+        number[by_cut.to_numpy()] = np.r_[np.zeros(min(len(by_cut), 1), np.int64), np.cumsum(new)]
+        at = [None if c < 0 else c for c in number.tolist()]
+        firsts = by_cut.to_numpy()[np.r_[np.ones(min(len(by_cut), 1), bool), new.astype(bool)]]
         # Within a slab each row is a rule of its own, numbered from the best on.
-        order = sorted(
-            (i for i, r in enumerate(rows) if r["best"] is not None),
-            key=lambda i: _place(**rows[i]["best"]),
-        )
+        ranks, ords, decisions = (pc.struct_field(best, c).to_pylist() for c in ("rank", "ord", "decision"))
+        order = sorted(np.flatnonzero(pc.is_valid(best).to_numpy(zero_copy_only=False)).tolist(), key=lambda i: _place(ranks[i], ords[i], decisions[i]))
         place = {i: n for n, i in enumerate(order)}
-        point = lambda c: None if c is None else (c["v"], c["s"])
-        found = sweep([point(r["start"]) for r in rows], [point(r["end"]) for r in rows], [place.get(i) for i in range(len(rows))])
+        found = sweep(at[:n_rows], at[n_rows:], [place.get(i) for i in range(n_rows)])
         n = len(found)
-        decided = [None if rule is None else rows[order[rule]]["best"]["decision"] for _, rule in found]
-        same = lambda c: pa.chunked_array([pa.concat_arrays(group[c].chunks).take(pa.array([0] * n, pa.int64()))])
+        decided = [None if rule is None else decisions[order[rule]] for _, rule in found]
+        starts = pa.array([None if p is None else int(firsts[p]) for p, _ in found], pa.int64())
+        same = lambda c: pa.chunked_array([_one(group[c]).take(pa.array([0] * n, pa.int64()))])
         cut_type = group.schema.field("start").type
         return pa.table(
             {
                 _KEY: same(_KEY),
                 _SLAB: same(_SLAB),
                 "place": pa.array(range(n), pa.int64()),
-                "v": pa.array([p[0] if p else None for p, _ in found], cut_type.field("v").type),
-                "s": pa.array([p[1] if p else None for p, _ in found], pa.int32()),
+                "v": v.take(starts).cast(cut_type.field("v").type),
+                "s": side.take(starts).cast(pa.int32()),
                 "decision": pa.array(decided, group.schema.field("best").type.field("decision").type),
             }
         )
@@ -245,6 +262,17 @@ def build(
     return RuleIndex(tuple(on), tuple(levels), staged(always, "rules-always"), kind)
 
 
+def _last_reached(entries: str, x: Column) -> Column:
+    """Place of the last entry that starts at or before ``x`` (-1: none), found by halving: a few entries are looked at, not all."""
+
+    def reached(at: Column) -> Column:
+        e = F.get(entries, at)
+        return e.isNotNull() & (e["s"].isNull() | (e["v"] < x) | ((e["v"] == x) & (e["s"] == 0)))
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(FANOUT.bit_length()))])
+    return F.aggregate(steps, F.lit(-1), lambda at, step: F.when(reached(at + step), at + step).otherwise(at))
+
+
 def decide(df: DataFrame, index: RuleIndex, value: str, default: str = DEFAULT_DECISION, into: str = "decision") -> DataFrame:
     """Add the decision of the best rule of the row's key whose interval holds the value.
 
@@ -256,9 +284,7 @@ def decide(df: DataFrame, index: RuleIndex, value: str, default: str = DEFAULT_D
     for depth in reversed(range(len(index.levels))):
         nodes = index.levels[depth].select(_KEY, F.col("node").alias("__node"), F.col("entries").alias("__entries"))
         found = lookup(found, nodes, [_KEY, "__node"])
-        x = F.col("__x")
-        reached = F.filter("__entries", lambda e: e["s"].isNull() | (e["v"] < x) | ((e["v"] == x) & (e["s"] == 0)))
-        last = F.try_element_at(reached, F.lit(-1))
+        last = F.get("__entries", _last_reached("__entries", F.col("__x")))
         if depth:
             found = found.withColumn("__node", last["at"]).drop("__entries")
         else:

@@ -102,3 +102,10 @@ def test_a_stream_is_decided_alike(spark, data, tmp_path):
     assert sinks.finish(sinks.append(rule_index.decide(stream, index, "value"), out, "rules", str(tmp_path / "cp")), 120)
     want = rule_index.decide(events, index, "value")
     assert sorted(map(repr, spark.read.schema(want.schema).parquet(out).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_row_looks_at_few_entries_of_a_node(spark):
+    index = rule_index.build(spark.createDataFrame(random_rules(4, 300), RULES), ["k"], "double")
+    decided = rule_index.decide(spark.createDataFrame([("hot", 7.0)], "k string, x double"), index, "x")
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(__entries" not in plan and "aggregate(" in plan
