@@ -7,11 +7,13 @@ in its own shard and queries those that its ball overlaps. A shard compares whol
 fingerprints exactly and returns a spanning forest of its links, closest pairs first,
 not all pairs; the forests together connect what all pairs would.
 
-Where links must be confirmed by the texts, a refused link may hide others in a forest.
-There a forest is only the first step: what it confirms is joined. Of what is still apart
-a second forest tells the clusters, and within a cluster all pairs are compared by their
-shingle sets, which are sent once to a task, so no table holds the pairs. Bits that tell
-sets apart for certain travel with the fingerprints and keep the clusters to like texts.
+Where links must be confirmed by the texts, a refused link may hide others in a forest, and
+similar sets may have distant fingerprints. There the search is only the first step: what it
+confirms is joined. What is still apart is searched without loss: in one order of all shingles,
+rare ones first, two similar sets share one of their first shingles. Links of sets that meet
+there tell the clusters, and within a cluster all pairs are compared by their shingle sets, which
+are sent once to a task, so no table holds the pairs. Bits that tell sets apart for certain
+keep the links of both steps to like texts.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from eventflow.llm.vptree import tree
 SEED = 42
 BITS, BLOCKS = 64, 4
 BLOCK = BITS // BLOCKS
+#: Bits between fingerprints up to which trees are searched for texts; in wider balls a block prunes too little.
+WIDEST = 15
 #: Block values per shard at most. A constant, so what a fingerprint sends to shards does not grow with the data.
 LEAF_VALUES = 32
 #: Fingerprints stored in one part of a shard at most; a fuller shard is split.
@@ -51,6 +55,11 @@ PARITY_PAIRS = 1 << 14
 TILE_SHINGLES = 1 << 21
 #: Shingles whose bits are added up at once.
 SHINGLES = 1 << 16
+#: Shingles counted at once, sets that hold a common one at least, and common ones that the order of shingles knows.
+COUNTED = 1 << 21
+COMMON, MOST_COMMON = 100, 1 << 15
+#: Bytes of rows held at once where parities come with them.
+BUFFER_BYTES = 32 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -79,6 +88,11 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def set_id(distinct: np.ndarray) -> int:
+    """One number for a shingle set, given in order."""
+    return xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED)
+
+
 def parities_of(distinct: np.ndarray) -> bytes:
     """For each remainder of the distinct hashes, whether an odd number has it; about a bit for each hash.
 
@@ -437,6 +451,128 @@ def near_pairs(sets: DataFrame, most: int, similarity: float, every: bool) -> Da
     return together.mapInArrow(search, "a long, b long").distinct()
 
 
+def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """The most common shingles of a column of texts, rarest first.
+
+    Counted are those that come twice among ``COUNTED`` shingles. The order of shingles made of them
+    decides how fast similar sets are found, not which.
+    """
+    at_once, least, most = COUNTED, COMMON, MOST_COMMON
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def repeated() -> pa.RecordBatch:
+            found, count = np.unique(np.concatenate(held), return_counts=True)
+            several = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(found[several].view(np.int64)), pa.array(count[several])], ["shingle", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(np.unique(shingle_hashes(text, words)))
+                n += len(held[-1])
+                if n >= at_once:
+                    yield repeated()
+                    held, n = [], 0
+        if held:
+            yield repeated()
+
+    counts = texts.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").collect()
+    return np.array([r["shingle"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def first_shingles(distinct: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """As many of a set's first shingles as hold one of every set that is similar enough.
+
+    First come by value those that are not in ``common`` (in order, with their ``rank``), then the others by rank.
+    """
+    n = len(distinct)
+    needed = min(n, n - int(np.ceil(similarity * n - 1e-6)) + 1)
+    if not len(common):
+        return distinct[:needed]
+    at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+    is_common = common[at] == distinct
+    rare = distinct[~is_common]
+    if len(rare) >= needed:
+        return rare[:needed]
+    return np.concatenate([rare, distinct[is_common][np.argsort(rank[at[is_common]])]])[:needed]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, sorted by their first column, in tables between which no value of it is divided."""
+    held, rows, size, times = [], 0, 0, 1
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < times * BUFFER_ROWS and size < times * BUFFER_BYTES:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column(0).to_numpy()
+        other = np.flatnonzero(key != key[-1])
+        if not len(other):  # one group fills the buffer
+            times *= 2
+            continue
+        yield table.slice(0, last := int(other[-1]) + 1)
+        rest = table.slice(last).take(pa.array(np.arange(len(key) - last)))  # a copy, which frees the others
+        held, rows, size, times = rest.to_batches(), rest.num_rows, rest.nbytes, 1
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def meeting_links(sets: DataFrame, beginnings: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all ids of similar sets with different roots.
+
+    ``sets`` has columns id, size, root and parities, ``beginnings`` id and first, the ``first_shingles``
+    in order. Sets meet at a shared one. What two sets hold before the first that they share is in one of them
+    only, so its places are bounded by how much the sets may differ. Of the pairs left by that the parities decide.
+    """
+    apart_at_most = (1 - similarity) / (1 + similarity)
+
+    def possible(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of pairs that share a shingle and are not excluded by root, size or place."""
+        shingle, root, size, place = (group[c].to_numpy().astype(np.int64) for c in ("shingle", "root", "size", "place"))
+        number = np.cumsum(np.r_[False, shingle[1:] != shingle[:-1]]) << 32
+        order = np.argsort(number + size, kind="stable")
+        key, number = (number + size)[order], number[order]
+        most = np.minimum(np.floor(size[order] / similarity + 1e-6), (1 << 32) - 1).astype(np.int64)
+        later = np.searchsorted(key, number + most, "right") - np.arange(len(key)) - 1
+        for low, high in _portions(later, PAIRS):
+            owner, other = _ranges(np.arange(low, high) + 1, later[low:high])
+            a, b = order[owner + low], order[other]
+            fits = np.flatnonzero((root[a] != root[b]) & (place[a] + place[b] <= apart_at_most * (size[a] + size[b]) + 1e-6))
+            yield a[fits], b[fits]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches):
+            met = np.zeros(group.num_rows, bool)
+            for a, b in possible(group):
+                met[a] = met[b] = True
+            yield from group.filter(pa.array(met)).to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches):
+            ids, size, parities = (group[c].to_numpy() for c in ("id", "size", "parities"))
+            kept = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            for a, b in possible(group):
+                if len(a):
+                    alike = _differing(parities[a], parities[b]) <= apart_at_most * (size[a] + size[b]) + 1e-6
+                    a, b = ids[a[alike]], ids[b[alike]]
+                    some = forest(a, b, np.zeros(len(a), np.uint8))
+                    kept.append((a[some], b[some]))
+            a, b = (np.concatenate(x) for x in zip(*kept))
+            some = forest(a, b, np.zeros(len(a), np.uint8))
+            a, b = a[some], b[some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    given = "shingle long, id long, root long, size long, place int"
+    rows = sets.select("id", "root", "size").join(beginnings, "id")
+    rows = rows.select("id", "root", "size", F.posexplode("first").alias("place", "shingle")).select("shingle", "id", "root", "size", "place")
+    met = written(rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(meet, given), "meetings")
+    met = met.join(sets.select("id", "parities"), "id").select("shingle", "id", "root", "size", "place", "parities")
+    return met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(link, "a long, b long").distinct()
+
+
 def similar_pairs(clusters: DataFrame, sets: DataFrame, most: int, similarity: float) -> DataFrame:
     """Links a, b that connect all ids of a cluster whose fingerprints and sets are alike and that have different roots.
 
@@ -515,7 +651,7 @@ def one_of_each(
 
     Rows link when their fingerprints differ in ``most`` bits at most and the Jaccard
     similarity of their sets of ``words``-word shingles is at least ``similarity``, or
-    when the sets are equal. Null and empty texts have no shingles and equal each other. Of repeated
+    when the sets are equal. With ``most=BITS`` the similarity alone decides. Null and empty texts have no shingles and equal each other. Of repeated
     rows (same id and text) all stay or go together; a null id counts as larger than any other.
     """
     at = fresh("row_node", docs.columns)
@@ -531,7 +667,7 @@ def one_of_each(
         for t in texts:
             # Like the similarity, the fingerprint is one of distinct shingles: repeats in a text change neither.
             distinct = np.unique(shingle_hashes(t, words))
-            out.append((fingerprint_of(distinct), xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED), len(distinct)))
+            out.append((fingerprint_of(distinct), set_id(distinct), len(distinct)))
             parities.append(parities_of(distinct))
         found = np.array(out, np.uint64).reshape(-1, 3).view(np.int64)
         return pd.DataFrame({"fp": found[:, 0], "id": found[:, 1], "size": found[:, 2], "parities": pd.Series(parities, dtype=object)})
@@ -562,13 +698,25 @@ def one_of_each(
         union = F.size("x") + F.size("y") - shared
         return written(both.where(shared >= F.lit(similarity) * union).select("a", "b"), "confirmed")
 
-    # A first, cheap step joins most copies. Of what is still apart every candidate is in one cluster
-    # with its partner, and all pairs of a cluster are tested, so no refused link hides another.
-    joined = confirmed(near_pairs(classes.withColumn("root", F.col("id")), most, similarity, every=False))
+    # A first, cheap step joins most copies. Of what is still apart every similar set is in one cluster
+    # with its partner, whatever their fingerprints, and all pairs of a cluster are tested, so no refused link hides another.
+    joined = confirmed(near_pairs(classes.withColumn("root", F.col("id")), min(most, WIDEST), similarity, every=False))
     roots = components(joined).withColumnRenamed("node", "id")
     apart = classes.join(roots, "id", "left").select("fp", "id", "size", F.coalesce("root", "id").alias("root"), "parities")
     apart = written(apart, "shingle-roots")
-    tops = components(near_pairs(apart, most, similarity, every=False)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    common = common_shingles(docs.select(text_of(text_col).alias("text")), words)
+    rank = np.argsort(common)
+    common = common[rank]
+
+    def beginning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).to_pylist()]
+            ids = np.array([set_id(distinct) for distinct in sets], np.uint64).view(np.int64)
+            first = [first_shingles(distinct, common, rank, similarity).view(np.int64) for distinct in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first, pa.list_(pa.int64()))], ["id", "first"])
+
+    begun = docs.select(text_of(text_col).alias("text")).mapInArrow(beginning, "id long, first array<long>").dropDuplicates(["id"])
+    tops = components(meeting_links(apart, begun, similarity)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     tops = tops.unionByName(tops.select(F.col("cluster").alias("id"), "cluster").distinct())
     clusters = written(apart.drop("parities").join(tops, "id"), "shingle-clusters")
     links_within = similar_pairs(clusters, sets_of(clusters.select("id")), most, similarity)

@@ -4,6 +4,7 @@ import inspect
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -314,3 +315,82 @@ def test_clusters_are_compared_whole(spark, monkeypatch, tile):
     given = {(r.a, r.b) for r in found}
     assert all(linked(rows[a], rows[b]) and a < b for a, b in given)
     assert plain_components(rows, lambda x, y: x[3] == y[3] or (min(x[1], y[1]), max(x[1], y[1])) in given) == want
+
+
+def alike(x, y, similarity=0.8):
+    shared = len(x & y)
+    return shared >= similarity * (len(x) + len(y) - shared)
+
+
+def test_similar_texts_with_distant_fingerprints_are_found(spark):
+    """The pipeline's stage, texts of any length: the similarity alone decides, not the fingerprints."""
+    random = np.random.default_rng(17)
+    rows, distant = [], Counter()
+    for length, cut, least in ((9, 1, 12), (24, 2, 4), (300, 30, 2)):
+        while distant[length] < least:
+            words = [f"w{x}" for x in random.integers(0, 1 << 40, length)]
+            copy = words[:-cut] + [f"w{x}" for x in random.integers(0, 1 << 40, cut if length > 9 else 0)]
+            texts = " ".join(words), " ".join(copy)
+            far = bin(fingerprint_in_pipeline(texts[0]) ^ fingerprint_in_pipeline(texts[1])).count("1") > 15
+            if alike(*map(shingle_set, texts)) and far:
+                distant[length] += 1
+                rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    rows += [(1000 + i, f"some other text of few words {i}") for i in range(20)]
+    sets = [shingle_set(t) for _, t in rows]
+    label = plain_components(list(range(len(rows))), lambda i, j: alike(sets[i], sets[j]))
+    got = sorted(r.doc_id for r in corpus_pipeline.dissimilar(spark, docs(spark, rows), "").collect())
+    assert got == sorted({rows[k][0] for k in label}) and len(got) == len(rows) - 18
+
+
+def test_refused_and_distant_links_hide_no_others(spark):
+    rows = similar_groups(8)
+    sets = [shingle_set(t) for _, t in rows]
+    label = plain_components(list(range(len(rows))), lambda i, j: alike(sets[i], sets[j]))
+    got = sorted(r.doc_id for r in corpus_pipeline.dissimilar(spark, docs(spark, rows), "").collect())
+    assert got == sorted(set(label))
+
+
+@pytest.mark.parametrize("common", [False, True])
+@pytest.mark.parametrize("small", [False, True])
+def test_similar_sets_meet(spark, monkeypatch, common, small):
+    """Sets made of a few shared parts, in any order of shingles, against brute force."""
+    if small:
+        for name, value in (("BUFFER_ROWS", 7), ("PAIRS", 20), ("BUFFER_BYTES", 500)):
+            monkeypatch.setattr(simhash, name, value)
+    random = np.random.default_rng(23)
+    parts = [np.unique(random.integers(0, 1 << 64, n, np.uint64, endpoint=False)) for n in (3, 8, 20, 40, 90)]
+    sets = []
+    for i in range(150):
+        part = parts[i % 5]
+        own = part[random.random(len(part)) < 0.93]
+        own = np.unique(np.r_[own, random.integers(0, 1 << 64, random.integers(0, 2 + len(part) // 10), np.uint64, endpoint=False)])
+        sets.append(own if len(own) else part)
+    known = np.concatenate(parts) if common else np.empty(0, np.uint64)
+    rank = np.argsort(known)
+    roots = [i if i % 7 else 0 for i in range(150)]
+    table = spark.createDataFrame([(i, len(x), roots[i], simhash.parities_of(x)) for i, x in enumerate(sets)], "id long, size long, root long, parities binary")
+    first = [simhash.first_shingles(x, known[rank], rank, 0.8) for x in sets]
+    begun = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(first)], "id long, first array<long>")
+    found = {(r.a, r.b) for r in simhash.meeting_links(table, begun, 0.8).collect()}
+    plain = [set(x.tolist()) for x in sets]
+    assert all(a < b and roots[a] != roots[b] and alike(plain[a], plain[b], 0.6) for a, b in found)
+    label = plain_components(list(range(150)), lambda x, y: (min(x, y), max(x, y)) in found)
+    pairs = [(a, b) for a in range(150) for b in range(a) if roots[a] != roots[b] and alike(plain[a], plain[b])]
+    assert len(pairs) > 100 and all(label[a] == label[b] for a, b in pairs)
+
+
+def test_common_shingles_come_last(spark, monkeypatch):
+    for name, value in (("COUNTED", 400), ("COMMON", 8), ("MOST_COMMON", 12)):
+        monkeypatch.setattr(simhash, name, value)
+    line = "this line is in every one of the texts here"
+    texts = [(f"{line} " if i % 3 else "") + " ".join(f"t{i}w{k}" for k in range(12)) for i in range(60)]
+    common = simhash.common_shingles(spark.createDataFrame([(t,) for t in [*texts, ""]], "text string").coalesce(1), 5)
+    assert set(common.tolist()) == shingle_set(line) and len(common) == len(set(common.tolist()))
+    rank = np.argsort(common)
+    for text in texts:
+        distinct = np.unique(simhash.shingle_hashes(text, 5))
+        first = simhash.first_shingles(distinct, common[rank], rank, 0.8)
+        assert len(first) == len(distinct) - int(np.ceil(0.8 * len(distinct))) + 1 and not set(first.tolist()) & set(common.tolist())
+    distinct = np.sort(common)  # of common ones alone: the rarest first
+    assert simhash.first_shingles(distinct, distinct, rank, 0.8).tolist() == common[:2].tolist()
+    assert len(simhash.first_shingles(distinct[:0], distinct, rank, 0.8)) == 0
