@@ -56,10 +56,10 @@ TILE_SHINGLES = 1 << 21
 #: Shingles whose bits are added up at once.
 SHINGLES = 1 << 16
 #: Shingles counted at once, sets that hold a common one at least, and common ones that the order of shingles knows.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 COMMON, MOST_COMMON = 100, 1 << 15
 #: Bytes of rows held at once where parities come with them.
-BUFFER_BYTES = 32 << 20
+BUFFER_BYTES = 8 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -537,7 +537,7 @@ def meeting_links(sets: DataFrame, beginnings: DataFrame, similarity: float) ->
         key, number = (number + size)[order], number[order]
         most = np.minimum(np.floor(size[order] / similarity + 1e-6), (1 << 32) - 1).astype(np.int64)
         later = np.searchsorted(key, number + most, "right") - np.arange(len(key)) - 1
-        for low, high in _portions(later, PAIRS):
+        for low, high in _portions(later, PAIRS // 4):
             owner, other = _ranges(np.arange(low, high) + 1, later[low:high])
             a, b = order[owner + low], order[other]
             fits = np.flatnonzero((root[a] != root[b]) & (place[a] + place[b] <= apart_at_most * (size[a] + size[b]) + 1e-6))
